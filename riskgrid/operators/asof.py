@@ -130,7 +130,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequ
 def asof_to_grid(grid: DataFrame, spec: DataFrame, right: DataFrame, keys: Sequence[str], ts_col: str,
                  interval_seconds: int, payload: Sequence[str], direction: str = "backward",
                  tolerance_seconds: float | None = None, tiebreak: str | None = None,
-                 grid_ts_col: str = "timestamp") -> DataFrame:
+                 grid_ts_col: str = "timestamp", right_us_alias: str | None = None) -> DataFrame:
     """J2 on a regular grid: per grid point the last (first) right row at or
     before (after) it, within the tolerance. Adds ``payload`` columns."""
     keys = list(keys)
@@ -166,7 +166,8 @@ def asof_to_grid(grid: DataFrame, spec: DataFrame, right: DataFrame, keys: Seque
     else:
         m = picks[direction][0]
     g = g.withColumn("_m", m)
-    return g.select(*grid.columns, *[F.col("_m")[c].alias(c) for c in payload])
+    extra = [F.col("_m")["_e"].alias(right_us_alias)] if right_us_alias else []
+    return g.select(*grid.columns, *[F.col("_m")[c].alias(c) for c in payload], *extra)
 
 
 def nearest_snapshot(rows: DataFrame, ts_col: str, by: Sequence[str] | str, at_us_col: str,

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions.time import US, ceil_div, floor_div, parse_us, ts_of, us_of
@@ -58,17 +58,20 @@ def build_grid(spec: DataFrame, keys: Sequence[str], interval_seconds: int,
 
 
 def explode_to_grid(rows: DataFrame, spec: DataFrame, keys: Sequence[str], us_col: str,
-                    interval_seconds: int, lo_us: int, hi_us: int) -> DataFrame:
+                    interval_seconds: int, lo_us, hi_us) -> DataFrame:
     """Copy each row at ``us_col = e`` to every grid point ``t`` of its session
-    with ``t - e ∈ [lo_us, hi_us]``; adds ``grid_k`` and ``grid_us``.
+    with ``t - e ∈ [lo_us, hi_us]``; adds ``grid_k`` and ``grid_us``. The
+    offsets are ints or per-row LONG columns.
 
     Rows of sessions without a grid are dropped. ``spec`` has one row per
     session, so the planner can broadcast it when its measured size allows."""
     step = interval_seconds * US
     j = rows.join(spec.select(*keys, ORIGIN, LAST_K), list(keys))
     e = F.col(us_col)
-    k_lo = F.greatest(ceil_div(e + F.lit(lo_us) - F.col(ORIGIN), F.lit(step)), F.lit(0).cast("long"))
-    k_hi = F.least(floor_div(e + F.lit(hi_us) - F.col(ORIGIN), F.lit(step)), F.col(LAST_K))
+    lo = lo_us if isinstance(lo_us, Column) else F.lit(lo_us)
+    hi = hi_us if isinstance(hi_us, Column) else F.lit(hi_us)
+    k_lo = F.greatest(ceil_div(e + lo - F.col(ORIGIN), F.lit(step)), F.lit(0).cast("long"))
+    k_hi = F.least(floor_div(e + hi - F.col(ORIGIN), F.lit(step)), F.col(LAST_K))
     j = j.withColumn("_klo", k_lo).withColumn("_khi", k_hi).where(F.col("_klo") <= F.col("_khi"))
     j = j.withColumn(K, F.explode(F.sequence(F.col("_klo"), F.col("_khi"))))
     return (j.withColumn("grid_us", F.col(ORIGIN) + F.col(K) * F.lit(step))

@@ -48,7 +48,7 @@ def _agg_expr(kind: str, in_w: Column, v: Column | None, tb: Column) -> Column:
     if kind == "std":
         return F.stddev_pop(F.when(in_w, v))
     if kind == "distinct":
-        return F.size(F.collect_set(F.when(in_w, F.coalesce(v.cast("string"), F.lit("")))))
+        return F.size(F.collect_set(F.when(in_w, F.coalesce(v.cast("string"), F.lit(""))))).cast("long")
     if kind in ("concat", "text"):
         item = F.when(in_w, F.struct(F.col("_e").alias("e"), tb.alias("tb"), v.cast("string").alias("v")))
         return _ordered_text(F.collect_list(item), " | " if kind == "concat" else " ")
@@ -148,7 +148,7 @@ def rolling_over_timeline(timeline: DataFrame, events: DataFrame, keys: Sequence
         elif kind == "std":
             e = F.stddev_pop(v).over(win)
         elif kind == "distinct":
-            e = F.size(F.collect_set(F.when(is_ev, F.coalesce(v.cast("string"), F.lit("")))).over(win))
+            e = F.size(F.collect_set(F.when(is_ev, F.coalesce(v.cast("string"), F.lit("")))).over(win)).cast("long")
         else:
             raise ValueError(f"kind {kind!r} not supported on arbitrary timelines")
         exprs.append(e.alias(name))
