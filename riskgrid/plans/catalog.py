@@ -248,3 +248,226 @@ def gold(spark, d):
 @register("build_features", O.BUILD_FEATURES, O.GOLD_DOUBLES)
 def q_build_features(spark, d):
     return gold(spark, d)
+
+
+# ---------------------------------------------------------------- scored timeline + reports
+from riskgrid.functions import predicates as PR  # noqa: E402
+from riskgrid.operators import metrics as MT  # noqa: E402
+from riskgrid.operators import splits as SP  # noqa: E402
+from riskgrid.operators.asof import lookup_with_fallback, nearest_snapshot, split_by_membership  # noqa: E402
+from riskgrid.operators.grid import ORIGIN  # noqa: E402
+from riskgrid.plans import reports as R  # noqa: E402
+
+NOON_US = 12 * 3600 * 1_000_000
+
+
+def scored(spark, d):
+    """Labels + a deterministic risk score from the 30-minute message count."""
+    spec, g = _grid(spark, d, meta=True)
+    lab = forward_labels(g, spec, _events(spark, d), KEYS, D.GRID_S, 300, 1800)
+    t = rolling_to_grid(lab, spec, D.messages(spark, d), KEYS, "date", D.GRID_S,
+                        [("msg_count_1800s", "count", None, 1800)])
+    c = F.col("msg_count_1800s").cast("double")
+    return t.withColumn("risk_score", c / (c + 5.0))
+
+
+def _session_noon(spark, d):
+    spec = grid_spec(D.sessions(spark, d), KEYS, D.GRID_S)
+    return spec.select("session_key", (F.col(ORIGIN) + F.lit(NOON_US)).alias("_at"))
+
+
+def _orders_y(spark, d):
+    o = D.table(spark, d, "orders")
+    y = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    return o.withColumn("y", y).withColumn("year", F.year("o_orderdate"))
+
+
+@register("session_list", O.SESSION_LIST)
+def q_session_list(spark, d):
+    return R.session_list(scored(spark, d))
+
+
+@register("overview", O.OVERVIEW, ("positive_rate_pct",))
+def q_overview(spark, d):
+    return R.overview(scored(spark, d))
+
+
+@register("rate_by_year", O.RATE_BY_YEAR, ("sc_rate_pct",))
+def q_rate_by_year(spark, d):
+    return R.rate_by(_orders_y(spark, d), "year", session_col="o_custkey", y_col="y")
+
+
+@register("rate_top30", O.RATE_TOP30, ("sc_rate_pct",))
+def q_rate_top30(spark, d):
+    o = _orders_y(spark, d).join(D.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return R.rate_top(o, "c_name", 30, session_col="o_custkey", y_col="y")
+
+
+@register("means_by_year", O.MEANS_BY_YEAR, ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+def q_means_by_year(spark, d):
+    li = D.table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return R.means_by(li, "year", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@register("session_risk", O.SESSION_RISK, ("peak_risk",))
+def q_session_risk(spark, d):
+    return R.session_risk(scored(spark, d))
+
+
+@register("latest_delta", O.LATEST_DELTA, ("latest_risk", "risk_delta"))
+def q_latest_delta(spark, d):
+    return R.latest_delta(scored(spark, d))
+
+
+@register("series_tail", O.SERIES_TAIL, ("risk_score",))
+def q_series_tail(spark, d):
+    return R.series_tail(scored(spark, d), ["session_key"], K, 10).select("session_key", K, "risk_score")
+
+
+@register("bbox", O.BBOX)
+def q_bbox(spark, d):
+    return R.bbox(D.messages(spark, d).withColumn("uid", F.col("driver_number").cast("long")),
+                  ["session_key"], "value", "uid")
+
+
+@register("messages_by_time", O.MESSAGES_BY_TIME)
+def q_messages_by_time(spark, d):
+    return R.messages_by_time(D.messages(spark, d))
+
+
+@register("importance_topk", O.IMPORTANCE_TOPK, ("revenue", "relative_pct"))
+def q_importance_topk(spark, d):
+    li = D.table(spark, d, "lineitem")
+    rev = li.groupBy("l_partkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    return R.top_n_with_share(rev, "l_partkey", "revenue", 20)
+
+
+@register("messages_symmetric", O.MESSAGES_SYMMETRIC)
+def q_messages_symmetric(spark, d):
+    m = D.messages(spark, d).join(_session_noon(spark, d), "session_key")
+    return R.window_around(m, F.col("_at"), 1800, symmetric=True).select(
+        "session_key", "event_id", "time", "category", "message")
+
+
+@register("messages_trailing", O.MESSAGES_TRAILING)
+def q_messages_trailing(spark, d):
+    m = D.messages(spark, d).join(_session_noon(spark, d), "session_key")
+    return R.window_around(m, F.col("_at"), 3600, symmetric=False).select(
+        "session_key", "event_id", "time", "category", "message")
+
+
+@register("replay_cut", O.REPLAY_CUT, ("risk_score",))
+def q_replay_cut(spark, d):
+    s = scored(spark, d).join(_session_noon(spark, d), "session_key")
+    return R.replay_cut(s, "timestamp", F.col("_at")).select("session_key", K, "risk_score")
+
+
+@register("severity_class", O.SEVERITY_CLASS)
+def q_severity_class(spark, d):
+    m = D.messages(spark, d)
+    return m.select("event_id", PR.message_class().alias("message_class"), PR.flag_class().alias("flag_class"),
+                    PR.category_highlight().alias("category_highlight"),
+                    PR.highlight_any(["category", "message"], ("error", "signup", "k\": 9")).alias("highlight"),
+                    PR.is_intervention_message(needles=("error", "purchase {")).alias("is_intervention"))
+
+
+@register("risk_band", O.RISK_BAND, ("risk_score",))
+def q_risk_band(spark, d):
+    s = scored(spark, d)
+    return s.select("session_key", K, "risk_score", PR.risk_band("risk_score").alias("risk_band"),
+                    PR.rate_band("msg_count_1800s").alias("rate_band"),
+                    (F.col("risk_score") > 0.5).alias("high_risk_point"))
+
+
+@register("session_selector", O.SESSION_SELECTOR)
+def q_session_selector(spark, d):
+    s = D.sessions(spark, d)
+    return s.where((F.col("year") == 2024) & (F.col("meeting_name") == "Monday")).select("session_key").distinct()
+
+
+@register("union_by_name", O.UNION_BY_NAME)
+def q_union_by_name(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    e = D.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("amount"),
+                                           F.col("event_type").alias("kind"))
+    return o.unionByName(e, allowMissingColumns=True)
+
+
+@register("distinct_values", O.DISTINCT_VALUES)
+def q_distinct_values(spark, d):
+    return D.table(spark, d, "events").select("event_type").distinct()
+
+
+@register("nearest_snapshot", O.NEAREST_SNAPSHOT)
+def q_nearest_snapshot(spark, d):
+    m = D.messages(spark, d).join(_session_noon(spark, d), "session_key")
+    return nearest_snapshot(m, "date", "driver_number", "_at", 7200, ["value", "event_id"], group_cols=["session_key"])
+
+
+@register("lookup_fallback", O.LOOKUP_FALLBACK)
+def q_lookup_fallback(spark, d):
+    o = D.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return lookup_with_fallback(o, D.table(spark, d, "customer"), "o_custkey", "c_custkey", "c_name", "label",
+                                order_col="c_custkey")
+
+
+@register("membership_split", O.MEMBERSHIP_SPLIT)
+def q_membership_split(spark, d):
+    o = D.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    test_c = D.table(spark, d, "customer").where(F.col("c_mktsegment") == "BUILDING").select(
+        F.col("c_custkey").alias("o_custkey"))
+    train, test = split_by_membership(o, test_c, "o_custkey")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+# ---------------------------------------------------------------- splits
+@register("temporal_split", O.TEMPORAL_SPLIT)
+def q_temporal_split(spark, d):
+    o = D.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return SP.temporal_split(o, "o_custkey", "o_orderdate", 0.2).select("o_orderkey", "split")
+
+
+@register("nested_split", O.NESTED_SPLIT)
+def q_nested_split(spark, d):
+    o = D.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return SP.nested_split(o, "o_custkey", "o_orderdate", 0.2, 0.15).select("o_orderkey", "split")
+
+
+@register("group_kfold", O.GROUP_KFOLD)
+def q_group_kfold(spark, d):
+    o = D.table(spark, d, "orders").join(D.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return SP.group_kfold(o, "c_nationkey", 5)
+
+
+# ---------------------------------------------------------------- metrics
+def _doc_scores(spark, d):
+    lab = D.table(spark, d, "labels")
+    doc = D.table(spark, d, "documents")
+    j = lab.join(doc, "doc_id")
+    return j.select("doc_id", F.col("toxic").alias("y"),
+                    (F.col("n_chars") / (F.col("n_chars") + 2000.0)).alias("p"))
+
+
+@register("rank_metrics", O.RANK_METRICS, ("pr_auc", "roc_auc", "brier_score", "positive_rate"))
+def q_rank_metrics(spark, d):
+    return MT.rank_metrics(_doc_scores(spark, d), "y", "p")
+
+
+@register("pr_curve", O.PR_CURVE, ("threshold", "precision", "recall"))
+def q_pr_curve(spark, d):
+    return MT.pr_curve(_doc_scores(spark, d), "y", "p")
+
+
+@register("roc_curve", O.ROC_CURVE, ("threshold", "fpr", "tpr"))
+def q_roc_curve(spark, d):
+    return MT.roc_curve(_doc_scores(spark, d), "y", "p")
+
+
+@register("calibration", O.CALIBRATION, ("prob_true", "prob_pred"))
+def q_calibration(spark, d):
+    return MT.calibration(_doc_scores(spark, d), "y", "p", 10)
+
+
+@register("alert_policy", O.ALERT_POLICY)
+def q_alert_policy(spark, d):
+    return MT.alert_policy(scored(spark, d), "session_key", "y_sc_5m", "risk_score", "time_to_sc_seconds")

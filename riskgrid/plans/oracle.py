@@ -253,3 +253,243 @@ FROM grid g
 JOIN lab USING (session_key, grid_k) JOIN cnt USING (session_key, grid_k) JOIN flg USING (session_key, grid_k)
 JOIN ent USING (session_key, grid_k) JOIN wb USING (session_key, grid_k) JOIN pdyn USING (session_key, grid_k)
 JOIN gp USING (session_key, grid_k)"""
+
+
+# ---------------------------------------------------------------- scored timeline + reports
+_C1800 = f"""c18 AS (SELECT g.session_key, g.grid_k, count(e.event_id) AS msg_count_1800s
+FROM grid g LEFT JOIN ev e ON {_win('e', 1800)} GROUP BY g.session_key, g.grid_k)"""
+_SC = """sc AS (SELECT g.session_key, g.meeting_key, g.year, g.meeting_name, g.grid_k, g.timestamp, g.grid_us,
+       lab.y_sc_5m, lab.time_to_sc_seconds, c18.msg_count_1800s,
+       CAST(c18.msg_count_1800s AS DOUBLE) / (CAST(c18.msg_count_1800s AS DOUBLE) + 5.0) AS risk_score
+FROM grid g JOIN lab USING (session_key, grid_k) JOIN c18 USING (session_key, grid_k))"""
+SCORED = f"WITH RECURSIVE {BASE}, {_MERGE}, {_LAB}, {_C1800}, {_SC}"
+NOON = 12 * 3600 * US
+
+SESSION_LIST = f"""{SCORED}
+SELECT session_key, min(meeting_key) AS meeting_key, min(meeting_name) AS meeting_name, min(year) AS year
+FROM sc GROUP BY session_key"""
+
+OVERVIEW = f"""{SCORED}
+SELECT count(DISTINCT session_key) AS total_sessions, count(*) AS total_grid_points,
+       round_even(avg(y_sc_5m) * 100, 2) AS positive_rate_pct, CAST(sum(y_sc_5m) AS BIGINT) AS sc_event_windows,
+       array_to_string(list_sort(list(DISTINCT year)), ',') AS years_covered,
+       CAST(count(DISTINCT year) AS BIGINT) AS years_count
+FROM sc"""
+
+_OY = """oy AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
+              CAST(year(o_orderdate) AS INTEGER) AS year FROM orders)"""
+
+RATE_BY_YEAR = f"""WITH {_OY}
+SELECT year, count(DISTINCT o_custkey) AS sessions, CAST(sum(y) AS BIGINT) AS sc_windows, count(y) AS total_windows,
+       round_even(sum(y) / count(y) * 100, 2) AS sc_rate_pct
+FROM oy WHERE year IS NOT NULL GROUP BY year"""
+
+RATE_TOP30 = f"""WITH {_OY},
+j AS (SELECT oy.*, c.c_name FROM oy JOIN customer c ON oy.o_custkey = c.c_custkey),
+r AS (SELECT c_name, count(DISTINCT o_custkey) AS sessions, CAST(sum(y) AS BIGINT) AS sc_windows,
+             count(y) AS total_windows, round_even(sum(y) / count(y) * 100, 2) AS sc_rate_pct
+      FROM j WHERE c_name IS NOT NULL GROUP BY c_name)
+SELECT * FROM r ORDER BY sc_rate_pct DESC, c_name ASC LIMIT 30"""
+
+MEANS_BY_YEAR = """SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
+       round_even(avg(l_quantity), 2) AS l_quantity, round_even(avg(l_extendedprice), 2) AS l_extendedprice,
+       round_even(avg(l_discount), 2) AS l_discount, round_even(avg(l_tax), 2) AS l_tax
+FROM lineitem GROUP BY CAST(year(l_shipdate) AS INTEGER)"""
+
+SESSION_RISK = f"""{SCORED},
+edges AS (SELECT session_key, count(*) AS sc_event_starts FROM (
+            SELECT session_key, y_sc_5m, lag(y_sc_5m, 1, 0) OVER (PARTITION BY session_key ORDER BY grid_k) AS py
+            FROM sc) t WHERE y_sc_5m = 1 AND py = 0 GROUP BY session_key)
+SELECT s.session_key, max(s.risk_score) AS peak_risk, CAST(sum(s.y_sc_5m) AS BIGINT) AS sc_windows,
+       count(*) AS grid_points, coalesce(max(e.sc_event_starts), 0) AS sc_event_starts
+FROM sc s LEFT JOIN edges e USING (session_key) GROUP BY s.session_key"""
+
+LATEST_DELTA = f"""{SCORED},
+t AS (SELECT session_key, risk_score, row_number() OVER (PARTITION BY session_key ORDER BY grid_k DESC) AS rn FROM sc)
+SELECT session_key, max(CASE WHEN rn = 1 THEN risk_score END) AS latest_risk,
+       max(CASE WHEN rn = 1 THEN risk_score END) - coalesce(max(CASE WHEN rn = 2 THEN risk_score END), 0.0) AS risk_delta
+FROM t WHERE rn <= 2 GROUP BY session_key"""
+
+SERIES_TAIL = f"""{SCORED}
+SELECT session_key, grid_k, risk_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY grid_k DESC) AS rn FROM sc) t WHERE rn <= 10"""
+
+BBOX = f"""WITH {EV}
+SELECT session_key, min(value) - CAST(2000 AS DOUBLE) AS x_min, max(value) + CAST(2000 AS DOUBLE) AS x_max,
+       min(user_id) - CAST(2000 AS DOUBLE) AS y_min, max(user_id) + CAST(2000 AS DOUBLE) AS y_max
+FROM ev GROUP BY session_key"""
+
+MESSAGES_BY_TIME = f"""WITH {EV}
+SELECT session_key, category, flag, message, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS date FROM ev"""
+
+IMPORTANCE_TOPK = """WITH r AS (SELECT l_partkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY l_partkey),
+t AS (SELECT * FROM r ORDER BY revenue DESC, l_partkey ASC LIMIT 20)
+SELECT l_partkey, revenue, revenue / max(revenue) OVER () * 100 AS relative_pct FROM t"""
+
+_NOONM = f"nm AS (SELECT e.*, s.s_us + {NOON} AS at_us FROM ev e JOIN sess s USING (session_key))"
+
+MESSAGES_SYMMETRIC = f"""WITH {EV}, {SESS}, {_NOONM}
+SELECT session_key, event_id, strftime(ts, '%H:%M:%S') AS time, category, message
+FROM nm WHERE us >= at_us - {1800 * US} AND us <= at_us + {1800 * US}"""
+
+MESSAGES_TRAILING = f"""WITH {EV}, {SESS}, {_NOONM}
+SELECT session_key, event_id, strftime(ts, '%H:%M:%S') AS time, category, message
+FROM nm WHERE us >= at_us - {3600 * US} AND us <= at_us"""
+
+REPLAY_CUT = f"""{SCORED}
+SELECT sc.session_key, sc.grid_k, sc.risk_score FROM sc JOIN sess s USING (session_key)
+WHERE sc.grid_us <= s.s_us + {NOON}"""
+
+
+def _any_contains(text: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
+
+
+_CAT, _MSG, _FLG = "coalesce(category, '')", "coalesce(message, '')", "coalesce(flag, '')"
+_JOINED = f"lower(concat_ws(' ', {_CAT}, {_MSG}, {_FLG}))"
+
+SEVERITY_CLASS = f"""WITH {EV}
+SELECT event_id,
+  CASE WHEN {_any_contains(_JOINED, ('safety car', 'vsc', 'virtual safety car'))} THEN 'intervention'
+       WHEN contains(lower({_FLG}), 'red') OR contains(lower({_CAT}), 'red') THEN 'red'
+       WHEN contains(lower({_FLG}), 'yellow') OR contains(lower({_CAT}), 'yellow') THEN 'yellow'
+       WHEN contains(lower({_FLG}), 'green') OR contains(lower({_CAT}), 'green') THEN 'green'
+       WHEN contains(lower({_FLG}), 'chequered') THEN 'chequered' ELSE 'other' END AS message_class,
+  CASE WHEN {_any_contains(f'lower({_FLG})', ('safety car', 'sc'))} THEN 'intervention'
+       WHEN contains(lower({_FLG}), 'virtual') THEN 'virtual'
+       WHEN contains(lower({_FLG}), 'red') THEN 'red'
+       WHEN contains(lower({_FLG}), 'yellow') THEN 'yellow'
+       WHEN contains(lower({_FLG}), 'green') THEN 'green'
+       WHEN {_any_contains(f'lower({_FLG})', ('chequered', 'checkered'))} THEN 'chequered' ELSE 'other' END AS flag_class,
+  CASE WHEN contains({_CAT}, 'SafetyCar') THEN 'sc' WHEN contains({_CAT}, 'VirtualSafetyCar') THEN 'vsc' ELSE '' END
+       AS category_highlight,
+  ({_any_contains(f'lower({_CAT})', ('error', 'signup', 'k": 9'))} OR
+   {_any_contains(f'lower({_MSG})', ('error', 'signup', 'k": 9'))}) AS highlight,
+  {_any_contains(_JOINED, ('error', 'purchase {'))} AS is_intervention
+FROM ev"""
+
+RISK_BAND = f"""{SCORED}
+SELECT session_key, grid_k, risk_score,
+  CASE WHEN risk_score >= CAST(0.6 AS DOUBLE) THEN 'high' WHEN risk_score >= CAST(0.35 AS DOUBLE) THEN 'medium'
+       ELSE 'low' END AS risk_band,
+  CASE WHEN msg_count_1800s > 5 THEN 'high' WHEN msg_count_1800s > 3 THEN 'medium' ELSE 'low' END AS rate_band,
+  risk_score > CAST(0.5 AS DOUBLE) AS high_risk_point
+FROM sc"""
+
+SESSION_SELECTOR = f"""WITH {EV}, {SESS}
+SELECT DISTINCT session_key FROM sess WHERE year = 2024 AND meeting_name = 'Monday'"""
+
+UNION_BY_NAME = """SELECT o_orderkey AS id, o_totalprice AS amount, CAST(NULL AS VARCHAR) AS kind FROM orders
+UNION ALL SELECT event_id AS id, value AS amount, event_type AS kind FROM events"""
+
+DISTINCT_VALUES = "SELECT DISTINCT event_type FROM events"
+
+NEAREST_SNAPSHOT = f"""WITH {EV}, {SESS},
+m AS (SELECT e.session_key, e.driver_number, e.value, e.event_id, e.ts AS date, e.us,
+             abs(e.us - (s.s_us + {NOON})) AS dd
+      FROM ev e JOIN sess s USING (session_key) WHERE abs(e.us - (s.s_us + {NOON})) <= {7200 * US}),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_key, driver_number ORDER BY dd, us) AS rn FROM m)
+SELECT session_key, driver_number, value, event_id, date FROM r WHERE rn = 1"""
+
+LOOKUP_FALLBACK = """WITH d AS (SELECT CAST(c_custkey AS VARCHAR) AS k, arg_max(c_name, c_custkey) AS lab
+           FROM customer GROUP BY CAST(c_custkey AS VARCHAR))
+SELECT o.o_orderkey, o.o_custkey, coalesce(CAST(d.lab AS VARCHAR), CAST(o.o_custkey AS VARCHAR)) AS label
+FROM orders o LEFT JOIN d ON CAST(o.o_custkey AS VARCHAR) = d.k"""
+
+MEMBERSHIP_SPLIT = """SELECT o_orderkey, o_custkey,
+       CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'test'
+            ELSE 'train' END AS split
+FROM orders"""
+
+# ---------------------------------------------------------------- splits
+_TSPLIT = """g AS (SELECT o_custkey, min(o_orderdate) AS f FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
+n AS (SELECT greatest(1, CAST(floor(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT)) AS nt FROM g),
+r AS (SELECT o_custkey, row_number() OVER (ORDER BY f DESC NULLS LAST, o_custkey DESC) AS rn FROM g),
+t AS (SELECT o_custkey FROM r, n WHERE rn <= nt)"""
+
+TEMPORAL_SPLIT = f"""WITH {_TSPLIT}
+SELECT o.o_orderkey, CASE WHEN t.o_custkey IS NOT NULL THEN 'test' ELSE 'train' END AS split
+FROM orders o LEFT JOIN t USING (o_custkey)"""
+
+NESTED_SPLIT = f"""WITH {_TSPLIT},
+g2 AS (SELECT * FROM g WHERE o_custkey NOT IN (SELECT o_custkey FROM t)),
+n2 AS (SELECT greatest(1, CAST(floor(count(*) * CAST(0.15 AS DOUBLE)) AS BIGINT)) AS nt FROM g2),
+r2 AS (SELECT o_custkey, row_number() OVER (ORDER BY f DESC NULLS LAST, o_custkey DESC) AS rn FROM g2),
+v AS (SELECT o_custkey FROM r2, n2 WHERE rn <= nt)
+SELECT o.o_orderkey,
+       CASE WHEN t.o_custkey IS NOT NULL THEN 'test' WHEN v.o_custkey IS NOT NULL THEN 'val' ELSE 'inner' END AS split
+FROM orders o LEFT JOIN t USING (o_custkey) LEFT JOIN v USING (o_custkey)"""
+
+_P = "list_position(r.loads, list_min(r.loads))"
+GROUP_KFOLD = f"""WITH RECURSIVE
+s AS (SELECT c.c_nationkey AS g, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+      WHERE c.c_nationkey IS NOT NULL GROUP BY c.c_nationkey),
+o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g ASC) AS i FROM s),
+kk AS (SELECT least(5, count(*)) AS k FROM s),
+r AS (SELECT CAST(0 AS BIGINT) AS i, list_resize(CAST([] AS BIGINT[]), k, CAST(0 AS BIGINT)) AS loads,
+             CAST(NULL AS INTEGER) AS g, CAST(NULL AS INTEGER) AS fold FROM kk
+      UNION ALL
+      SELECT o.i, list_concat(list_concat(r.loads[1:{_P} - 1], [r.loads[{_P}] + o.n]), r.loads[{_P} + 1:]),
+             o.g, CAST({_P} - 1 AS INTEGER)
+      FROM r JOIN o ON o.i = r.i + 1)
+SELECT s.g AS c_nationkey, s.n AS n_rows, r.fold FROM r JOIN s ON r.g = s.g WHERE r.i > 0"""
+
+# ---------------------------------------------------------------- metrics
+_DS = """ds AS (SELECT CAST(l.toxic AS DOUBLE) AS y,
+              CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2000.0) AS p
+       FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND d.n_chars IS NOT NULL),
+per AS (SELECT p, sum(y) AS tp, sum(1 - y) AS fp, sum((p - y) * (p - y)) AS se, count(*) AS n FROM ds GROUP BY p),
+cs AS (SELECT *, sum(tp) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+              sum(fp) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cfp,
+              row_number() OVER (ORDER BY p DESC) AS i,
+              sum(tp) OVER () AS tot_p, sum(fp) OVER () AS tot_n FROM per)"""
+
+RANK_METRICS = f"""WITH {_DS}
+SELECT sum(tp * ctp / (ctp + cfp)) / sum(tp) AS pr_auc,
+       sum(fp * (ctp - tp / 2)) / (sum(tp) * sum(fp)) AS roc_auc,
+       sum(se) / sum(n) AS brier_score, sum(tp) / sum(n) AS positive_rate,
+       CAST(sum(n) AS BIGINT) AS n_samples, CAST(sum(tp) AS BIGINT) AS n_positive
+FROM cs"""
+
+PR_CURVE = f"""WITH {_DS},
+ps AS (SELECT max(p) AS pstar FROM cs WHERE ctp >= tot_p)
+SELECT p AS threshold, ctp / (ctp + cfp) AS precision, ctp / tot_p AS recall FROM cs, ps WHERE p >= pstar
+UNION ALL SELECT CAST(NULL AS DOUBLE), 1.0, 0.0"""
+
+ROC_CURVE = f"""WITH {_DS},
+nb AS (SELECT *, lag(ctp) OVER (ORDER BY i) AS tp0, lag(cfp) OVER (ORDER BY i) AS fp0,
+              lead(ctp) OVER (ORDER BY i) AS tp2, lead(cfp) OVER (ORDER BY i) AS fp2,
+              max(i) OVER () AS last_i FROM cs)
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT p, cfp / tot_n, ctp / tot_p FROM nb
+WHERE i = 1 OR i = last_i OR fp2 - 2 * cfp + fp0 <> 0 OR tp2 - 2 * ctp + tp0 <> 0"""
+
+
+def _calibration_sql(n_bins: int = 10) -> str:
+    import numpy as np
+    edges = [float(e) for e in np.linspace(0.0, 1.0, n_bins + 1)[1:-1]]
+    b = " + ".join(f"CASE WHEN p > CAST({e!r} AS DOUBLE) THEN 1 ELSE 0 END" for e in edges)
+    return f"""WITH {_DS}
+SELECT CAST({b} AS INTEGER) AS bin, avg(y) AS prob_true, avg(p) AS prob_pred FROM ds GROUP BY 1"""
+
+
+CALIBRATION = _calibration_sql(10)
+
+ALERT_POLICY = f"""{SCORED},
+th AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]::DOUBLE[]) AS threshold),
+x AS (SELECT th.threshold, sc.session_key, sc.y_sc_5m AS y, sc.risk_score AS p, sc.time_to_sc_seconds AS tte,
+             sc.risk_score >= th.threshold AS a FROM sc, th),
+ps AS (SELECT threshold, session_key, sum(CASE WHEN a THEN 1 ELSE 0 END) AS na FROM x GROUP BY threshold, session_key),
+pt AS (SELECT threshold, avg(na) AS apr FROM ps GROUP BY threshold),
+c AS (SELECT threshold, sum(CASE WHEN a AND y = 1 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN a AND y <> 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN NOT a AND y = 1 THEN 1 ELSE 0 END) AS fn,
+             sum(CASE WHEN NOT a AND y <> 1 THEN 1 ELSE 0 END) AS tn,
+             median(CASE WHEN a AND y = 1 THEN tte END) AS lead
+      FROM x GROUP BY threshold)
+SELECT c.threshold, round_even(pt.apr, 2) AS alerts_per_race, round_even(c.lead, 1) AS median_lead_time_s,
+       round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS true_positive_rate,
+       round_even(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 4) AS false_positive_rate,
+       round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision
+FROM c JOIN pt USING (threshold)"""
