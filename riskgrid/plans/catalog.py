@@ -471,3 +471,19 @@ def q_calibration(spark, d):
 @register("alert_policy", O.ALERT_POLICY)
 def q_alert_policy(spark, d):
     return MT.alert_policy(scored(spark, d), "session_key", "y_sc_5m", "risk_score", "time_to_sc_seconds")
+
+
+# ---------------------------------------------------------------- text vectors
+from riskgrid.operators import text_vectors as TV  # noqa: E402
+
+
+@register("tfidf_weights", O.TFIDF_WEIGHTS, ("weight",))
+def q_tfidf_weights(spark, d):
+    w, _ = TV.tfidf(D.table(spark, d, "documents"), "doc_id", "text")
+    return w
+
+
+@register("tfidf_vocabulary", O.TFIDF_VOCAB, ("idf",))
+def q_tfidf_vocabulary(spark, d):
+    _, v = TV.tfidf(D.table(spark, d, "documents"), "doc_id", "text")
+    return v

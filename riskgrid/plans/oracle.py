@@ -493,3 +493,24 @@ SELECT c.threshold, round_even(pt.apr, 2) AS alerts_per_race, round_even(c.lead,
        round_even(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 4) AS false_positive_rate,
        round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision
 FROM c JOIN pt USING (threshold)"""
+
+
+# ---------------------------------------------------------------- text vectors
+_TOK = r"""dt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS toks
+       FROM documents),
+pos AS (SELECT doc_id, toks, generate_subscripts(toks, 1) AS i FROM dt),
+terms AS (SELECT doc_id, toks[i] AS term FROM pos
+          UNION ALL SELECT doc_id, toks[i] || ' ' || toks[i + 1] FROM pos WHERE i + 1 <= len(toks)
+          UNION ALL SELECT doc_id, toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2] FROM pos
+                    WHERE i + 2 <= len(toks)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+nd AS (SELECT count(doc_id) AS n FROM documents),
+voc AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term ASC LIMIT 5000),
+vi AS (SELECT term, df, CAST(cf AS BIGINT) AS cf, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM voc, nd),
+w AS (SELECT tf.doc_id, tf.term, (1.0 + ln(tf.tf)) * vi.idf AS w FROM tf JOIN vi USING (term)),
+nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id)"""
+
+TFIDF_WEIGHTS = f"""WITH {_TOK}
+SELECT w.doc_id, w.term, w.w / nrm.nrm AS weight FROM w JOIN nrm USING (doc_id)"""
+
+TFIDF_VOCAB = f"WITH {_TOK}\nSELECT term, df, cf, idf FROM vi"
