@@ -487,3 +487,74 @@ def q_tfidf_weights(spark, d):
 def q_tfidf_vocabulary(spark, d):
     _, v = TV.tfidf(D.table(spark, d, "documents"), "doc_id", "text")
     return v
+
+
+# ---------------------------------------------------------------- bronze / sources
+from riskgrid.functions.predicates import coerce_double, rainfall_double  # noqa: E402
+from riskgrid.functions.time import parse_ts  # noqa: E402
+from riskgrid.sources import bronze as BZ  # noqa: E402
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def _iso_sessions(spark, d):
+    s = D.sessions(spark, d)
+    return s.withColumn("date_start", F.date_format("date_start", ISO)).withColumn("date_end", F.date_format("date_end", ISO))
+
+
+def _offsets(spark, d, where=None):
+    m = D.messages(spark, d)
+    if where is not None:
+        m = m.where(where)
+    start = grid_spec(D.sessions(spark, d), KEYS, D.GRID_S).select("session_key", F.col(ORIGIN).alias("_s"))
+    return BZ.event_offsets(m.join(start, "session_key"), "date", "_s")
+
+
+@register("bronze_standardise", O.BRONZE_STANDARDISE)
+def q_bronze_standardise(spark, d):
+    raw = _offsets(spark, d).select("session_key", F.col("offset_us").alias("Time"), F.col("message").alias("Message"),
+                                    F.col("category").alias("Category"), F.col("flag").alias("Flag"),
+                                    F.col("driver_number").alias("RacingNumber"))
+    return BZ.standardise_race_control(raw, _iso_sessions(spark, d))
+
+
+@register("session_bounds", O.SESSION_BOUNDS)
+def q_session_bounds(spark, d):
+    laps = _offsets(spark, d, F.col("category") == "click")
+    weather = _offsets(spark, d, F.col("category") == "view")
+    s = _iso_sessions(spark, d).drop("date_end")
+    return BZ.session_bounds(s, laps, weather)
+
+
+@register("anti_ingest", O.ANTI_INGEST)
+def q_anti_ingest(spark, d):
+    m = D.messages(spark, d)
+    existing = m.where((F.col("category") == "signup") & (F.col("value") > 300)).select("session_key")
+    return BZ.not_yet_ingested(D.sessions(spark, d), existing).select("session_key")
+
+
+@register("session_keys", O.SESSION_KEYS)
+def q_session_keys(spark, d):
+    o = D.table(spark, d, "orders").select(F.year("o_orderdate").alias("year"),
+                                           F.month("o_orderdate").alias("round_number")).distinct()
+    return BZ.session_keys(o).select("session_key", "meeting_key", "year", "round_number")
+
+
+@register("coerce_values", O.COERCE_VALUES)
+def q_coerce_values(spark, d):
+    ev = D.table(spark, d, "events")
+    raw_rain = (F.when(F.col("value") > 300, F.lit("true")).when(F.col("value") < 10, F.lit("False"))
+                .otherwise(F.col("value").cast("string")))
+    return ev.select("event_id", coerce_double(F.get_json_object("props", "$.k")).alias("k"),
+                     rainfall_double(raw_rain).alias("rainfall"))
+
+
+@register("parse_timestamps", O.PARSE_TIMESTAMPS)
+def q_parse_timestamps(spark, d):
+    ev = D.table(spark, d, "events")
+    iso = F.date_format("ts", ISO)
+    s = (F.when(F.col("event_type") == "view", F.concat(iso, F.lit("Z")))
+         .when(F.col("event_type") == "click", F.concat(iso, F.lit("+02:00")))
+         .when(F.col("event_type") == "error", F.lit("not a time"))
+         .otherwise(iso))
+    return ev.select("event_id", parse_ts(s).alias("parsed"))

@@ -514,3 +514,43 @@ TFIDF_WEIGHTS = f"""WITH {_TOK}
 SELECT w.doc_id, w.term, w.w / nrm.nrm AS weight FROM w JOIN nrm USING (doc_id)"""
 
 TFIDF_VOCAB = f"WITH {_TOK}\nSELECT term, df, cf, idf FROM vi"
+
+
+# ---------------------------------------------------------------- bronze / sources
+BRONZE_STANDARDISE = f"""WITH {EV}, {SESS}
+SELECT e.ts AS date, e.category, e.message, e.flag, CAST(NULL AS VARCHAR) AS scope, CAST(NULL AS VARCHAR) AS sector,
+       e.driver_number, e.session_key, s.meeting_key, s.year, s.meeting_name
+FROM ev e JOIN sess s USING (session_key)"""
+
+_ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
+SESSION_BOUNDS = f"""WITH {EV}, {SESS},
+lp AS (SELECT e.session_key, max(e.us - s.s_us) AS lap FROM ev e JOIN sess s USING (session_key)
+       WHERE e.event_type = 'click' GROUP BY e.session_key),
+wt AS (SELECT e.session_key, max(e.us - s.s_us) AS w FROM ev e JOIN sess s USING (session_key)
+       WHERE e.event_type = 'view' GROUP BY e.session_key)
+SELECT s.session_key, s.meeting_key, s.year, s.meeting_name, strftime(make_timestamp(s.s_us), {_ISO}) AS date_start,
+       strftime(make_timestamp(coalesce(s.s_us + lp.lap, s.s_us + wt.w, s.s_us + {7200 * US})), {_ISO}) AS date_end
+FROM sess s LEFT JOIN lp USING (session_key) LEFT JOIN wt USING (session_key)"""
+
+ANTI_INGEST = f"""WITH {EV}, {SESS}
+SELECT session_key FROM sess
+WHERE session_key NOT IN (SELECT session_key FROM ev WHERE event_type = 'signup' AND value > 300)"""
+
+SESSION_KEYS = """WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year,
+                  CAST(month(o_orderdate) AS INTEGER) AS round_number FROM orders)
+SELECT TRY_CAST(CAST(year AS VARCHAR) || lpad(CAST(round_number AS VARCHAR), 2, '0') AS BIGINT) AS session_key,
+       TRY_CAST(CAST(year AS VARCHAR) || lpad(CAST(round_number AS VARCHAR), 2, '0') || '0' AS BIGINT) AS meeting_key,
+       year, round_number
+FROM y WHERE TRY_CAST(CAST(year AS VARCHAR) || lpad(CAST(round_number AS VARCHAR), 2, '0') AS BIGINT) IS NOT NULL"""
+
+COERCE_VALUES = """WITH r AS (SELECT event_id, props,
+       CASE WHEN value > 300 THEN 'true' WHEN value < 10 THEN 'False' ELSE CAST(value AS VARCHAR) END AS raw_rain
+       FROM events)
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+       coalesce(CASE WHEN lower(trim(raw_rain)) = 'true' THEN 1.0 WHEN lower(trim(raw_rain)) = 'false' THEN 0.0
+                     ELSE TRY_CAST(lower(trim(raw_rain)) AS DOUBLE) END, 0.0) AS rainfall
+FROM r"""
+
+PARSE_TIMESTAMPS = """SELECT event_id,
+       CASE WHEN event_type = 'click' THEN ts - INTERVAL 2 HOUR WHEN event_type = 'error' THEN NULL ELSE ts END AS parsed
+FROM events"""
