@@ -7,6 +7,11 @@ after its predecessor always starts a new event, so the messages split into
 gap clusters; the anchored fold runs inside each cluster only.
 Cluster boundaries come from a bucketed lag (``ordered.previous_row``), cluster
 membership from a bucketed running last (``ordered.running_last``).
+Clusters up to ``max_fold_size`` messages are folded as one sorted array;
+larger ones (a stream with no quiet gap for hours) take an exact distributed
+path: ``next(i)`` = first message more than the window after ``i`` (a strict
+forward as-of join), and the emitted events are the chain of ``next`` from the
+cluster head, found by pointer doubling in ``log2(chain length)`` join rounds.
 
 E3 — forward labels: ``y = 1`` when the next event is in ``(t, t + h]`` and
 ``time_to_event = min(next − t, cap)`` (``cap`` when there is none). Computed
@@ -21,14 +26,16 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import constants as C
 from riskgrid.functions.time import US, ts_of, us_col
+from riskgrid.operators.asof import asof_join
 from riskgrid.operators.grid import K, explode_to_grid
 from riskgrid.operators.ordered import previous_row, running_last
+from riskgrid.session import ensure_checkpoint_dir
 
 
 def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date",
                   predicate: Column | None = None, merge_window_seconds: int = C.MERGE_WINDOW_S,
                   tiebreak: str | None = None, bucket_seconds: int = 86400,
-                  out_col: str = "event_ts") -> DataFrame:
+                  out_col: str = "event_ts", max_fold_size: int = 20000) -> DataFrame:
     """One row per detected event start: ``keys…, event_us, <out_col>``.
     Messages with a NULL time never emit."""
     keys = list(keys)
@@ -40,7 +47,10 @@ def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date"
     is_start = F.col("_prev").isNull() | ((F.col("_u") - F.col("_prev")["_u"]) > F.lit(w))
     cand = cand.withColumn("_start", F.when(is_start, F.col("_u")))
     cand = running_last(cand, keys, "_u", "_tb", F.col("_start"), "_anchor", bucket_seconds=bucket_seconds)
-    clusters = cand.groupBy(*keys, "_anchor").agg(F.array_sort(F.collect_list("_u")).alias("_us"))
+    sizes = cand.groupBy(*keys, "_anchor").agg(F.count(F.lit(1)).alias("_size"))
+    cand = cand.join(sizes, keys + ["_anchor"])
+    small = cand.where(F.col("_size") <= max_fold_size)
+    clusters = small.groupBy(*keys, "_anchor").agg(F.array_sort(F.collect_list("_u")).alias("_us"))
 
     def step(acc, x):
         fresh = (x - acc["a"]) > F.lit(w)
@@ -50,9 +60,40 @@ def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date"
     init = F.struct(first.alias("a"), F.array(first).alias("out"))
     emitted = F.aggregate("_us", init, step, lambda acc: acc["out"])
     ev = clusters.select(*keys, F.explode(emitted).alias("event_us"))
+    big = cand.where(F.col("_size") > max_fold_size)
+    if max_fold_size <= 0 or not big.isEmpty():
+        ev = ev.unionByName(_chain_events(big, keys, w, bucket_seconds))
     return ev.withColumn(out_col, ts_of("event_us"))
 
 
+def _chain_events(cand: DataFrame, keys: list[str], w: int, bucket_seconds: int) -> DataFrame:
+    """Exact anchored merge for large clusters by pointer doubling."""
+    ensure_checkpoint_dir(cand.sparkSession)
+    grp = keys + ["_anchor"]
+    node = cand.select(*grp, "_u", "_tb", "_start")
+    left = node.select(*grp, "_u", "_tb", ts_of(F.col("_u") + F.lit(w)).alias("_q"))
+    right = node.select(*grp, ts_of("_u").alias("_q"), F.col("_u").alias("_nu"), F.col("_tb").alias("_ntb"))
+    ptr = asof_join(left, right, on="_q", by=grp, direction="forward", allow_exact_matches=False,
+                    tiebreak="_ntb", bucket_seconds=bucket_seconds).drop("_q").checkpoint()
+    ids = grp + ["_u", "_tb"]
+    chosen = node.where(F.col("_start").isNotNull()).select(*ids).checkpoint()
+    n = chosen.count()
+    while True:
+        step = chosen.join(ptr, ids).where(F.col("_nu").isNotNull()).select(
+            *grp, F.col("_nu").alias("_u"), F.col("_ntb").alias("_tb"))
+        grown = chosen.unionByName(step).distinct().checkpoint()
+        m = grown.count()
+        if m == n:
+            break
+        chosen, n = grown, m
+        hop = ptr.select(*grp, F.col("_u").alias("_hu"), F.col("_tb").alias("_htb"),
+                         F.col("_nu").alias("_u"), F.col("_ntb").alias("_tb"))
+        # J_{k+1}(i) = J_k(J_k(i)); a NULL hop stays NULL (left join on a NULL key)
+        ptr = hop.join(ptr, ids, "left").select(
+            *grp, F.col("_hu").alias("_u"), F.col("_htb").alias("_tb"), "_nu", "_ntb").checkpoint()
+    return chosen.select(*keys, F.col("_u").alias("event_us"))
+
+
 def forward_labels(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: Sequence[str],
                    interval_seconds: int, horizon_seconds: int | None = None, cap_seconds: int | None = None,
                    event_us_col: str = "event_us", y_col: str = "y_sc_5m",

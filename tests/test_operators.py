@@ -132,3 +132,24 @@ def test_feature_build_shapes(spark, sessions):
     assert rows[10].driver_position_volatility_300s > 0 and rows[10].position_changes_120s > 0
     assert all(r.gap_std_120s is None or r.gap_std_120s >= 0 for r in rows.values())
     assert sum(r.y_sc_5m for r in rows.values()) > 0
+
+
+def test_event_merge_doubling_path_matches_fold(spark):
+    from riskgrid.operators.events import detect_events
+    from riskgrid.plans import driver_tables as D
+    m = D.messages(spark, "/root/testdata/sf0.001")
+    fold = detect_events(m, ["session_key"], "date", D.predicate(), 300, tiebreak="event_id")
+    chain = detect_events(m, ["session_key"], "date", D.predicate(), 300, tiebreak="event_id", max_fold_size=0)
+    a = sorted(tuple(r) for r in fold.select("session_key", "event_us").collect())
+    b = sorted(tuple(r) for r in chain.select("session_key", "event_us").collect())
+    assert a == b and len(a) > 0
+
+
+def test_event_merge_doubling_long_chain(spark):
+    from riskgrid.operators.events import detect_events
+    # one message every 100 s for 3 hours: anchors every 400 s (0, 400, 800, ...)
+    df = spark.createDataFrame([(1, B + dt.timedelta(seconds=100 * i), i) for i in range(108)],
+                               "session_key long, date timestamp_ntz, id long")
+    chain = detect_events(df, ["session_key"], tiebreak="id", max_fold_size=0)
+    got = sorted(r.event_ts for r in chain.collect())
+    assert got == [B + dt.timedelta(seconds=400 * j) for j in range(27)]
