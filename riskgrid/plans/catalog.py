@@ -558,3 +558,43 @@ def q_parse_timestamps(spark, d):
          .when(F.col("event_type") == "error", F.lit("not a time"))
          .otherwise(iso))
     return ev.select("event_id", parse_ts(s).alias("parsed"))
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+from riskgrid.operators import models as MD  # noqa: E402
+from riskgrid.plans import training as TR  # noqa: E402
+
+
+def _model_input(spark, d):
+    return TR.split(gold(spark, d)).checkpoint()
+
+
+@register("logreg_scores", None)
+def q_logreg_scores(spark, d):
+    s = _model_input(spark, d)
+    fit = TR.fit_baseline(s.where(F.col("split") != "test"))
+    return TR.score(fit, s.where(F.col("split") == "test")).select("session_key", K, TR.LABEL, "prob")
+
+
+@register("gbt_scores", None)
+def q_gbt_scores(spark, d):
+    s = _model_input(spark, d)
+    fit = TR.fit_boosted(s.where(F.col("split") == "inner"), s.where(F.col("split") == "val"))
+    return TR.score(fit, s.where(F.col("split") == "test")).select("session_key", K, TR.LABEL, "prob")
+
+
+@register("svd_components", None)
+def q_svd_components(spark, d):
+    docs = D.table(spark, d, "documents")
+    tm = MD.fit_text(docs, "doc_id", "text")
+    w = MD.text_weights(docs, "doc_id", "text", tm).checkpoint()
+    v = MD.fit_svd(w, "doc_id", tm.size, 100)
+    return MD.svd_project(w, "doc_id", v, 100)
+
+
+@register("model_evaluation", None)
+def q_model_evaluation(spark, d):
+    s = _model_input(spark, d)
+    fit = TR.fit_baseline(s.where(F.col("split") != "test"))
+    metrics, _ = TR.run_evaluation({"baseline": fit}, s.where(F.col("split") == "test"))
+    return metrics
