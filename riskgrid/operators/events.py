@@ -48,7 +48,10 @@ def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date"
     cand = cand.withColumn("_start", F.when(is_start, F.col("_u")))
     cand = running_last(cand, keys, "_u", "_tb", F.col("_start"), "_anchor", bucket_seconds=bucket_seconds)
     sizes = cand.groupBy(*keys, "_anchor").agg(F.count(F.lit(1)).alias("_size"))
-    cand = cand.join(sizes, keys + ["_anchor"])
+    # candidates are the filtered messages only; materialise once so the size
+    # check and the merge below read the same rows
+    ensure_checkpoint_dir(cand.sparkSession)
+    cand = cand.join(sizes, keys + ["_anchor"]).checkpoint()
     small = cand.where(F.col("_size") <= max_fold_size)
     clusters = small.groupBy(*keys, "_anchor").agg(F.array_sort(F.collect_list("_u")).alias("_us"))
 

@@ -47,3 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="riskgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def spread(df, *cols):
+    """Repartition only when the input has fewer partitions than the cluster's
+    default parallelism (e.g. one small file). Big inputs already arrive in
+    many splits and are left alone, so no extra shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *cols) if cols else df.repartition(target)
