@@ -113,3 +113,14 @@ def window_around(messages: DataFrame, at_us: Column, seconds: float, ts_col: st
 def replay_cut(df: DataFrame, ts_col: str, at_us: Column) -> DataFrame:
     """Rows at or before the replay instant (inclusive)."""
     return df.where(us_col(df, ts_col) <= at_us)
+
+
+def report_header(test: DataFrame, y_col: str = "y_sc_5m", meeting_col: str = "meeting_key") -> DataFrame:
+    """S28 header row: test rows, distinct meetings, positive %."""
+    return test.agg(F.count(F.lit(1)).alias("test_rows"), F.count_distinct(meeting_col).alias("test_meetings"),
+                    F.bround(F.avg(y_col) * 100, 2).alias("positive_pct"))
+
+
+def positive_windows(df: DataFrame, y_col: str = "y_sc_5m") -> DataFrame:
+    """Grid rows labelled positive."""
+    return df.where(F.col(y_col) == 1)

@@ -214,3 +214,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def event_offsets(df: DataFrame, ts_col: str, start_us_col: str) -> DataFrame:
     """Helper for landing shapes that carry offsets: µs since session start."""
     return df.withColumn("offset_us", us_col(df, ts_col) - F.col(start_us_col))
+
+
+def read_landing_all(spark: SparkSession, root: str, tables: Sequence[str] = tuple(LANDING)) -> dict[str, DataFrame]:
+    """Every endpoint's landed records as lazy DataFrames keyed by name."""
+    return {t: read_landing(spark, f"{root}/{t}", t) for t in tables}
+
+
+def first_sessions(sessions: DataFrame, n: int | None, order: Sequence[str] = ("date_start", "session_key")) -> DataFrame:
+    """The first ``n`` sessions of the schedule (all when ``n`` is None)."""
+    return sessions if n is None else sessions.orderBy(*order).limit(n)

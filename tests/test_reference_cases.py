@@ -149,3 +149,42 @@ def test_asof_nothing_before(spark):
     right = spark.createDataFrame([(1, B, 42.0)], "session_key long, timestamp timestamp_ntz, value double")
     got = {x.timestamp: x.value for x in asof_join(left, right, by="session_key").collect()}
     assert got[B - 5 * M] is None and got[B] == 42.0
+
+
+US1 = dt.timedelta(microseconds=1)
+
+
+def test_label_boundaries_to_the_microsecond(spark, sessions):
+    spec, g = _grid(spark, sessions)
+    t0 = B + 10 * M  # a grid point
+    evs = [t0, t0 + dt.timedelta(seconds=300), t0 + dt.timedelta(seconds=300) + US1]
+    for e, want_y in zip(evs, (0, 1, 0)):
+        ev = spark.createDataFrame([(9158, e)], "session_key long, event_ts timestamp_ntz") \
+            .withColumn("event_us", F.unix_micros(F.col("event_ts").cast("timestamp")))
+        lab = {r.timestamp: r for r in forward_labels(g, spec, ev, ["session_key"], 30).collect()}
+        # event exactly at t is not "after t"; at t+h it is in; one µs later it is out
+        assert lab[t0].y_sc_5m == want_y
+        if e == t0:
+            assert lab[t0].time_to_sc_seconds == 1800.0
+
+
+def test_rolling_window_bounds_to_the_microsecond(spark, sessions):
+    spec, g = _grid(spark, sessions)
+    t0 = B + 10 * M
+    ev = spark.createDataFrame([(9158, t0 - dt.timedelta(seconds=60)), (9158, t0 - dt.timedelta(seconds=60) + US1),
+                                (9158, t0), (9158, t0 + US1), (9158, None)],
+                               "session_key long, ts timestamp_ntz")
+    r = {x.timestamp: x.n for x in rolling_to_grid(g, spec, ev, ["session_key"], "ts", 30,
+                                                    [("n", "count", None, 60)]).collect()}
+    assert r[t0] == 2  # (t − 60 s, t]: lower end out, t − 60 s + 1 µs in, t in, t + 1 µs out
+
+
+def test_asof_exact_match_switch_and_ties(spark):
+    left = spark.createDataFrame([(1, B)], "session_key long, timestamp timestamp_ntz")
+    right = spark.createDataFrame([(1, B, 1.0, 1), (1, B, 2.0, 2), (1, B - M, 0.5, 0)],
+                                  "session_key long, timestamp timestamp_ntz, value double, rid long")
+    exact = asof_join(left, right, by="session_key", tiebreak="rid").first()
+    strict = asof_join(left, right, by="session_key", tiebreak="rid", allow_exact_matches=False).first()
+    assert exact.value == 2.0 and strict.value == 0.5
+    fwd = asof_join(left, right, by="session_key", tiebreak="rid", direction="forward").first()
+    assert fwd.value == 1.0
