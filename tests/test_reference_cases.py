@@ -188,3 +188,10 @@ def test_asof_exact_match_switch_and_ties(spark):
     assert exact.value == 2.0 and strict.value == 0.5
     fwd = asof_join(left, right, by="session_key", tiebreak="rid", direction="forward").first()
     assert fwd.value == 1.0
+
+
+def test_asof_right_without_session_applies_to_all(spark):
+    left = spark.createDataFrame([(1, B + M), (2, B + 2 * M)], "session_key long, timestamp timestamp_ntz")
+    right = spark.createDataFrame([(B, 7.0), (B + 90 * dt.timedelta(seconds=1), 8.0)], "timestamp timestamp_ntz, v double")
+    got = {r.session_key: r.v for r in asof_join(left, right, by=[]).collect()}
+    assert got == {1: 7.0, 2: 8.0}

@@ -33,3 +33,21 @@ def test_session_keys_and_weather(spark):
                                 "session_key long, Time long, Rainfall string, AirTemp double")
     w = {r.date: (r.rainfall, r.air_temperature) for r in BZ.standardise_weather(raw, sessions).collect()}
     assert sorted(w.values(), key=str) == sorted([(1.0, 20.0), (0.0, None), (0.0, 21.0)], key=str)
+
+
+def test_laps_flatten_and_scrub(spark):
+    from pyspark.sql import functions as F
+
+    from riskgrid.functions.predicates import scrub
+    sessions = spark.createDataFrame([(1, 10, 2024, "X", B.isoformat())],
+                                     "session_key long, meeting_key long, year int, meeting_name string, date_start string")
+    laps = spark.createDataFrame([(1, 90_000_000, "VER", "1", 91_500_000, 30_250_000)],
+                                 "session_key long, Time long, Driver string, DriverNumber string, LapTime long, Sector1Time long")
+    r = BZ.standardise_laps(laps, sessions).first()
+    assert r.lap_time == 91.5 and r.sector1_time == 30.25 and r.date == B + dt.timedelta(seconds=90)
+    a = spark.createDataFrame([(1, 0.5)], "session_key long, x double")
+    b = spark.createDataFrame([(1, 0.7, 3.0)], "session_key long, x double, y double")
+    long = BZ.flatten_per_driver({"1": a, "44": b})
+    assert sorted((r.driver_number, r.x, r.y) for r in long.collect()) == [("1", 0.5, None), ("44", 0.7, 3.0)]
+    vals = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.5,)], "v double")
+    assert sorted([r.s for r in vals.select(scrub("v").alias("s")).collect()], key=str) == [1.5, None, None]
