@@ -11,8 +11,10 @@ Two physical forms with the same results:
   partition holds a whole session.
 
 Aggregate kinds: ``count`` (events), ``sum``, ``mean``, ``max``, ``min``,
-``std`` (population), ``distinct`` (NULL counts as ``''``), ``concat``
-(`` | ``-joined text in time order), ``text`` (space-joined, for flags).
+``std`` (population), ``distinct`` (NULL counts as ``''``), ``entropy``
+(Shannon, base 2, of the values in the window; NULL counts as ``''``),
+``concat`` (`` | ``-joined text in time order), ``text`` (space-joined, for
+flags).
 Empty window: count/distinct → 0, concat/text → ``''``, others → NULL; a
 non-empty window whose values are all NULL gives ``sum`` = 0.0.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from riskgrid.functions.time import US, floor_div, us_col
 from riskgrid.operators.grid import K, explode_to_grid
 
-ZERO_DEFAULT = {"count": 0, "distinct": 0, "concat": "", "text": ""}
+ZERO_DEFAULT = {"count": 0, "distinct": 0, "concat": "", "text": "", "entropy": 0.0}
 
 
 def _ordered_text(items: Column, sep: str) -> Column:
@@ -49,6 +51,14 @@ def _agg_expr(kind: str, in_w: Column, v: Column | None, tb: Column) -> Column:
         return F.stddev_pop(F.when(in_w, v))
     if kind == "distinct":
         return F.size(F.collect_set(F.when(in_w, F.coalesce(v.cast("string"), F.lit(""))))).cast("long")
+    if kind == "entropy":
+        cats = F.collect_list(F.when(in_w, F.coalesce(v.cast("string"), F.lit(""))))
+        n = F.size(cats).cast("double")
+
+        def term(acc, c):
+            p = F.size(F.filter(cats, lambda x: x == c)).cast("double") / n
+            return acc - p * F.log2(p)
+        return F.aggregate(F.array_distinct(cats), F.lit(0.0), term) + F.lit(0.0)
     if kind in ("concat", "text"):
         item = F.when(in_w, F.struct(F.col("_e").alias("e"), tb.alias("tb"), v.cast("string").alias("v")))
         return _ordered_text(F.collect_list(item), " | " if kind == "concat" else " ")
