@@ -173,7 +173,10 @@ def write_bronze(df: DataFrame, root: str, table: str, mode: str = "overwrite")
     session; dynamic partition overwrite keeps other sessions' files."""
     if df.isEmpty():
         return
-    (df.repartition(*PARTITIONS).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    order = [*PARTITIONS] + (["date"] if "date" in df.columns else [])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # range partitioning splits a large session over several writer tasks
+    (df.repartitionByRange(n, *order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
        .partitionBy(*PARTITIONS).parquet(f"{root}/{table}"))
 
 

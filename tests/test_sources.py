@@ -51,3 +51,13 @@ def test_laps_flatten_and_scrub(spark):
     assert sorted((r.driver_number, r.x, r.y) for r in long.collect()) == [("1", 0.5, None), ("44", 0.7, 3.0)]
     vals = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.5,)], "v double")
     assert sorted([r.s for r in vals.select(scrub("v").alias("s")).collect()], key=str) == [1.5, None, None]
+
+
+def test_write_gold_round_trip(spark, sessions):
+    from riskgrid.plans.features import build_features, write_gold
+    from tests.test_operators import _race
+    out = tempfile.mkdtemp(prefix="riskgrid-gold-", dir=os.environ.get("TMPDIR", "/tmp"))
+    gold = build_features(sessions, *_race(spark))
+    write_gold(gold, out)
+    back = BZ.read_gold(spark, out, [9158])
+    assert back.count() == 120 and set(back.columns) == set(gold.columns)
