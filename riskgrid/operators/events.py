@@ -5,8 +5,8 @@ than ``merge_window`` after the last *emitted* event (not after the previous
 message, so ``session_window`` does not apply). A message more than the window
 after its predecessor always starts a new event, so the messages split into
 gap clusters; the anchored fold runs inside each cluster only.
-Cluster boundaries come from a bucketed lag (``ordered.previous_row``), cluster
-membership from a bucketed running last (``ordered.running_last``).
+Cluster boundaries and membership come from one bucketed window pass with a
+small carry table (``_gap_clusters``).
 Clusters up to ``max_fold_size`` messages are folded as one sorted array;
 larger ones (a stream with no quiet gap for hours) take an exact distributed
 path: ``next(i)`` = first message more than the window after ``i`` (a strict
@@ -25,10 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgrid.functions import constants as C
-from riskgrid.functions.time import US, ts_of, us_col
+from riskgrid.functions.time import US, floor_div, ts_of, us_col
 from riskgrid.operators.asof import asof_join
 from riskgrid.operators.grid import K, explode_to_grid
-from riskgrid.operators.ordered import previous_row, running_last
 from riskgrid.session import ensure_checkpoint_dir
 
 
@@ -43,10 +42,7 @@ def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date"
     m = messages if predicate is None else messages.where(predicate)
     tb = F.col(tiebreak) if tiebreak else F.lit(0)
     cand = m.select(*keys, us_col(m, ts_col).alias("_u"), tb.alias("_tb")).where(F.col("_u").isNotNull())
-    cand = previous_row(cand, keys, "_u", "_tb", [], out="_prev", bucket_seconds=bucket_seconds)
-    is_start = F.col("_prev").isNull() | ((F.col("_u") - F.col("_prev")["_u"]) > F.lit(w))
-    cand = cand.withColumn("_start", F.when(is_start, F.col("_u")))
-    cand = running_last(cand, keys, "_u", "_tb", F.col("_start"), "_anchor", bucket_seconds=bucket_seconds)
+    cand = _gap_clusters(cand, keys, w, bucket_seconds)
     sizes = cand.groupBy(*keys, "_anchor").agg(F.count(F.lit(1)).alias("_size"))
     # candidates are the filtered messages only; materialise once so the size
     # check and the merge below read the same rows
@@ -69,6 +65,36 @@ def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date"
     return ev.withColumn(out_col, ts_of("event_us"))
 
 
+def _gap_clusters(cand: DataFrame, keys: list[str], w: int, bucket_seconds: int) -> DataFrame:
+    """Adds ``_start`` (the message's time when it opens a gap cluster) and
+    ``_anchor`` (the time of its cluster's first message), in one pass.
+
+    Inside a ``(key, time bucket)`` one window gives the previous message and
+    the last cluster start so far. A bucket's first message needs the last
+    time of the previous bucket; a message before the bucket's first start
+    needs the anchor in force at the end of the previous buckets. Both come
+    from a table with one row per ``(key, bucket)``."""
+    d = cand.withColumn("_b", floor_div("_u", F.lit(int(bucket_seconds * US))))
+    wb = Window.partitionBy(*keys, "_b").orderBy("_u", "_tb")
+    d = d.withColumn("_lag", F.lag("_u").over(wb))
+    start_in = F.col("_lag").isNotNull() & ((F.col("_u") - F.col("_lag")) > F.lit(w))
+    d = d.withColumn("_sin", F.when(start_in, F.col("_u")))
+    d = d.withColumn("_ain", F.last("_sin", ignorenulls=True).over(
+        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    bt = d.groupBy(*keys, "_b").agg(F.min("_u").alias("_fu"), F.max("_u").alias("_lu"), F.max("_sin").alias("_ls"))
+    bw = Window.partitionBy(*keys).orderBy("_b")
+    prev_last = F.lag("_lu").over(bw)
+    bt = bt.withColumn("_fis", prev_last.isNull() | ((F.col("_fu") - prev_last) > F.lit(w)))
+    bt = bt.withColumn("_end", F.coalesce(F.col("_ls"), F.when(F.col("_fis"), F.col("_fu"))))
+    bt = bt.select(*keys, "_b", "_fis", "_fu", F.last("_end", ignorenulls=True).over(
+        bw.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    d = d.join(bt, keys + ["_b"])
+    first_in_bucket = F.col("_lag").isNull()
+    d = d.withColumn("_start", F.when(start_in | (first_in_bucket & F.col("_fis")), F.col("_u")))
+    d = d.withColumn("_anchor", F.coalesce(F.col("_ain"), F.when(F.col("_fis"), F.col("_fu")), F.col("_carry")))
+    return d.drop("_b", "_lag", "_sin", "_ain", "_fis", "_fu", "_carry")
+
+
 def _chain_events(cand: DataFrame, keys: list[str], w: int, bucket_seconds: int) -> DataFrame:
     """Exact anchored merge for large clusters by pointer doubling."""
     ensure_checkpoint_dir(cand.sparkSession)

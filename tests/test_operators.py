@@ -153,3 +153,17 @@ def test_event_merge_doubling_long_chain(spark):
     chain = detect_events(df, ["session_key"], tiebreak="id", max_fold_size=0)
     got = sorted(r.event_ts for r in chain.collect())
     assert got == [B + dt.timedelta(seconds=400 * j) for j in range(27)]
+
+
+def test_event_merge_tiny_buckets_match(spark):
+    from riskgrid.operators.events import detect_events
+    from riskgrid.plans import driver_tables as D
+    m = D.messages(spark, "/root/testdata/sf0.001")
+    chain = spark.createDataFrame([(1, B + dt.timedelta(seconds=70 * i), i) for i in range(60)],
+                                  "session_key long, date timestamp_ntz, event_id long")
+    for src, pred in ((m, D.predicate()), (chain, None)):
+        a = detect_events(src, ["session_key"], "date", pred, 300, tiebreak="event_id")
+        b = detect_events(src, ["session_key"], "date", pred, 300, tiebreak="event_id", bucket_seconds=150)
+        ka = sorted(tuple(r) for r in a.select("session_key", "event_us").collect())
+        kb = sorted(tuple(r) for r in b.select("session_key", "event_us").collect())
+        assert ka == kb and len(ka) > 0
