@@ -95,3 +95,23 @@ def grid_index_of(rows: DataFrame, spec: DataFrame, keys: Sequence[str], us_col:
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return j.withColumn("grid_us", F.col(ORIGIN) + F.col(K) * F.lit(step)).drop(ORIGIN, LAST_K)
+
+
+DAY_US = 86400 * US
+
+
+def assign_sessions(rows: DataFrame, spec: DataFrame, keys: Sequence[str], us_col: str, interval_seconds: int,
+                    before_us: int, after_us: int) -> DataFrame:
+    """Attach session keys to rows that have none (a table that applies to
+    every session): a row belongs to each session whose grid span, widened by
+    ``before_us`` / ``after_us``, contains it. Sessions are exploded over the
+    days their widened span covers and joined to rows on the day — a bucketed
+    range join, never a cross join."""
+    step = interval_seconds * US
+    lo = F.col(ORIGIN) - F.lit(before_us)
+    hi = F.col(ORIGIN) + F.col(LAST_K) * F.lit(step) + F.lit(after_us)
+    days = spec.select(*keys, lo.alias("_lo"), hi.alias("_hi"),
+                       F.explode(F.sequence(floor_div(lo, F.lit(DAY_US)), floor_div(hi, F.lit(DAY_US)))).alias("_day"))
+    r = rows.withColumn("_day", floor_div(F.col(us_col), F.lit(DAY_US)))
+    j = r.join(days, "_day").where((F.col(us_col) >= F.col("_lo")) & (F.col(us_col) <= F.col("_hi")))
+    return j.drop("_day", "_lo", "_hi")

@@ -167,3 +167,24 @@ def test_event_merge_tiny_buckets_match(spark):
         ka = sorted(tuple(r) for r in a.select("session_key", "event_us").collect())
         kb = sorted(tuple(r) for r in b.select("session_key", "event_us").collect())
         assert ka == kb and len(ka) > 0
+
+
+def test_tables_without_session_apply_to_every_session(spark, sessions):
+    from riskgrid.plans.features import dynamics_block, weather_block
+    two = sessions.unionByName(sessions.withColumn("session_key", F.lit(9159).cast("long")))
+    spec = grid_spec(two, ["session_key"], 30)
+    g = build_grid(spec, ["session_key"], 30)
+    rc, w, pos, iv = _race(spark)
+    a = weather_block(g, spec, w.drop("session_key"), ["session_key"], 30).orderBy("session_key", "grid_k")
+    rows = a.collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.session_key, []).append((r.grid_k, r.rainfall, r.track_temperature, r.max_rainfall_5m))
+    assert per[9158] == per[9159] and len(per[9158]) == 120
+    with_key = weather_block(g.where("session_key = 9158"), spec, w, ["session_key"], 30).orderBy("grid_k").collect()
+    assert [(r.grid_k, r.rainfall, r.track_temperature, r.max_rainfall_5m) for r in with_key] == per[9158]
+    d = dynamics_block(g, spec, pos.drop("session_key"), iv.drop("session_key"), ["session_key"], 30)
+    dd = {}
+    for r in d.collect():
+        dd.setdefault(r.session_key, {})[r.grid_k] = (r.position_changes_120s, r.gap_std_120s)
+    assert dd[9158] == dd[9159]
