@@ -188,3 +188,25 @@ def test_tables_without_session_apply_to_every_session(spark, sessions):
     for r in d.collect():
         dd.setdefault(r.session_key, {})[r.grid_k] = (r.position_changes_120s, r.gap_std_120s)
     assert dd[9158] == dd[9159]
+
+
+def test_running_last_and_previous_row_bucket_invariant(spark):
+    from riskgrid.operators.ordered import previous_row, running_last
+    rnd = random.Random(11)
+    rows = [(k, rnd.randint(0, 20_000) * 1_000_000, i, (i if rnd.random() < 0.3 else None)) for i in range(300)
+            for k in (1,)] + [(2, i * 7_000_000, 1000 + i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, u long, tb long, v long")
+    res = {}
+    for b in (50, 86400):
+        a = running_last(df, ["k"], "u", "tb", F.col("v"), "last_v", bucket_seconds=b)
+        p = previous_row(df, ["k"], "u", "tb", ["v"], bucket_seconds=b)
+        res[b] = (sorted((r.tb, r.last_v) for r in a.collect()),
+                  sorted((r.tb, None if r._prev is None else r._prev.u) for r in p.collect()))
+    assert res[50] == res[86400]
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    want, last = {}, {}
+    for k, u, tb, v in ordered:
+        if v is not None:
+            last[k] = v
+        want[tb] = last.get(k)
+    assert dict(res[50][0]) == want
