@@ -598,3 +598,18 @@ def q_model_evaluation(spark, d):
     fit = TR.fit_baseline(s.where(F.col("split") != "test"))
     metrics, _ = TR.run_evaluation({"baseline": fit}, s.where(F.col("split") == "test"))
     return metrics
+
+
+@register("risk_series", O.RISK_SERIES)
+def q_risk_series(spark, d):
+    return R.risk_series(scored(spark, d))
+
+
+@register("positive_windows", O.POSITIVE_WINDOWS)
+def q_positive_windows(spark, d):
+    return R.positive_windows(scored(spark, d)).select("session_key", K, "timestamp")
+
+
+@register("first_sessions", O.FIRST_SESSIONS)
+def q_first_sessions(spark, d):
+    return BZ.first_sessions(D.sessions(spark, d), 10).select("session_key", "date_start")

@@ -554,3 +554,12 @@ FROM r"""
 PARSE_TIMESTAMPS = """SELECT event_id,
        CASE WHEN event_type = 'click' THEN ts - INTERVAL 2 HOUR WHEN event_type = 'error' THEN NULL ELSE ts END AS parsed
 FROM events"""
+
+RISK_SERIES = f"""{SCORED}
+SELECT session_key, timestamp, round_even(risk_score, 4) AS risk_score, y_sc_5m FROM sc"""
+
+POSITIVE_WINDOWS = f"""{SCORED}
+SELECT session_key, grid_k, timestamp FROM sc WHERE y_sc_5m = 1"""
+
+FIRST_SESSIONS = f"""WITH {EV}, {SESS}
+SELECT session_key, date_start FROM sess ORDER BY date_start, session_key LIMIT 10"""

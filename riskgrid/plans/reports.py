@@ -124,3 +124,9 @@ def report_header(test: DataFrame, y_col: str = "y_sc_5m", meeting_col: str = "m
 def positive_windows(df: DataFrame, y_col: str = "y_sc_5m") -> DataFrame:
     """Grid rows labelled positive."""
     return df.where(F.col(y_col) == 1)
+
+
+def risk_series(scored: DataFrame, score_col: str = "risk_score", y_col: str = "y_sc_5m",
+                ts_col: str = "timestamp") -> DataFrame:
+    """A6 series: per grid point the score rounded half-even to 4 digits."""
+    return scored.select("session_key", ts_col, F.bround(score_col, 4).alias(score_col), y_col)
