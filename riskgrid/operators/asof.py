@@ -48,9 +48,10 @@ def _payload(left: DataFrame, right: DataFrame, on: str, right_on: str, by: Sequ
 def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequence[str] | str = (),
               tolerance_seconds: float | None = None, direction: str = "backward",
               right_on: str | None = None, allow_exact_matches: bool = True,
-              tiebreak: str | None = None, bucket_seconds: int = 86400,
+              tiebreak: str | None = None, bucket_seconds: int | str = "auto",
               right_ts_alias: str | None = None) -> DataFrame:
-    """As-of join of ``right`` onto every ``left`` row."""
+    """As-of join of ``right`` onto every ``left`` row. ``bucket_seconds``
+    ``"auto"`` sizes the time buckets from the densest key of the right side."""
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction!r}")
     by = [by] if isinstance(by, str) else list(by)
@@ -58,6 +59,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequ
     _check_ts(left, on, "left")
     _check_ts(right, right_on, "right")
     payload = _payload(left, right, on, right_on, by)
+    if bucket_seconds == "auto":
+        from riskgrid.operators.ordered import auto_bucket_seconds
+        bucket_seconds = auto_bucket_seconds(right, by, us_col(right, right_on))
     bucket = int(bucket_seconds * US)
     right_side = 0 if allow_exact_matches else 2
 

@@ -22,6 +22,24 @@ from riskgrid.functions.time import US, floor_div
 from riskgrid.session import ensure_checkpoint_dir
 
 
+def auto_bucket_seconds(df: DataFrame, by: Sequence[str], u_col, target_rows: int = 2_000_000,
+                        floor_s: int = 60, ceil_s: int = 30 * 86400) -> int:
+    """Bucket width so that the densest key puts about ``target_rows`` rows in
+    one ``(key, bucket)``: one small aggregate (a row per key, reduced to a
+    scalar) decides it, so hot keys get narrow buckets automatically."""
+    u = F.col(u_col) if isinstance(u_col, str) else u_col
+    per = df.select(*by, u.alias("_au")).where(F.col("_au").isNotNull()).groupBy(*by).agg(
+        (F.count(F.lit(1)) / F.greatest((F.max("_au") - F.min("_au")) / F.lit(float(US)), F.lit(1.0))).alias("_dens"))
+    dens = per.agg(F.max("_dens")).first()[0]
+    if not dens:
+        return ceil_s
+    return int(max(floor_s, min(ceil_s, target_rows / dens)))
+
+
+def _resolve(df: DataFrame, by: Sequence[str], u_col, bucket_seconds) -> int:
+    return auto_bucket_seconds(df, by, u_col) if bucket_seconds == "auto" else int(bucket_seconds)
+
+
 def _bucketed(df: DataFrame, u_col: str, bucket_seconds: int) -> DataFrame:
     return df.withColumn("_b", floor_div(F.col(u_col), F.lit(int(bucket_seconds * US))))
 
@@ -31,6 +49,7 @@ def previous_row(df: DataFrame, by: Sequence[str], u_col: str, tb_col: str | Non
     """Adds struct ``out`` = (payload…, ``u_col``) of the previous row of the
     same key in ``(u_col, tb_col)`` order; NULL for the first row."""
     by = list(by)
+    bucket_seconds = _resolve(df, by, u_col, bucket_seconds)
     tb = F.col(tb_col) if tb_col else F.lit(0)
     d = _bucketed(df.where(F.col(u_col).isNotNull()).withColumn("_tbo", tb), u_col, bucket_seconds)
     s = F.struct(*[F.col(c) for c in payload], F.col(u_col))
@@ -48,6 +67,7 @@ def running_last(df: DataFrame, by: Sequence[str], u_col: str, tb_col: str | Non
     """Adds ``out`` = last non-NULL ``value`` at or before each row (inclusive)
     of the same key in ``(u_col, tb_col)`` order."""
     by = list(by)
+    bucket_seconds = _resolve(df, by, u_col, bucket_seconds)
     tb = F.col(tb_col) if tb_col else F.lit(0)
     d = _bucketed(df.where(F.col(u_col).isNotNull()).withColumn("_tbo", tb).withColumn("_val", value),
                   u_col, bucket_seconds)

@@ -210,3 +210,21 @@ def test_running_last_and_previous_row_bucket_invariant(spark):
             last[k] = v
         want[tb] = last.get(k)
     assert dict(res[50][0]) == want
+
+
+def test_auto_bucket_width_shrinks_for_hot_keys(spark):
+    from riskgrid.operators.ordered import auto_bucket_seconds
+    hot = spark.createDataFrame([(1, i * 1_000_000) for i in range(10_000)], "k long, u long")  # 1 row/s
+    assert 999 <= auto_bucket_seconds(hot, ["k"], "u", target_rows=1_000) <= 1000
+    assert auto_bucket_seconds(hot, ["k"], "u", target_rows=10**9) == 30 * 86400
+
+
+def test_asof_auto_bucket_matches_fixed(spark, sessions):
+    spec = grid_spec(sessions, ["session_key"], 30)
+    g = build_grid(spec, ["session_key"], 30)
+    rnd = random.Random(5)
+    right = spark.createDataFrame([(9158, B + S * rnd.randint(-100, 3700), float(i), i) for i in range(200)],
+                                  "session_key long, timestamp timestamp_ntz, v double, rid long")
+    a = asof_join(g, right, by="session_key", tiebreak="rid")
+    b = asof_join(g, right, by="session_key", tiebreak="rid", bucket_seconds=86400)
+    assert sorted((r.grid_k, r.v) for r in a.collect()) == sorted((r.grid_k, r.v) for r in b.collect())
