@@ -101,3 +101,15 @@ def words_taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     """``documents`` with ``taken``: the words that the pieces hold of each, repeats counted."""
     taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("row")
+
+
+def copies(documents: DataFrame, pieces: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """``columns`` of ``documents``, one row for each pass that draws the document. A pass
+    ends inside at most one document of a source; that copy is cut after its last drawn
+    word, its words joined by one space."""
+    passes = pieces.groupBy("row", "pass").agg(F.sum("n_words").alias("_drawn")).drop("pass")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_drawn").cast("int")), " ")
+    whole = F.col("_drawn") == F.col("size")
+    text = F.when(whole, F.col(text_col)).otherwise(cut).alias(text_col)
+    return documents.join(passes, "row").select(*[text if c == text_col else F.col(c) for c in columns])
