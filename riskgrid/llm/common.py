@@ -110,3 +110,8 @@ def attach(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     spread = dim.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(SALTS)).cast("int"))
     return salted.join(spread, same & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_salt", "_part")
+
+
+def ddl(df: DataFrame, columns: list[str]) -> str:
+    """Schema string of some columns of ``df``, for functions on Arrow batches."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[df[c] for c in columns]).schema)

@@ -15,6 +15,7 @@ from .host_rules import host_rules
 from .hyperminhash import near_duplicates
 from .mixing import mix_sources, words_taken
 from .sharding import shard_documents
+from .substrings import remove_repeats
 from .winnowing import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,21 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
     sum(case when role = 'assistant' or i = n then upto else 0 end)::bigint as formatted_chars
 from c group by conv_id
 """
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as k from (select doc_id, w, unnest(generate_series(1, len(w) - 49)) as i from d where len(w) >= 50)),
+rep as (select doc_id, i from win qualify min(doc_id) over (partition by k) < doc_id),
+gone as (select doc_id, list(distinct p) as ps from (select doc_id, unnest(generate_series(i, i + 49)) as p from rep) group by doc_id),
+words as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as p from d),
+left_over as (select words.doc_id, string_agg(word, ' ' order by words.p) as kept, count(*) as n from words left join (select doc_id, unnest(ps) as p from gone) g on words.doc_id = g.doc_id and words.p = g.p where g.p is null group by words.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_over using (doc_id)
+"""

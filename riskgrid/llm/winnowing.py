@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHash, as_long, materialise, mix, sliding_min
+from .common import Rolling, WordHash, as_long, ddl, materialise, mix, sliding_min
 
 #: Bytes of words: A-Z become a-z; digits, a-z and all non-ASCII bytes stay; the rest are gaps.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -148,8 +148,8 @@ def candidates(docs: DataFrame, packed: bytes, lengths: list[int], window: int,
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(out, pa.list_(SEED))], [*carry, "n_words", "seeds"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, n_words long, seeds {SEED_SQL}")
+    schema = ", ".join(x for x in (ddl(docs, carry), f"n_words long, seeds {SEED_SQL}") if x)
+    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def equal_run(a: str, b: str, reach: int) -> Column:
