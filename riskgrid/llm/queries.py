@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import expand_targets, read_back
@@ -14,8 +14,10 @@ from .common import read
 from .host_rules import host_rules
 from .hyperminhash import near_duplicates
 from .mixing import mix_sources, words_taken
+from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .substrings import remove_repeats
+from .toxicity import fit_toxicity, score_toxicity
 from .winnowing import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +137,22 @@ left_over as (select words.doc_id, string_agg(word, ' ' order by words.p) as kep
 select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join left_over using (doc_id)
 """
+
+
+def held_out(modulus: int, fold: int) -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == fold
+
+
+@query
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read(spark, sf_dir, "documents"), held_out(5, 0)
+    forest = fit_quality(docs, read(spark, sf_dir, "labels"), ~out)
+    return score_quality(docs, forest, carry=["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read(spark, sf_dir, "documents"), held_out(4, 2)
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"), ~out)
+    return score_toxicity(docs, model, carry=["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
