@@ -14,6 +14,7 @@ from .common import read
 from .host_rules import host_rules
 from .hyperminhash import near_duplicates
 from .mixing import mix_sources, words_taken
+from .pii import KINDS, find_pii, fit_pii
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .substrings import remove_repeats
@@ -156,3 +157,19 @@ def op4_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = read(spark, sf_dir, "documents"), held_out(4, 2)
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"), ~out)
     return score_toxicity(docs, model, carry=["doc_id"]).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = find_pii(docs, fit_pii(docs), carry=["doc_id"])
+
+    def text(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+
+    base = F.filter("spans", lambda s: s.base)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
