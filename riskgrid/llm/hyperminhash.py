@@ -49,15 +49,16 @@ class Shingler:
 
 
 def registers(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers: one per odd multiplier (a permutation of 64-bit hashes)."""
-    low = np.concatenate([(shingles[None, :] * odd[i:i + 8, None]).min(axis=1) for i in range(0, len(odd), 8)])
+    """HyperMinHash registers: one per odd multiplier (a permutation of 32-bit hashes)."""
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.concatenate([(short[None, :] * odd[i:i + 8, None]).min(axis=1) for i in range(0, len(odd), 8)])
     fraction, exponent = np.frexp(np.maximum(low, 1).astype(np.float64))
-    zeros = np.clip(64 - exponent, 0, 63)
+    zeros = 32 - exponent
     return (zeros * 2**MANTISSA + ((fraction - 0.5) * 2**(MANTISSA + 1)).astype(np.int64)).astype("<u2")
 
 
 def multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(20).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(20).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def collision_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
