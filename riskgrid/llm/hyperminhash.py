@@ -180,19 +180,29 @@ def remainder_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, comps:
     cells = unsettled(buckets, comps, cell)
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        members, probes = pdf[~pdf.probe], pdf[pdf.probe]
-        regs, n, comp, block = np.frombuffer(b"".join(members.regs), "<u2").reshape(len(members), -1), members.n.to_numpy(), members.comp.to_numpy(), members.block.to_numpy()
-        out = []
-        for r in probes.itertuples():
-            at = (comp != r.comp) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n))
-            if at.any():
-                mine = np.frombuffer(r.regs, "<u2")[None, :]
-                good = estimate(regs[at], mine, n[at], np.full(at.sum(), r.n)) >= least
-                out += [(x, r.id) for x in np.unique(block[at][good])]
-        return pd.DataFrame(out, columns=["block", "id"]).astype("int64")
-
-    rows = cells.join(reps.select("id", "regs", "n"), "id")
-    probes = materialise(rows.groupBy("key", "mi", "pi").applyInPandas(near, "block long, id long").distinct())
+        """All cells of one bin, one after the other."""
+        pdf = pdf.sort_values(["key", "mi", "pi", "probe"], kind="stable")
+        regs, probe = np.frombuffer(b"".join(pdf.regs), "<u2").reshape(len(pdf), -1), pdf.probe.to_numpy()
+        n, comp, block, ids = (pdf[c].to_numpy() for c in ("n", "comp", "block", "id"))
+        cell_of = pdf[["key", "mi", "pi"]].to_numpy()
+        edge = np.concatenate([[0], np.nonzero((cell_of[1:] != cell_of[:-1]).any(axis=1))[0] + 1, [len(pdf)]])
+        out = set()
+        for start, end in zip(edge[:-1], edge[1:], strict=True):
+            mid = start + int(np.searchsorted(probe[start:end], True))
+            for i in range(mid, end):
+                # A corrected estimate is at most the match rate, so the rate goes first.
+                at = np.arange(start, mid)[(comp[start:mid] != comp[i]) & (100 * np.minimum(n[start:mid], n[i]) >= percent * np.maximum(n[start:mid], n[i]))]
+                at = at[(regs[at] == regs[i]).mean(axis=1) >= least]
+                if len(at):
+                    good = at[estimate(regs[at], regs[i][None, :], n[at], np.full(len(at), n[i])) >= least]
+                    out.update((x, ids[i]) for x in np.unique(block[good]))
+        return pd.DataFrame(sorted(out), columns=["block", "id"]).astype("int64")
+
+    # Many small cells share a bin of about eight large cells' rows: one call for each bin.
+    cells = materialise(cells)
+    bins = max(1, cells.count() // (8 * cell))
+    rows = cells.join(reps.select("id", "regs", "n"), "id").withColumn("bin", F.pmod(F.xxhash64("key", "mi", "pi"), F.lit(bins)))
+    probes = materialise(rows.groupBy("bin").applyInPandas(near, "block long, id long").distinct())
     blocks = probes.groupBy("block").agg(F.ceil(F.count("*") / cell).alias("parts"))
     members = cells.where(~F.col("probe")).select("block", "id").distinct().join(blocks, "block")
     members = materialise(members)
