@@ -8,7 +8,8 @@ share a register, estimates Jaccard similarity; pairs within six standard
 deviations of the threshold are confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one class and enter as its smallest id.
-Each bucket compares its members with two hubs (stars), not with one another.
+Each bucket compares its members with two hubs (stars), its smallest and largest id:
+buckets of one group share their hubs, so most pairs repeat and fall together.
 What the stars leave apart is settled exactly: in buckets that still hold
 several components, the members outside the largest component are compared
 with all members, in cells of about ``cell`` by ``cell`` rows, and only
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * width + 1, F.lit(width))))
     buckets = reps.select("id", F.explode(keys).alias("key")).distinct()
-    hubs = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key")).alias("h1"), F.max_by("id", F.xxhash64("id", "key")).alias("h2")).where("c > 1").drop("c")
+    hubs = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("h1"), F.max("id").alias("h2")).where("c > 1").drop("c")
     buckets = materialise(buckets.join(hubs, "key"))
     stars = buckets.select(F.explode(F.array(F.struct("id", F.col("h1").alias("h")), F.struct("id", F.col("h2").alias("h")))).alias("p")).select("p.*").where("id <> h")
     stars = stars.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
