@@ -42,7 +42,8 @@ STOPS = (b".", b"!", b"?")
 
 def form(word: bytes) -> str:
     """Lower-cased word without marks and digits at its ends."""
-    return EDGE.sub("", word.decode("utf-8", "replace").lower())
+    token = word.decode("utf-8", "replace").lower()
+    return token if token.isalpha() else EDGE.sub("", token)
 
 
 def own_features(token: str) -> list[str]:
@@ -53,10 +54,16 @@ def slot(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
 
 
-def chains_of(words: list[bytes]) -> np.ndarray:
-    """Start of each chain: after a word that ends a sentence."""
-    ends = np.fromiter((w.endswith(STOPS) for w in words), bool, len(words))
-    return np.concatenate([[0], np.nonzero(ends[:-1])[0] + 1]) if len(words) else np.zeros(0, np.int64)
+def chains_of(ends: np.ndarray) -> np.ndarray:
+    """Start of each chain: the first word and each word after one that ends a sentence."""
+    return np.concatenate([[0], np.nonzero(ends[:-1])[0] + 1]) if len(ends) else np.zeros(0, np.int64)
+
+
+def step(r: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Message over one transition: log odds of the next tag given log odds ``r``;
+    ``to[i, j]`` is the weight of going from tag i to tag j, as a factor."""
+    odds = np.exp(np.clip(r, -60, 60))
+    return np.log((to[0, 1] + to[1, 1] * odds) / (to[0, 0] + to[1, 0] * odds))
 
 
 def marginals(e: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +74,14 @@ def marginals(e: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.n
     order = np.argsort(-length, kind="stable")
     first, length = start[order], length[order]
     running = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
-    left, right = e.copy(), np.zeros(len(e))
+    left, right, factor = e.copy(), np.zeros(len(e)), np.exp(trans)
     for t in range(1, len(running)):
         at = first[:running[t]] + t
-        r = left[at - 1]
-        left[at] += np.logaddexp(trans[0, 1], trans[1, 1] + r) - np.logaddexp(trans[0, 0], trans[1, 0] + r)
+        left[at] += step(left[at - 1], factor)
     last = first + length - 1
     for t in range(1, len(running)):
         at = last[:running[t]] - t
-        r = right[at + 1] + e[at + 1]
-        right[at] = np.logaddexp(trans[1, 0], trans[1, 1] + r) - np.logaddexp(trans[0, 0], trans[0, 1] + r)
+        right[at] = step(right[at + 1] + e[at + 1], factor.T)
     return left + right, left, right
 
 
@@ -87,32 +92,42 @@ class Field:
 
 
 class Emissions(dict):
-    """Per word: its own emission and what it adds to the next and the previous token."""
+    """Row of each word in a table of its own emission, what it adds to the next and to
+    the previous token, and whether it ends a sentence."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, weights: dict[int, float]):
+        self.weights, self.rows = weights, []
 
-    def __missing__(self, word: bytes) -> tuple[float, float, float]:
-        if len(self) >= self.LIMIT:
-            self.clear()
+    def __missing__(self, word: bytes) -> int:
         token, w = form(word), self.weights
-        value = self[word] = (float(w[[slot(f) for f in own_features(token)]].sum()), float(w[slot("<" + token)]), float(w[slot(">" + token)]))
+        own = sum(w.get(slot(f), 0.0) for f in own_features(token))
+        self.rows.append((own, w.get(slot("<" + token), 0.0), w.get(slot(">" + token), 0.0), word.endswith(STOPS)))
+        value = self[word] = len(self.rows) - 1
         return value
 
-    def of(self, words: list[bytes], start: np.ndarray) -> np.ndarray:
-        table = np.array([self[w] for w in words]).reshape(len(words), 3)
-        e = table[:, 0].copy()
-        inside = np.ones(len(words), bool)
+    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(emissions, chain starts) of the words of several texts, one after the other."""
+        if len(self) >= self.LIMIT:
+            self.clear()
+            self.rows = []
+        codes = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        table = np.array(self.rows).reshape(-1, 4)[np.concatenate([*codes, np.zeros(0, np.int64)])]
+        size = np.array([len(c) for c in codes], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])[size > 0] if len(size) else size
+        ends = table[:, 3] > 0
+        ends[first[1:] - 1] = True
+        start, e = chains_of(ends), table[:, 0].copy()
+        inside = np.ones(len(e), bool)
         inside[start] = False
         after = np.nonzero(inside)[0]
         e[after] += table[after - 1, 1]
         e[after - 1] += table[after, 2]
-        return e
+        return e, start
 
 
-def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 40, step: float = 0.3, l2: float = 1e-3) -> Field:
+def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 40, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """Maximum likelihood by Adagrad on all chains at once; exact gradients from the marginals."""
     weights, trans = np.zeros(2**BITS), np.zeros((2, 2))
     if not chains:
@@ -142,21 +157,16 @@ def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 4
         gt = (expected - seen) / len(chains) + l2 * trans
         sw += g * g
         st += gt * gt
-        weights -= step * g / np.sqrt(sw)
-        trans -= step * gt / np.sqrt(st)
+        weights -= rate * g / np.sqrt(sw)
+        trans -= rate * gt / np.sqrt(st)
     return Field(weights, trans)
 
 
 def token_marginals(texts: list[str | None], emissions: Emissions, trans: np.ndarray) -> list[np.ndarray]:
     """Toxic probability of every word of every text; all chains of a batch run together."""
     words = [(t or "").encode().split() for t in texts]
-    es, starts, offset = [], [], 0
-    for w in words:
-        start = chains_of(w)
-        es.append(emissions.of(w, start))
-        starts.append(start + offset)
-        offset += len(w)
-    odds = marginals(np.concatenate([*es, np.zeros(0)]), np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64), trans)[0]
+    e, start = emissions.of(words)
+    odds = marginals(e, start, trans)[0]
     return np.split(1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.cumsum([len(w) for w in words])[:-1]) if words else []
 
 
@@ -218,14 +228,17 @@ def toxic_marks(rows: DataFrame, text_col: str, least_docs: int, share: float) -
 
 def tagged_chains(rows: DataFrame, marks: dict[str, float], text_col: str) -> list:
     """At most CHAINS (tokens, tags), by hash: of toxic documents the chains with toxic
-    tokens, of clean ones any chain."""
+    tokens, of clean ones three chains each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, label in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 words = (text or "").encode().split()
-                start = chains_of(words)
-                for a, b in zip(start, np.append(start[1:], len(words)), strict=True):
+                start = chains_of(np.fromiter((w.endswith(STOPS) for w in words), bool, len(words)))
+                bounds = list(zip(start, np.append(start[1:], len(words)), strict=True))
+                if not label:
+                    bounds = sorted(bounds, key=lambda x: xxhash.xxh3_64_intdigest(b" ".join(words[x[0]:x[1]])))[:3]
+                for a, b in bounds:
                     tokens = [form(w) for w in words[a:b]]
                     tags = [int(label > 0 and any(f in marks for f in own_features(t)[:5])) for t in tokens]
                     if any(tags) or not label:
@@ -257,9 +270,7 @@ def with_marginals(docs: DataFrame, field: Field, carry: list[str], text_col: st
     values, trans = field.weights[used], field.trans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(2**BITS)
-        weights[used] = values
-        emissions = Emissions(weights)
+        emissions = Emissions(dict(zip(used.tolist(), values.tolist(), strict=True)))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             p = token_marginals(texts, emissions, trans)
