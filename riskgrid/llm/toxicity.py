@@ -3,7 +3,7 @@
 Labelled tokens come from labelled documents: a token of a toxic document is toxic
 if its form or one of its prefixes stands almost only in toxic documents. Chains
 are sentences. The field has two tags; a token's features are its form, prefixes,
-suffix and both neighbours, hashed into one weight table. Forward-backward
+suffix and both neighbours. Forward-backward
 marginals give each token's probability; their sum, maximum and density make the
 document's score by logistic regression, and runs of likely tokens its spans.
 
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import ddl
 from .quality import labelled_sample
 
-BITS = 18
 MARKS = 20_000
 CHAINS = 20_000
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,10 +50,6 @@ def own_features(token: str) -> list[str]:
     return ["=" + token, *("^" + token[:n] for n in (4, 5, 6, 7)), "$" + token[-4:]]
 
 
-def slot(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature) >> (64 - BITS)
-
-
 def chains_of(ends: np.ndarray) -> np.ndarray:
     """Start of each chain: the first word and each word after one that ends a sentence."""
     return np.concatenate([[0], np.nonzero(ends[:-1])[0] + 1]) if len(ends) else np.zeros(0, np.int64)
@@ -87,7 +83,9 @@ def marginals(e: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.n
 
 @dataclass
 class Field:
-    weights: np.ndarray
+    """Weights of features by name, and of transitions between the two tags."""
+
+    weights: dict[str, float]
     trans: np.ndarray
 
 
@@ -97,13 +95,13 @@ class Emissions(dict):
 
     LIMIT = 500_000
 
-    def __init__(self, weights: dict[int, float]):
+    def __init__(self, weights: dict[str, float]):
         self.weights, self.rows = weights, []
 
     def __missing__(self, word: bytes) -> int:
-        token, w = form(word), self.weights
-        own = sum(w.get(slot(f), 0.0) for f in own_features(token))
-        self.rows.append((own, w.get(slot("<" + token), 0.0), w.get(slot(">" + token), 0.0), word.endswith(STOPS)))
+        token, w = form(word), self.weights.get
+        own = w("=" + token, 0.0) + w("^" + token[:4], 0.0) + w("^" + token[:5], 0.0) + w("^" + token[:6], 0.0) + w("^" + token[:7], 0.0) + w("$" + token[-4:], 0.0)
+        self.rows.append((own, w("<" + token, 0.0), w(">" + token, 0.0), word.endswith(STOPS)))
         value = self[word] = len(self.rows) - 1
         return value
 
@@ -129,28 +127,33 @@ class Emissions(dict):
 
 def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 40, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """Maximum likelihood by Adagrad on all chains at once; exact gradients from the marginals."""
-    weights, trans = np.zeros(2**BITS), np.zeros((2, 2))
+    trans = np.zeros((2, 2))
     if not chains:
-        return Field(weights, trans)
+        return Field({}, trans)
+    index: dict[str, int] = {}
     known: dict[str, list[int]] = {}
+
+    def slot(feature: str) -> int:
+        return index.setdefault(feature, len(index))
+
     rows = []
     for c in chains:
         for i, token in enumerate(c):
             own = known.setdefault(token, [slot(f) for f in own_features(token)])
             rows.append([*own, slot("<" + c[i - 1]) if i else -1, slot(">" + c[i + 1]) if i + 1 < len(c) else -1])
-    x, y = np.array(rows), np.concatenate(tags).astype(float)
+    x, y, weights = np.array(rows), np.concatenate(tags).astype(float), np.zeros(len(index))
     valid, start = x >= 0, np.concatenate([[0], np.cumsum([len(c) for c in chains])[:-1]])
     pair = np.ones(len(y), bool)
     pair[start] = False
     b = np.nonzero(pair)[0]
     a = b - 1
     seen = np.array([[((y[a] == i) & (y[b] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    sw, st = np.full(2**BITS, 1e-6), np.full((2, 2), 1e-6)
+    sw, st = np.full(len(index), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
         e = np.where(valid, weights[x], 0).sum(axis=1)
         odds, left, right = marginals(e, start, trans)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        g = np.bincount(x[valid], weights=np.repeat(p - y, x.shape[1]).reshape(x.shape)[valid], minlength=2**BITS) / len(chains) + l2 * weights
+        g = np.bincount(x[valid], weights=np.repeat(p - y, x.shape[1]).reshape(x.shape)[valid], minlength=len(index)) / len(chains) + l2 * weights
         joint = np.stack([np.stack([trans[i, j] + i * left[a] + j * (e[b] + right[b]) for j in (0, 1)]) for i in (0, 1)])
         joint = np.exp(joint - joint.max(axis=(0, 1)))
         expected = (joint / joint.sum(axis=(0, 1))).sum(axis=2)
@@ -159,7 +162,7 @@ def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 4
         st += gt * gt
         weights -= rate * g / np.sqrt(sw)
         trans -= rate * gt / np.sqrt(st)
-    return Field(weights, trans)
+    return Field({f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3}, trans)
 
 
 def token_marginals(texts: list[str | None], emissions: Emissions, trans: np.ndarray) -> list[np.ndarray]:
@@ -170,6 +173,17 @@ def token_marginals(texts: list[str | None], emissions: Emissions, trans: np.nda
     return np.split(1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.cumsum([len(w) for w in words])[:-1]) if words else []
 
 
+def portions(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose last column holds about ``size`` bytes, or one row."""
+    length = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = length[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(length, done + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def summary(p: np.ndarray) -> list[float]:
     return [float(np.log1p(p.sum())), float(p.max()), float(p.mean())] if len(p) else [0.0, 0.0, 0.0]
 
@@ -266,12 +280,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, label: st
 
 
 def with_marginals(docs: DataFrame, field: Field, carry: list[str], text_col: str, *, spans: bool = True, least: float = 0.5) -> DataFrame:
-    used = np.nonzero(field.weights)[0]
-    values, trans = field.weights[used], field.trans
+    weights, trans = field.weights, field.trans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = Emissions(dict(zip(used.tolist(), values.tolist(), strict=True)))
-        for batch in batches:
+        emissions = Emissions(weights)
+        for batch in (part for b in batches for part in portions(b)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             p = token_marginals(texts, emissions, trans)
             found = [toxic_spans(t, x, least) for t, x in zip(texts, p, strict=True)] if spans else [[] for _ in texts]
