@@ -10,29 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import materialise, read
+from riskgrid.llm.common import materialise, read, without
 from riskgrid.llm.host_rules import host_rules
 from riskgrid.llm.hyperminhash import near_duplicates
 from riskgrid.llm.mixing import copies, mix_sources
 from riskgrid.llm.sharding import shard_documents
 from riskgrid.llm.winnowing import decontaminate
 
+#: Rows that agree in these get the same verdict, so verdicts travel without texts.
+KEYS = ["doc_id", "source", "_copy"]
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules; those the rules reject go."""
-    return host_rules(docs).where("kept").select(docs.columns)
+    keyed = docs.withColumn("_copy", F.xxhash64("text"))
+    judged = host_rules(keyed, carry=KEYS)
+    return without(keyed, judged.where(~F.col("kept")), KEYS).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, Jaccard 0.8): the
     one with the smallest id. Documents without words have no copies and stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_duplicates(docs).where(~F.col("kept")), ["doc_id"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no run of ten words with a benchmark item, nor hold a shorter item."""
-    return decontaminate(docs, read(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    keyed = docs.withColumn("_copy", F.xxhash64("text"))
+    judged = decontaminate(keyed, read(spark, sf_dir, "benchmark"), carry=KEYS)
+    return without(keyed, judged.where("contaminated"), KEYS).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import xxhash
@@ -115,3 +117,12 @@ def attach(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 def ddl(df: DataFrame, columns: list[str]) -> str:
     """Schema string of some columns of ``df``, for functions on Arrow batches."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[df[c] for c in columns]).schema)
+
+
+def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys (nulls match) are not in ``gone``: broadcast after a count,
+    else joined by shuffle."""
+    gone = materialise(gone.select(*keys).distinct())
+    gone = gone.select(*[F.col(k).alias(f"_gone_{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_gone_{i}")) for i, k in enumerate(keys)])
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
