@@ -44,7 +44,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document is repeated for every pass that draws it; where a quota ends
     inside a document, that copy holds only the words drawn."""
-    return copies(*mix_sources(docs), docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("doc_id", "source", "text", F.struct(*others).alias("_rest"))
+    mixed = copies(*mix_sources(packed, carry=["text", "_rest"]), ["text", "_rest"])
+    return mixed.select(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Training-data operators: PII, dedup, classifiers, rules, sharding, mixing, chat.
 
-Nothing else in the library imports this subpackage. Functions that run inside
-Spark tasks are shipped by value, so executors need no copy of the repository.
+Nothing else in the library imports this subpackage. Column names of
+inputs that begin with an underscore are reserved for the operators. Functions
+that run inside Spark tasks are shipped by value, so executors need no copy of
+the repository.
 """
 import sys
 

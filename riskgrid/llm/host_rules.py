@@ -74,7 +74,7 @@ def host_rules(docs: DataFrame, *, domain: str = "source", text_col: str = "text
     carry = [c for c in (docs.columns if carry is None else carry) if c not in {*STATS, "kept", "domain_rate"}]
     named = docs.select("*", F.col(domain).alias("_domain"))
     stats = materialise(with_statistics(named, F.col(text_col), [*carry, "_domain"]))
-    verdicts = domain_verdicts(stats, strict_rate).select("_domain", "rate", "strict")
+    verdicts = domain_verdicts(stats, strict_rate).select("_domain", F.col("rate").alias("_rate"), F.col("strict").alias("_strict"))
     joined = attach(stats, verdicts, "_domain")
-    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("strict", F.lit(False)))
-    return joined.select(*carry, *STATS, F.col("rate").alias("domain_rate"), kept.alias("kept"))
+    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce("_strict", F.lit(False)))
+    return joined.select(*carry, *STATS, F.col("_rate").alias("domain_rate"), kept.alias("kept"))

@@ -71,8 +71,12 @@ def buckets_between(ends: DataFrame, spans: list[tuple[int, int]], limit: int) -
 def minimax_cuts(ends: DataFrame, total: int, shards: int, limit: int = LIMIT) -> tuple[int, list[int]]:
     """(capacity, cuts): the smallest capacity for ``shards`` contiguous shards and one
     partition that keeps it, with cuts as near to equal sizes as it allows."""
-    spans, low_cap, high_cap = [(1, total)], -(-total // shards), total
+    spans, low_cap, high_cap, before = [(1, total)], -(-total // shards), total, None
     while True:
+        covered = sum(b - a + 1 for a, b in spans)
+        if before is not None and 2 * covered > before:
+            limit *= 2  # bounds that narrow too little need finer buckets
+        before = covered
         lo, hi = buckets_between(ends, [*spans, (total, total)], limit)
         back_lo, back_hi = np.unique(np.append(total - hi, total)), np.unique(np.append(total - lo, total))
         low_cap = smallest(lambda c: cut_bounds(lo, hi, shards, c)[1][-1] >= total, low_cap, high_cap)

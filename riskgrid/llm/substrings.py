@@ -173,8 +173,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, anchor: int = 20, bits:
     keyed = docs.select(*carry, first, F.xxhash64(F.col(text_col)).alias("_copy"), F.col(text_col).alias("_text"))
     plane = repeated_cells(keyed, window, anchor, bits, rows)
     segments = candidate_segments(keyed, plane, window, anchor, bits, rows)
-    spans = covered_spans(segments, window)
-    joined = keyed.join(spans, ["_ord", "_copy"], "left").select(*carry, "_text", "spans")
+    spans = covered_spans(segments, window).withColumnRenamed("spans", "_spans")
+    joined = keyed.join(spans, ["_ord", "_copy"], "left").select(*carry, "_text", "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -163,7 +163,7 @@ def equal_run(a: str, b: str, reach: int) -> Column:
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, hits): documents has carry, n_words, row; hits has row, start, end, item."""
-    carry = [c for c in docs.columns if c not in {"n_words", "seeds", "row"}] if carry is None else carry
+    carry = [c for c in docs.columns if c not in {"n_words", "seeds", "row", "n_hit", "items", "contaminated"}] if carry is None else carry
     items = item_seeds(benchmark, window, k, item_col, item_text_col)
     lengths = sorted(r[0] for r in items.where("left is null").select("size").distinct().collect())
     rows = materialise(candidates(docs, bit_table(items.select("key")), lengths, window, k, text_col, carry).withColumn("row", F.monotonically_increasing_id()))
