@@ -30,8 +30,9 @@ def is_event_start(category="category", flag="flag", message="message",
 
 
 def coerce_double(c) -> Column:
-    """string/number → DOUBLE, unparsable → NULL (ANSI-safe)."""
-    return col_of(c).cast("string").try_cast("double")
+    """string/number → DOUBLE; unparsable, NaN or with a type suffix (``1d``) → NULL."""
+    s = col_of(c).cast("string")
+    return nan_to_null(F.when(~s.rlike(r"(?i)[0-9.][df]\s*$"), s.try_cast("double")))
 
 
 def nan_to_null(c) -> Column:
@@ -48,7 +49,7 @@ def scrub(c) -> Column:
 def rainfall_double(c) -> Column:
     """true/false/number → DOUBLE, NULL → 0.0."""
     s = F.lower(F.trim(col_of(c).cast("string")))
-    return F.coalesce(F.when(s == "true", 1.0).when(s == "false", 0.0).otherwise(s.try_cast("double")),
+    return F.coalesce(F.when(s == "true", 1.0).when(s == "false", 0.0).otherwise(coerce_double(s)),
                       F.lit(0.0))
 
 

@@ -149,4 +149,4 @@ def rising_edges(df: DataFrame, keys: Sequence[str], order_col: str, y_col: str
     y = F.coalesce(F.col(y_col), F.lit(0))
     w = Window.partitionBy(*keys).orderBy(order_col)
     prev = F.lag(y, 1, 0).over(w)
-    return df.where(F.lit(True)).withColumn("_prev_y", prev).where((y == 1) & (F.col("_prev_y") == 0)).drop("_prev_y")
+    return df.withColumn("_prev_y", prev).where((y == 1) & (F.col("_prev_y") == 0)).drop("_prev_y")

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskgrid.functions.predicates import nan_to_null
 from riskgrid.functions.time import US, floor_div, us_col
 from riskgrid.operators.grid import K, explode_to_grid
 
@@ -36,6 +37,8 @@ def _ordered_text(items: Column, sep: str) -> Column:
 
 
 def _agg_expr(kind: str, in_w: Column, v: Column | None, tb: Column) -> Column:
+    if kind in ("sum", "mean", "max", "min", "std"):
+        v = nan_to_null(v)
     if kind == "count":
         return F.count(F.when(in_w, F.lit(1)))
     if kind == "sum":
@@ -144,6 +147,8 @@ def rolling_over_timeline(timeline: DataFrame, events: DataFrame, keys: Sequence
         win = Window.partitionBy(*keys, "_b").orderBy("_u").rangeBetween(-(w * US - 1), 0)
         is_ev = F.col("_side") == 0
         v = F.col(f"_v_{values.index(value)}") if value is not None else None
+        if kind in ("sum", "mean", "max", "min", "std"):
+            v = nan_to_null(v)
         if kind == "count":
             e = F.count(F.when(is_ev, F.lit(1))).over(win)
         elif kind == "sum":

@@ -49,9 +49,9 @@ def rate_top(df: DataFrame, group_col: str, n: int = 30, **kw) -> DataFrame:
 
 
 def means_by(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
-    """A5: per-group means of the columns present, rounded to 2."""
+    """A5: per-group means of the columns present, rounded to 2; rows without group are left out."""
     present = [c for c in cols if c in df.columns]
-    return df.groupBy(group_col).agg(*[F.bround(F.avg(c), 2).alias(c) for c in present])
+    return df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(*[F.bround(F.avg(c), 2).alias(c) for c in present])
 
 
 def session_risk(scored: DataFrame, score_col: str = "risk_score", y_col: str = "y_sc_5m",
@@ -103,11 +103,11 @@ def top_n_with_share(df: DataFrame, name_col: str, value_col: str, n: int = 20)
 
 def window_around(messages: DataFrame, at_us: Column, seconds: float, ts_col: str = "date",
                   symmetric: bool = True) -> DataFrame:
-    """P16 (symmetric, both ends inclusive) / P17 (trailing ``[T − w, T]``)."""
+    """P16 (symmetric, both ends inclusive, oldest first) / P17 (trailing ``[T − w, T]``, newest first)."""
     u = us_col(messages, ts_col)
     lo = at_us - F.lit(int(seconds * US))
     hi = at_us + F.lit(int(seconds * US)) if symmetric else at_us
-    return messages.where((u >= lo) & (u <= hi)).withColumn("time", F.date_format(ts_col, "HH:mm:ss"))
+    return messages.where((u >= lo) & (u <= hi)).withColumn("time", F.date_format(ts_col, "HH:mm:ss")).orderBy(F.col(ts_col).asc() if symmetric else F.col(ts_col).desc())
 
 
 def replay_cut(df: DataFrame, ts_col: str, at_us: Column) -> DataFrame:
