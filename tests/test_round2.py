@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from riskgrid import session
 from riskgrid.functions.predicates import coerce_double, rainfall_double
+from riskgrid.operators.models import with_balanced_weights
 from riskgrid.operators.rolling import _agg_expr
 from riskgrid.plans.reports import means_by, window_around
+from riskgrid.plans.training import with_row_id
 
 
 def test_coercion_of_nan_and_suffixes(spark):
@@ -48,3 +50,15 @@ def test_checkpoint_folder_falls_back_on_local_masters_only(master):
     else:
         with pytest.raises(RuntimeError):
             session.ensure_checkpoint_dir(fake)
+
+
+def test_class_weights_count_training_rows_only(spark):
+    train = spark.createDataFrame([(0,)] * 3 + [(1,)], "y int")
+    both = train.unionByName(spark.createDataFrame([(1,)] * 4, "y int"))
+    got = {r.y: r.w for r in with_balanced_weights(both, "y", train=train).distinct().collect()}
+    assert got == pytest.approx({0: 4 / 6, 1: 4 / 2})
+
+
+def test_row_ids_do_not_meet_on_long_grids(spark):
+    df = spark.createDataFrame([(20240101, 100_000), (20240102, 0), (20240101, 2**31)], "session_key long, grid_k long")
+    assert with_row_id(df).select("row_id").distinct().count() == 3
