@@ -589,7 +589,7 @@ def q_svd_components(spark, d):
     tm = MD.fit_text(docs, "doc_id", "text")
     w = MD.text_weights(docs, "doc_id", "text", tm).checkpoint()
     v = MD.fit_svd(w, "doc_id", tm.size, 100)
-    return MD.svd_project(w, "doc_id", v, 100)
+    return MD.svd_project(w, "doc_id", v.checkpoint(), 100, rows=docs)
 
 
 @register("model_evaluation", None)
