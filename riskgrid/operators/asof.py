@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from riskgrid.functions.time import US, floor_div, us_col
 from riskgrid.operators.grid import K, grid_index_of
+from riskgrid.operators.ordered import auto_bucket_seconds
 
 _TS_TYPES = (T.TimestampType, T.TimestampNTZType)
 
@@ -51,7 +52,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequ
               tiebreak: str | None = None, bucket_seconds: int | str = "auto",
               right_ts_alias: str | None = None) -> DataFrame:
     """As-of join of ``right`` onto every ``left`` row. ``bucket_seconds``
-    ``"auto"`` sizes the time buckets from the densest key of the right side."""
+    ``"auto"`` sizes the time buckets from the fullest one of both sides together."""
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction!r}")
     by = [by] if isinstance(by, str) else list(by)
@@ -60,8 +61,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequ
     _check_ts(right, right_on, "right")
     payload = _payload(left, right, on, right_on, by)
     if bucket_seconds == "auto":
-        from riskgrid.operators.ordered import auto_bucket_seconds
-        bucket_seconds = auto_bucket_seconds(right, by, us_col(right, right_on))
+        sides = left.select(*by, us_col(left, on).alias("_au")).unionByName(
+            right.select(*by, us_col(right, right_on).alias("_au")))
+        bucket_seconds = auto_bucket_seconds(sides, by, "_au")
     bucket = int(bucket_seconds * US)
     right_side = 0 if allow_exact_matches else 2
 

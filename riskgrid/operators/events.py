@@ -2,16 +2,16 @@
 
 E1 — anchored merge: a matching message starts a new event when it is more
 than ``merge_window`` after the last *emitted* event (not after the previous
-message, so ``session_window`` does not apply). A message more than the window
-after its predecessor always starts a new event, so the messages split into
-gap clusters; the anchored fold runs inside each cluster only.
-Cluster boundaries and membership come from one bucketed window pass with a
-small carry table (``_gap_clusters``).
-Clusters up to ``max_fold_size`` messages are folded as one sorted array;
-larger ones (a stream with no quiet gap for hours) take an exact distributed
-path: ``next(i)`` = first message more than the window after ``i`` (a strict
-forward as-of join), and the emitted events are the chain of ``next`` from the
-cluster head, found by pointer doubling in ``log2(chain length)`` join rounds.
+message, so ``session_window`` does not apply). A key's events are the chain of
+``next(i)`` = first instant more than the window after ``i``, from its first
+instant on. The chain runs through time buckets of a bounded number of instants:
+
+1. Inside a bucket every possible entry — an instant that can follow an event of
+   an earlier bucket — gets the last event of its chain there (numpy).
+2. That event's ``next`` lies in a later bucket: a strict forward as-of join
+   gives pointers from entry to entry. Pointer doubling follows them from the
+   key's first instant, in ``log2(buckets)`` join rounds.
+3. Each bucket on the way lists its events from the entry taken.
 
 E3 — forward labels: ``y = 1`` when the next event is in ``(t, t + h]`` and
 ``time_to_event = min(next − t, cap)`` (``cap`` when there is none). Computed
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,99 +29,80 @@ from riskgrid.functions import constants as C
 from riskgrid.functions.time import US, floor_div, ts_of, us_col
 from riskgrid.operators.asof import asof_join
 from riskgrid.operators.grid import K, explode_to_grid
+from riskgrid.operators.ordered import auto_bucket_seconds
 from riskgrid.session import ensure_checkpoint_dir
 
 
 def detect_events(messages: DataFrame, keys: Sequence[str], ts_col: str = "date",
                   predicate: Column | None = None, merge_window_seconds: int = C.MERGE_WINDOW_S,
-                  tiebreak: str | None = None, bucket_seconds: int = 86400,
-                  out_col: str = "event_ts", max_fold_size: int = 20000) -> DataFrame:
+                  bucket_seconds: int | str = "auto", out_col: str = "event_ts") -> DataFrame:
     """One row per detected event start: ``keys…, event_us, <out_col>``.
-    Messages with a NULL time never emit."""
+    Messages with a NULL time or key never emit; messages at the same instant
+    are one candidate. ``bucket_seconds`` sets task sizes, not results: ``"auto"``
+    gives buckets of up to 200 000 instants, a second (at most a million
+    microseconds) where even that holds more."""
     keys = list(keys)
     w = merge_window_seconds * US
     m = messages if predicate is None else messages.where(predicate)
-    tb = F.col(tiebreak) if tiebreak else F.lit(0)
-    cand = m.select(*keys, us_col(m, ts_col).alias("_u"), tb.alias("_tb")).where(F.col("_u").isNotNull())
-    cand = _gap_clusters(cand, keys, w, bucket_seconds)
-    sizes = cand.groupBy(*keys, "_anchor").agg(F.count(F.lit(1)).alias("_size"))
-    # candidates are the filtered messages only; materialise once so the size
-    # check and the merge below read the same rows
-    ensure_checkpoint_dir(cand.sparkSession)
-    cand = cand.join(sizes, keys + ["_anchor"]).checkpoint()
-    small = cand.where(F.col("_size") <= max_fold_size)
-    clusters = small.groupBy(*keys, "_anchor").agg(F.array_sort(F.collect_list("_u")).alias("_us"))
-
-    def step(acc, x):
-        fresh = (x - acc["a"]) > F.lit(w)
-        return F.when(fresh, F.struct(x.alias("a"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
-
-    first = F.col("_us")[0]
-    init = F.struct(first.alias("a"), F.array(first).alias("out"))
-    emitted = F.aggregate("_us", init, step, lambda acc: acc["out"])
-    ev = clusters.select(*keys, F.explode(emitted).alias("event_us"))
-    big = cand.where(F.col("_size") > max_fold_size)
-    if max_fold_size <= 0 or not big.isEmpty():
-        ev = ev.unionByName(_chain_events(big, keys, w, bucket_seconds))
+    ensure_checkpoint_dir(m.sparkSession)
+    cand = m.select(*keys, us_col(m, ts_col).alias("_u")).dropna().distinct().checkpoint()
+    if bucket_seconds == "auto":
+        bucket_seconds = auto_bucket_seconds(cand, keys, "_u", target_rows=200_000)
+    width = int(bucket_seconds * US)
+    d = cand.withColumn("_b", floor_div("_u", F.lit(width)))
+    ptr = _entry_pointers(d, cand, keys, w, width)
+    chosen = cand.groupBy(*keys).agg(F.min("_u").alias("_u"))
+    ids = keys + ["_u"]
+    while not ptr.isEmpty():
+        # `chosen` holds the first 2^r entries of a key, `ptr` leads 2^r entries on;
+        # entries without so many after them leave `ptr`
+        step = chosen.join(ptr, ids).select(*keys, F.col("_nu").alias("_u"))
+        chosen = chosen.unionByName(step).checkpoint()
+        hop = ptr.select(*keys, F.col("_u").alias("_hu"), F.col("_nu").alias("_u"))
+        ptr = hop.join(ptr, ids).select(*keys, F.col("_hu").alias("_u"), "_nu").checkpoint()
+    entered = chosen.select(*keys, floor_div("_u", F.lit(width)).alias("_b"), F.col("_u").alias("_entry"))
+    types = {f.name: f.dataType.simpleString() for f in cand.schema.fields}
+
+    def chain(pdf):
+        u = np.sort(pdf["_u"].to_numpy())
+        nxt = np.searchsorted(u, u + w, side="right")
+        out, i = [], int(np.searchsorted(u, pdf["_entry"].iat[0]))
+        while i < len(u):
+            out.append(i)
+            i = int(nxt[i])
+        return pdf[keys].iloc[[0] * len(out)].assign(event_us=u[out])
+
+    ev = d.join(entered, keys + ["_b"]).groupBy(*keys, "_b").applyInPandas(
+        chain, ", ".join([f"`{k}` {types[k]}" for k in keys] + ["event_us long"]))
     return ev.withColumn(out_col, ts_of("event_us"))
 
 
-def _gap_clusters(cand: DataFrame, keys: list[str], w: int, bucket_seconds: int) -> DataFrame:
-    """Adds ``_start`` (the message's time when it opens a gap cluster) and
-    ``_anchor`` (the time of its cluster's first message), in one pass.
-
-    Inside a ``(key, time bucket)`` one window gives the previous message and
-    the last cluster start so far. A bucket's first message needs the last
-    time of the previous bucket; a message before the bucket's first start
-    needs the anchor in force at the end of the previous buckets. Both come
-    from a table with one row per ``(key, bucket)``."""
-    d = cand.withColumn("_b", floor_div("_u", F.lit(int(bucket_seconds * US))))
-    wb = Window.partitionBy(*keys, "_b").orderBy("_u", "_tb")
-    d = d.withColumn("_lag", F.lag("_u").over(wb))
-    start_in = F.col("_lag").isNotNull() & ((F.col("_u") - F.col("_lag")) > F.lit(w))
-    d = d.withColumn("_sin", F.when(start_in, F.col("_u")))
-    d = d.withColumn("_ain", F.last("_sin", ignorenulls=True).over(
-        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    bt = d.groupBy(*keys, "_b").agg(F.min("_u").alias("_fu"), F.max("_u").alias("_lu"), F.max("_sin").alias("_ls"))
-    bw = Window.partitionBy(*keys).orderBy("_b")
-    prev_last = F.lag("_lu").over(bw)
-    bt = bt.withColumn("_fis", prev_last.isNull() | ((F.col("_fu") - prev_last) > F.lit(w)))
-    bt = bt.withColumn("_end", F.coalesce(F.col("_ls"), F.when(F.col("_fis"), F.col("_fu"))))
-    bt = bt.select(*keys, "_b", "_fis", "_fu", F.last("_end", ignorenulls=True).over(
-        bw.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    d = d.join(bt, keys + ["_b"])
-    first_in_bucket = F.col("_lag").isNull()
-    d = d.withColumn("_start", F.when(start_in | (first_in_bucket & F.col("_fis")), F.col("_u")))
-    d = d.withColumn("_anchor", F.coalesce(F.col("_ain"), F.when(F.col("_fis"), F.col("_fu")), F.col("_carry")))
-    return d.drop("_b", "_lag", "_sin", "_ain", "_fis", "_fu", "_carry")
-
-
-def _chain_events(cand: DataFrame, keys: list[str], w: int, bucket_seconds: int) -> DataFrame:
-    """Exact anchored merge for large clusters by pointer doubling."""
-    ensure_checkpoint_dir(cand.sparkSession)
-    grp = keys + ["_anchor"]
-    node = cand.select(*grp, "_u", "_tb", "_start")
-    left = node.select(*grp, "_u", "_tb", ts_of(F.col("_u") + F.lit(w)).alias("_q"))
-    right = node.select(*grp, ts_of("_u").alias("_q"), F.col("_u").alias("_nu"), F.col("_tb").alias("_ntb"))
-    ptr = asof_join(left, right, on="_q", by=grp, direction="forward", allow_exact_matches=False,
-                    tiebreak="_ntb", bucket_seconds=bucket_seconds).drop("_q").checkpoint()
-    ids = grp + ["_u", "_tb"]
-    chosen = node.where(F.col("_start").isNotNull()).select(*ids).checkpoint()
-    n = chosen.count()
-    while True:
-        step = chosen.join(ptr, ids).where(F.col("_nu").isNotNull()).select(
-            *grp, F.col("_nu").alias("_u"), F.col("_ntb").alias("_tb"))
-        grown = chosen.unionByName(step).distinct().checkpoint()
-        m = grown.count()
-        if m == n:
-            break
-        chosen, n = grown, m
-        hop = ptr.select(*grp, F.col("_u").alias("_hu"), F.col("_tb").alias("_htb"),
-                         F.col("_nu").alias("_u"), F.col("_ntb").alias("_tb"))
-        # J_{k+1}(i) = J_k(J_k(i)); a NULL hop stays NULL (left join on a NULL key)
-        ptr = hop.join(ptr, ids, "left").select(
-            *grp, F.col("_hu").alias("_u"), F.col("_htb").alias("_tb"), "_nu", "_ntb").checkpoint()
-    return chosen.select(*keys, F.col("_u").alias("event_us"))
+def _entry_pointers(d: DataFrame, cand: DataFrame, keys: list[str], w: int, width: int) -> DataFrame:
+    """``keys…, _u, _nu``: possible entry of a bucket → entry of the next bucket
+    its chain reaches. Events of earlier buckets lie before the bucket's start,
+    so an entry is an instant less than ``w`` after the start, or the first later one."""
+    types = {f.name: f.dataType.simpleString() for f in cand.schema.fields}
+
+    def exits(pdf):
+        u = np.sort(pdf["_u"].to_numpy())
+        nxt = np.searchsorted(u, u + w, side="right")
+        last = np.where(nxt < len(u), nxt, np.arange(len(u)))
+        while True:
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        n = min(len(u), int(np.searchsorted(u, pdf["_b"].iat[0] * width + w)) + 1)
+        return pdf[keys].iloc[[0] * n].assign(_u=u[:n], _last=u[last[:n]])
+
+    links = d.groupBy(*keys, "_b").applyInPandas(
+        exits, ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_u long", "_last long"])).checkpoint()
+    left = links.select(*keys, "_last", ts_of(F.col("_last") + F.lit(w)).alias("_q")).distinct()
+    right = cand.select(*keys, ts_of("_u").alias("_q"), F.col("_u").alias("_nu"))
+    onward = asof_join(left, right, on="_q", by=keys, direction="forward", allow_exact_matches=False,
+                       bucket_seconds=width // US)
+    return links.join(onward.where(F.col("_nu").isNotNull()).drop("_q"), keys + ["_last"]).select(
+        *keys, "_u", "_nu").checkpoint()
 
 
 def forward_labels(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: Sequence[str],
@@ -142,11 +124,28 @@ def forward_labels(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: Se
     return g.withColumn(y_col, y).withColumn(tte_col, tte).drop("_next", "_gu")
 
 
-def rising_edges(df: DataFrame, keys: Sequence[str], order_col: str, y_col: str = "y_sc_5m") -> DataFrame:
+def rising_edges(df: DataFrame, keys: Sequence[str], order_col: str, y_col: str = "y_sc_5m",
+                 bucket: int = 1_000_000) -> DataFrame:
     """Rows with ``y = 1`` whose previous row (per key, in order) has
-    ``y = 0``; the first row counts when it is 1; NULL ``y`` is 0. Meant for
-    grid-sized tables (one row per grid point)."""
+    ``y = 0``; the first row counts when it is 1; NULL ``y`` is 0."""
+    d = edge_flags(df, keys, order_col, y_col, bucket)
+    return d.where("_edge").drop("_edge")
+
+
+def edge_flags(df: DataFrame, keys: Sequence[str], order_col: str, y_col: str = "y_sc_5m",
+               bucket: int = 1_000_000, out: str = "_edge") -> DataFrame:
+    """Adds ``out``: whether the row is a rising edge. ``order_col`` is a whole
+    number; the window covers ``bucket`` of its values, and the last ``y`` of
+    earlier buckets comes from a table with one row per ``(key, bucket)``, so a
+    long session is spread over its buckets."""
+    keys = list(keys)
     y = F.coalesce(F.col(y_col), F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(order_col)
-    prev = F.lag(y, 1, 0).over(w)
-    return df.withColumn("_prev_y", prev).where((y == 1) & (F.col("_prev_y") == 0)).drop("_prev_y")
+    d = df.withColumn("_eb", floor_div(F.col(order_col), F.lit(bucket)))
+    d = d.withColumn("_ep", F.lag(y).over(Window.partitionBy(*keys, "_eb").orderBy(order_col)))
+    last = d.groupBy(*keys, "_eb").agg(F.max_by(y, order_col).alias("_el"))
+    carry = last.withColumn("_ec", F.lag("_el", 1, 0).over(Window.partitionBy(*keys).orderBy("_eb")))
+    names = [*keys, "_eb"]
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in names]
+    j = d.alias("_l").join(carry.alias("_r"), same, "left").select("_l.*", "_r._ec")
+    edge = (F.coalesce(F.col(y_col), F.lit(0)) == 1) & (F.coalesce("_ep", "_ec", F.lit(0)) == 0)
+    return j.withColumn(out, edge).drop("_eb", "_ep", "_ec")

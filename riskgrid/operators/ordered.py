@@ -23,17 +23,20 @@ from riskgrid.session import ensure_checkpoint_dir
 
 
 def auto_bucket_seconds(df: DataFrame, by: Sequence[str], u_col, target_rows: int = 2_000_000,
-                        floor_s: int = 60, ceil_s: int = 30 * 86400) -> int:
-    """Bucket width so that the densest key puts about ``target_rows`` rows in
-    one ``(key, bucket)``: one small aggregate (a row per key, reduced to a
-    scalar) decides it, so hot keys get narrow buckets automatically."""
+                        widest_s: int = 30 * 86400) -> int:
+    """A bucket width whose fullest ``(key, bucket)`` holds at most ``target_rows``
+    rows, down to one second. Buckets are counted, so a burst narrows them however
+    quiet its key is otherwise: from ``widest_s`` on, a width that does not fit
+    shrinks by the excess, at least by half. Each try is one partially aggregated
+    count."""
     u = F.col(u_col) if isinstance(u_col, str) else u_col
-    per = df.select(*by, u.alias("_au")).where(F.col("_au").isNotNull()).groupBy(*by).agg(
-        (F.count(F.lit(1)) / F.greatest((F.max("_au") - F.min("_au")) / F.lit(float(US)), F.lit(1.0))).alias("_dens"))
-    dens = per.agg(F.max("_dens")).first()[0]
-    if not dens:
-        return ceil_s
-    return int(max(floor_s, min(ceil_s, target_rows / dens)))
+    d = df.select(*by, u.alias("_au")).where(F.col("_au").isNotNull())
+    width = widest_s
+    while True:
+        full = d.groupBy(*by, floor_div(F.col("_au"), F.lit(width * US)).alias("_ab")).count().agg(F.max("count")).first()[0]
+        if width == 1 or full is None or full <= target_rows:
+            return width
+        width = max(1, int(width * min(0.5, target_rows / full)))
 
 
 def _resolve(df: DataFrame, by: Sequence[str], u_col, bucket_seconds) -> int:
@@ -109,11 +112,14 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Colum
     return d.drop("_pid", *[f"_s_{k}" for k in names], *[f"_o_{k}" for k in names])
 
 
-def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out: str = "median",
+                 weight_col: str | None = None) -> DataFrame:
     """Per group, the median of ``value_col`` (mean of the two middle values
-    for an even count; NULLs ignored) — the same as pandas ``median``."""
+    for an even count; NULLs ignored) — the same as pandas ``median``. A row
+    stands for ``weight_col`` values (default one)."""
     g = list(group_cols)
-    counts = df.where(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    n_values = F.sum(weight_col) if weight_col else F.count(F.lit(1))
+    counts = df.where(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(n_values.alias("_c"))
     ps = prefix_sums(counts, [F.col(c) for c in g] + [F.col(value_col)], {"_cum": F.col("_c")}, partition_cols=g)
     n = ps.groupBy(*g).agg(F.sum("_c").alias("_n"))
     ps = ps.join(n, g)

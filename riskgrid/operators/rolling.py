@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from riskgrid.functions.predicates import nan_to_null
 from riskgrid.functions.time import US, floor_div, us_col
 from riskgrid.operators.grid import K, explode_to_grid
+from riskgrid.operators.ordered import auto_bucket_seconds
 
 ZERO_DEFAULT = {"count": 0, "distinct": 0, "concat": "", "text": "", "entropy": 0.0}
 
@@ -119,14 +120,18 @@ def entropy_to_grid(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: S
 
 def rolling_over_timeline(timeline: DataFrame, events: DataFrame, keys: Sequence[str], ts_col: str,
                           event_ts_col: str, aggs: Sequence[tuple[str, str, str | None, int]],
-                          bucket_seconds: int = 6 * 3600) -> DataFrame:
+                          bucket_seconds: int | str = "auto") -> DataFrame:
     """Rolling aggregates for arbitrary timeline rows (R1–R3 generic form).
 
     Every timeline row is carried through the union as a struct and kept
     once; its window may reach
     into the previous bucket, so source rows within ``w`` of a bucket's start
-    are copied into that bucket as well."""
+    are copied into that bucket as well. ``"auto"`` sizes buckets from the fullest one."""
     keys = list(keys)
+    if bucket_seconds == "auto":
+        sides = timeline.select(*keys, us_col(timeline, ts_col).alias("_au")).unionByName(
+            events.select(*keys, us_col(events, event_ts_col).alias("_au")))
+        bucket_seconds = auto_bucket_seconds(sides, keys, "_au")
     wmax = max(a[3] for a in aggs) * US
     bucket = max(bucket_seconds * US, wmax)
     values = sorted({a[2] for a in aggs if a[2] is not None})

@@ -90,7 +90,7 @@ def _asof(spark, d, direction, tol=None):
     rv = D.messages(spark, d).where(F.col("category") == "view").select(
         "session_key", F.col("date").alias("timestamp"), "value", F.col("event_id").alias("r_event_id"))
     return asof_join(g, rv, on="timestamp", by="session_key", direction=direction,
-                     tolerance_seconds=tol, tiebreak="r_event_id", bucket_seconds=6 * 3600)
+                     tolerance_seconds=tol, tiebreak="r_event_id")
 
 
 @register("asof_backward", O.ASOF_BACKWARD)
@@ -162,8 +162,7 @@ def q_rolling_timeline(spark, d):
     tl = m.where(F.col("category") == "purchase").select("session_key", "event_id", F.col("date").alias("timestamp"))
     clicks = m.where(F.col("category") == "click").select("session_key", "date", "value")
     return rolling_over_timeline(tl, clicks, KEYS, "timestamp", "date",
-                                 [("clicks_1h", "count", None, 3600), ("click_value_mean_1h", "mean", "value", 3600)],
-                                 bucket_seconds=6 * 3600)
+                                 [("clicks_1h", "count", None, 3600), ("click_value_mean_1h", "mean", "value", 3600)])
 
 
 @register("rolling_concat", O.ROLLING_CONCAT)
@@ -216,8 +215,7 @@ def q_event_predicate(spark, d):
 
 
 def _events(spark, d):
-    return detect_events(D.messages(spark, d), KEYS, "date", D.predicate(), 300, tiebreak="event_id",
-                         bucket_seconds=6 * 3600)
+    return detect_events(D.messages(spark, d), KEYS, "date", D.predicate(), 300)
 
 
 @register("event_merge", O.EVENT_MERGE)
@@ -595,9 +593,63 @@ def q_svd_components(spark, d):
 @register("model_evaluation", None)
 def q_model_evaluation(spark, d):
     s = _model_input(spark, d)
-    fit = TR.fit_baseline(s.where(F.col("split") != "test"))
-    metrics, _ = TR.run_evaluation({"baseline": fit}, s.where(F.col("split") == "test"))
-    return metrics
+    train, inner, val, test = (s.where(c) for c in (
+        F.col("split") != "test", F.col("split") == "inner", F.col("split") == "val", F.col("split") == "test"))
+    return TR.run_evaluation({"baseline": TR.fit_baseline(train), "boosted": TR.fit_boosted(inner, val)}, test)["metrics"]
+
+
+def _evaluated(spark, d):
+    """Two scores that SQL can repeat: the message-count risk and one from the grid point alone."""
+    s = scored(spark, d).checkpoint()
+    by_time = F.col(K) / (F.col(K) + 100.0)
+    return TR.evaluate({"baseline": s.withColumn("prob", by_time), "boosted": s.withColumn("prob", F.col("risk_score"))})
+
+
+@register("evaluation_metrics", O.EVALUATION_METRICS, ("pr_auc", "roc_auc", "brier_score", "positive_rate"))
+def q_evaluation_metrics(spark, d):
+    return _evaluated(spark, d)["metrics"]
+
+
+@register("evaluation_policy", O.EVALUATION_POLICY)
+def q_evaluation_policy(spark, d):
+    return _evaluated(spark, d)["policy"]
+
+
+@register("report_header", O.REPORT_HEADER)
+def q_report_header(spark, d):
+    return _evaluated(spark, d)["header"]
+
+
+def _lines_split(spark, d):
+    o = D.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    y = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    return SP.nested_split(o, "o_custkey", "o_orderdate", 0.2, 0.15).withColumn("y", y)
+
+
+@register("scaled_features", O.SCALED_FEATURES, ("z_o_totalprice", "z_o_custkey"))
+def q_scaled_features(spark, d):
+    """M3: every order, scaled by the statistics of the inner rows."""
+    s = _lines_split(spark, d)
+    fit = MD.fit_scaler(s.where(F.col("split") == "inner"), ["o_totalprice", "o_custkey"])
+    return fit.transform(s).select("o_orderkey", "z_o_totalprice", "z_o_custkey")
+
+
+@register("class_weights", O.CLASS_WEIGHTS, ("w",))
+def q_class_weights(spark, d):
+    """M6/M7: balanced weights counted on the inner rows, for inner and validation rows."""
+    s = _lines_split(spark, d).where(F.col("split") != "test")
+    return MD.with_balanced_weights(s, "y", train=s.where(F.col("split") == "inner")).select("o_orderkey", "y", "w")
+
+
+@register("svd_orthonormal", O.SVD_ORTHONORMAL, ("dot",))
+def q_svd_orthonormal(spark, d):
+    """M2: VᵀV of a ten-column basis of the documents' text vectors, by pair of columns."""
+    docs = D.table(spark, d, "documents")
+    tm = MD.fit_text(docs, "doc_id", "text")
+    v = MD.fit_svd(MD.text_weights(docs, "doc_id", "text", tm).checkpoint(), "doc_id", tm.size, 10)
+    x = v.select("index", F.posexplode(MD.vector_to_array("vec")).alias("i", "a")).checkpoint()
+    pair = x.join(x.select("index", F.col("i").alias("j"), F.col("a").alias("b")), "index")
+    return pair.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
 
 
 @register("risk_series", O.RISK_SERIES)

@@ -563,3 +563,56 @@ SELECT session_key, grid_k, timestamp FROM sc WHERE y_sc_5m = 1"""
 
 FIRST_SESSIONS = f"""WITH {EV}, {SESS}
 SELECT session_key, date_start FROM sess ORDER BY date_start, session_key LIMIT 10"""
+
+
+# ---------------------------------------------------------------- model layer and evaluation
+_EVAL = f"""{SCORED},
+ev2 AS (SELECT 'baseline' AS model, *, CAST(grid_k AS DOUBLE) / (CAST(grid_k AS DOUBLE) + 100.0) AS prob FROM sc
+        UNION ALL SELECT 'boosted', *, risk_score FROM sc)"""
+
+EVALUATION_METRICS = f"""{_EVAL},
+ep AS (SELECT model, prob AS p, CAST(sum(y_sc_5m) AS DOUBLE) AS tp, CAST(sum(1 - y_sc_5m) AS DOUBLE) AS fp,
+              sum((prob - y_sc_5m) * (prob - y_sc_5m)) AS se, count(*) AS n FROM ev2 GROUP BY model, prob),
+ec2 AS (SELECT *, sum(tp) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+               sum(fp) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cfp FROM ep)
+SELECT model, sum(tp * ctp / (ctp + cfp)) / sum(tp) AS pr_auc,
+       sum(fp * (ctp - tp / 2)) / (sum(tp) * sum(fp)) AS roc_auc, sum(se) / sum(n) AS brier_score,
+       sum(tp) / sum(n) AS positive_rate, CAST(sum(n) AS BIGINT) AS n_samples, CAST(sum(tp) AS BIGINT) AS n_positive
+FROM ec2 GROUP BY model"""
+
+EVALUATION_POLICY = f"""{_EVAL},
+th AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]::DOUBLE[]) AS threshold),
+x AS (SELECT ev2.model, th.threshold, ev2.session_key, ev2.y_sc_5m AS y, ev2.time_to_sc_seconds AS tte,
+             ev2.prob >= th.threshold AS a FROM ev2, th),
+c AS (SELECT model, threshold, sum(CASE WHEN a THEN 1 ELSE 0 END) / count(DISTINCT session_key) AS apr,
+             sum(CASE WHEN a AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN a AND y <> 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN NOT a AND y = 1 THEN 1 ELSE 0 END) AS fn,
+             sum(CASE WHEN NOT a AND y <> 1 THEN 1 ELSE 0 END) AS tn,
+             median(CASE WHEN a AND y = 1 THEN tte END) AS lead
+      FROM x GROUP BY model, threshold)
+SELECT model, threshold, round_even(apr, 2) AS alerts_per_race, round_even(lead, 1) AS median_lead_time_s,
+       round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS true_positive_rate,
+       round_even(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 4) AS false_positive_rate,
+       round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision
+FROM c"""
+
+REPORT_HEADER = f"""{SCORED}
+SELECT count(*) AS test_rows, count(DISTINCT meeting_key) AS test_meetings,
+       round_even(avg(y_sc_5m) * 100, 2) AS positive_pct FROM sc"""
+
+_ORDERS_SPLIT = f"""os AS (SELECT o.*, n.split, CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END AS y
+       FROM orders o JOIN ({NESTED_SPLIT}) n ON o.o_orderkey = n.o_orderkey)"""
+
+SCALED_FEATURES = f"""WITH {_ORDERS_SPLIT},
+st AS (SELECT avg(CAST(o_totalprice AS DOUBLE)) AS mp, stddev_pop(CAST(o_totalprice AS DOUBLE)) AS sp,
+              avg(CAST(o_custkey AS DOUBLE)) AS mc, stddev_pop(CAST(o_custkey AS DOUBLE)) AS sdc
+       FROM os WHERE split = 'inner')
+SELECT o_orderkey, (o_totalprice - mp) / sp AS z_o_totalprice, (o_custkey - mc) / sdc AS z_o_custkey FROM os, st"""
+
+CLASS_WEIGHTS = f"""WITH {_ORDERS_SPLIT},
+k AS (SELECT y, count(*) AS c FROM os WHERE split = 'inner' GROUP BY y)
+SELECT o_orderkey, os.y, CAST((SELECT sum(c) FROM k) AS DOUBLE) / ((SELECT count(*) FROM k) * k.c) AS w
+FROM os JOIN k ON os.y = k.y WHERE split <> 'test'"""
+
+SVD_ORTHONORMAL = """SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j,
+       CASE WHEN a.range = b.range THEN 1.0 ELSE 0.0 END::DOUBLE AS dot FROM range(10) a, range(10) b"""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgrid.functions.time import US, us_col
-from riskgrid.operators.events import rising_edges
+from riskgrid.operators.events import edge_flags
 
 
 def session_list(gold: DataFrame, year: int | None = None) -> DataFrame:
@@ -57,12 +57,10 @@ def means_by(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
 def session_risk(scored: DataFrame, score_col: str = "risk_score", y_col: str = "y_sc_5m",
                  order_col: str = "grid_k") -> DataFrame:
     """Per session peak score, positives, grid points, event starts."""
-    edges = rising_edges(scored, ["session_key"], order_col, y_col).groupBy("session_key").agg(
-        F.count(F.lit(1)).alias("sc_event_starts"))
-    agg = scored.groupBy("session_key").agg(F.max(score_col).alias("peak_risk"),
-                                            F.sum(y_col).cast("long").alias("sc_windows"),
-                                            F.count(F.lit(1)).alias("grid_points"))
-    return agg.join(edges, "session_key", "left").fillna({"sc_event_starts": 0})
+    flagged = edge_flags(scored, ["session_key"], order_col, y_col)
+    return flagged.groupBy("session_key").agg(
+        F.max(score_col).alias("peak_risk"), F.sum(y_col).cast("long").alias("sc_windows"),
+        F.count(F.lit(1)).alias("grid_points"), F.count_if("_edge").alias("sc_event_starts"))
 
 
 def latest_delta(scored: DataFrame, score_col: str = "risk_score", order_col: str = "grid_k") -> DataFrame:

@@ -41,6 +41,12 @@ def read_landing(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def race_sessions(sessions: DataFrame, year: int | None, session_name: str = "Race") -> DataFrame:
+    """The sessions of one type, of one year (``None``: all years)."""
+    kept = sessions.where(F.col("session_name") == session_name)
+    return kept if year is None else kept.where(F.col("year") == year)
+
+
 def parse_timestamps(df: DataFrame, table: str) -> DataFrame:
     """Parse the registered timestamp columns present (NULL on failure)."""
     cols = [c for c in TIMESTAMP_COLS.get(table, ()) if c in df.columns]

@@ -137,27 +137,75 @@ def test_feature_build_shapes(spark, sessions):
     assert sum(r.y_sc_5m for r in rows.values()) > 0
 
 
-def test_event_merge_doubling_path_matches_fold(spark):
+def _anchored(times, w):
+    out = []
+    for t in sorted(times):
+        if not out or t - out[-1] > w:
+            out.append(t)
+    return out
+
+
+def test_event_merge_matches_brute_force(spark):
+    from riskgrid.functions.time import us_col
     from riskgrid.operators.events import detect_events
     from riskgrid.plans import driver_tables as D
-    m = D.messages(spark, "/root/testdata/sf0.001")
-    fold = detect_events(m, ["session_key"], "date", D.predicate(), 300, tiebreak="event_id")
-    chain = detect_events(m, ["session_key"], "date", D.predicate(), 300, tiebreak="event_id", max_fold_size=0)
-    a = sorted(tuple(r) for r in fold.select("session_key", "event_us").collect())
-    b = sorted(tuple(r) for r in chain.select("session_key", "event_us").collect())
-    assert a == b and len(a) > 0
+    m = D.messages(spark, "/root/testdata/sf0.001").where(D.predicate())
+    per = {}
+    for r in m.select("session_key", us_col(m, "date").alias("u")).collect():
+        per.setdefault(r.session_key, []).append(r.u)
+    want = sorted((k, t) for k, ts in per.items() for t in _anchored(ts, 300_000_000))
+    ev = detect_events(m, ["session_key"], "date", None, 300)
+    assert sorted(tuple(r) for r in ev.select("session_key", "event_us").collect()) == want and want
 
 
-def test_event_merge_doubling_long_chain(spark):
+def test_event_merge_long_chain(spark):
     from riskgrid.operators.events import detect_events
     # one message every 100 s for 3 hours: anchors every 400 s (0, 400, 800, ...)
     df = spark.createDataFrame([(1, B + dt.timedelta(seconds=100 * i), i) for i in range(108)],
                                "session_key long, date timestamp_ntz, id long")
-    chain = detect_events(df, ["session_key"], tiebreak="id", max_fold_size=0)
-    got = sorted(r.event_ts for r in chain.collect())
+    got = sorted(r.event_ts for r in detect_events(df, ["session_key"]).collect())
     assert got == [B + dt.timedelta(seconds=400 * j) for j in range(27)]
 
 
+def test_event_merge_repeated_times_do_not_grow(spark, monkeypatch):
+    """Many messages at each instant: no table of the doubling rounds has more rows than there are instants."""
+    from riskgrid.operators.events import detect_events
+    rnd = random.Random(3)
+    times = sorted({rnd.randint(0, 6000) for _ in range(200)})
+    df = spark.createDataFrame([(k, B + dt.timedelta(seconds=t)) for k in (1, 2) for t in times for _ in range(5)],
+                               "session_key long, date timestamp_ntz")
+    rows, plain = [], type(df).checkpoint
+
+    def counted(self, *a, **kw):
+        out = plain(self, *a, **kw)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(type(df), "checkpoint", counted)
+    got = sorted(tuple(r) for r in detect_events(df, ["session_key"], bucket_seconds=350).select(
+        "session_key", "event_ts").collect())
+    assert got == [(k, B + dt.timedelta(seconds=t)) for k in (1, 2) for t in _anchored(times, 300)]
+    assert len(rows) > 4 and max(rows) <= 2 * len(times)
+
+
+def test_bucket_width_sees_bursts(spark):
+    from riskgrid.operators.ordered import auto_bucket_seconds
+    u = F.when(F.col("id") < 9_000, F.col("id") * 1_000).otherwise(F.lit(2 * 365 * 86400 * 1_000_000))
+    df = spark.range(9_001).select(F.lit(1).alias("k"), u.alias("u"))  # 9 000 rows in 9 s, one two years on
+    width = auto_bucket_seconds(df, ["k"], "u", target_rows=3_000)
+    full = df.groupBy("k", F.floor(F.col("u") / (width * 1_000_000))).count().agg(F.max("count")).first()[0]
+    assert full <= 3_000
+
+
+def test_edges_do_not_depend_on_buckets(spark):
+    from riskgrid.operators.events import rising_edges
+    rnd = random.Random(8)
+    rows = [(s, k, rnd.choice((0, 1, 1, None))) for s in (1, 2, None) for k in range(-5, 60)]
+    df = spark.createDataFrame(rows, "s int, k long, y int")
+    want = sorted((str(s), k) for i, (s, k, y) in enumerate(rows) if y == 1 and (k == -5 or rows[i - 1][2] != 1))
+    for bucket in (1, 7, 1_000_000):
+        assert sorted((str(r.s), r.k) for r in rising_edges(df, ["s"], "k", "y", bucket).collect()) == want
+
+
 def test_event_merge_tiny_buckets_match(spark):
     from riskgrid.operators.events import detect_events
     from riskgrid.plans import driver_tables as D
@@ -165,8 +213,8 @@ def test_event_merge_tiny_buckets_match(spark):
     chain = spark.createDataFrame([(1, B + dt.timedelta(seconds=70 * i), i) for i in range(60)],
                                   "session_key long, date timestamp_ntz, event_id long")
     for src, pred in ((m, D.predicate()), (chain, None)):
-        a = detect_events(src, ["session_key"], "date", pred, 300, tiebreak="event_id")
-        b = detect_events(src, ["session_key"], "date", pred, 300, tiebreak="event_id", bucket_seconds=150)
+        a = detect_events(src, ["session_key"], "date", pred, 300)
+        b = detect_events(src, ["session_key"], "date", pred, 300, bucket_seconds=150)
         ka = sorted(tuple(r) for r in a.select("session_key", "event_us").collect())
         kb = sorted(tuple(r) for r in b.select("session_key", "event_us").collect())
         assert ka == kb and len(ka) > 0

@@ -61,3 +61,31 @@ def test_write_gold_round_trip(spark, sessions):
     write_gold(gold, out)
     back = BZ.read_gold(spark, out, [9158])
     assert back.count() == 120 and set(back.columns) == set(gold.columns)
+
+
+def test_landing_records_by_year_and_session_name(spark):
+    root = tempfile.mkdtemp(prefix="riskgrid-landing-", dir=os.environ.get("TMPDIR", "/tmp"))
+    rows = [(1, 10, 2023, "Race", B), (2, 10, 2024, "Qualifying", B), (3, 20, 2024, "Race", B), (4, 30, None, None, B)]
+    raw = spark.createDataFrame(rows, "session_key long, meeting_key long, year int, session_name string, date_start timestamp_ntz")
+    BZ.write_raw_json(raw, f"{root}/sessions")
+    every = BZ.read_landing(spark, f"{root}/sessions", "sessions")
+    assert every.count() == 4
+    races = BZ.race_sessions(every, 2024).collect()
+    assert [(r.session_key, r.session_name) for r in races] == [(3, "Race")]
+    assert sorted(r.session_key for r in BZ.race_sessions(every, None).collect()) == [1, 3]
+    tables = BZ.read_landing_all(spark, root)
+    assert tables["sessions"].count() == 4 and all(t.count() == 0 for n, t in tables.items() if n != "sessions")
+
+
+def test_results_and_plain_sinks(spark):
+    root = tempfile.mkdtemp(prefix="riskgrid-sinks-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sessions = spark.createDataFrame([(1, 10, 2024, "X", B.isoformat())],
+                                     "session_key long, meeting_key long, year int, meeting_name string, date_start string")
+    raw = spark.createDataFrame([(1, "44", "HAM", "Finished")], "session_key long, DriverNumber string, Abbreviation string, Status string")
+    r = BZ.standardise_results(raw, sessions).first()
+    assert (r.driver_number, r.driver_abbr, r.status, r.meeting_key, r.year) == ("44", "HAM", "Finished", 10, 2024)
+    imp = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "feature string, importance double")
+    for fmt in ("csv", "json", "parquet"):
+        BZ.write_table(imp, f"{root}/{fmt}", fmt)
+    assert sorted(map(tuple, BZ.read_csv(spark, f"{root}/csv", imp.schema).collect())) == [("a", 0.75), ("b", 0.25)]
+    assert spark.read.json(f"{root}/json").count() == spark.read.parquet(f"{root}/parquet").count() == 2
