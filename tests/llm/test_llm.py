@@ -229,6 +229,16 @@ def test_host_rules_strict_domain(spark):
     assert got["bad3"].domain_rate > 0.5 > got["soft"].domain_rate
 
 
+def test_host_rules_fitted_verdicts(spark):
+    # Failures are far from half of any domain, yet domain "bad" is clearly above the others.
+    clean = " ".join(f"word{i}" for i in range(80))
+    mild, gross = clean + "$" * 60, clean + "$" * 200
+    rows = [(f"{s}{k}{i}", text, s) for s, n in (("bad", 40), ("good", 2), ("fine", 2)) for k, text, m in (("clean", clean, 200), ("mild", mild, n), ("gross", gross, 2)) for i in range(m)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    assert kept == {d for d, _, s in rows if "gross" not in d and not (s == "bad" and "mild" in d)}
+
+
 def test_host_rules_odd(odd, empty):
     got = host_rules(odd)
     assert got.count() == 15 and "rate" in got.columns and got.where("kept is null").count() == 0
