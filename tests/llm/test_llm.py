@@ -128,6 +128,53 @@ def test_pii_query(spark):
     assert len(got) == 1000 and added <= 40
 
 
+def planted_pii():
+    """Rows with base spans, and rows with other forms, number runs and what must be found."""
+    rng = random.Random(11)
+
+    def words():
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(3, 9)))
+
+    def host(dot):
+        return dot.join([words()[:5].strip().replace(" ", "x") + "h", "example", "com"])
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    makers = {
+        "email": lambda i: f"u{number(3)}@{host('.')}", "ip": lambda i: ".".join(str(rng.randrange(256)) for _ in range(4)), "phone": lambda i: f"+1 ({number(3)}) 555-{number(4)}", "broken": lambda i: f"{300 + rng.randrange(600)}.{number(3)}.1.{number(2)}", "amount": lambda i: f"{rng.randint(10, 99)}.{number(3)}.{number(3)}",
+        "masked": lambda i: f"v{number(3)}" + [" (at) ", "(at)", "[at]", " [at] "][i % 4] + host([".", " (dot) ", "[dot]"][i % 3]),
+        "plain": lambda i: [f"({number(3)}) 555-{number(4)}", f"{number(3)}-555-{number(4)}", f"{number(3)} 555 {number(4)}", f"{number(3)}.555.{number(4)}"][i % 4],
+        "ip6": lambda i: ":".join(f"{rng.randrange(65536):x}" for _ in range(8))}
+    rows = []
+    for kind, make in makers.items():
+        for i in range(150):
+            before, span = words() + " ", make(i)
+            rows.append((len(rows), f"{before}{span} {words()}", kind, len(before), len(before) + len(span)))
+    return rows
+
+
+def test_pii_other_forms(spark):
+    rows = planted_pii()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, form string, a long, b long")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(docs, pii.fit_pii(docs), carry=["doc_id"]).collect()}
+    for form, kind in (("masked", "email"), ("plain", "phone"), ("ip6", "ip")):
+        assert sum((kind, a, b) in got[d] for d, _, f, a, b in rows if f == form) >= 143, form
+    for form in ("broken", "amount"):
+        assert sum(bool(got[d]) for d, _, f, _, _ in rows if f == form) <= 15, form
+
+
+def test_pii_examples():
+    for kind, span in (("email", "a.b@c.example.de"), ("ip", "10.2.3.4"), ("phone", "+1 (068) 555-2748"), ("phone", "+49301234567")):
+        forms = pii.rewritten(kind, span)
+        assert len(forms) >= 2
+        for form in forms:
+            assert (kind, 3, 3 + len(form), False) in pii.candidates(f"to {form} or"), form
+    text = "+1 (017) 555-7713 or (017) 555-7713 or me (at) x.org or 1:2:3:4:5:6:7:8 or 12.345.678 or 256.1.1.1"
+    assert {(k, s) for k, s, a, b, _, y in pii.examples(text) if y == 0 and text[a:b] == s} == {("phone", "12.345.678"), ("ip", "256.1.1.1")}
+    assert all(text[a:b] == "+1 (017) 555-7713" for _, _, a, b, _, y in pii.examples(text) if y == 1)
+
+
 def test_pii_odd(odd, empty):
     model = pii.fit_pii(odd)
     assert model.thresholds == dict.fromkeys(pii.KINDS, np.inf)
