@@ -43,8 +43,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document is repeated for every pass that draws it; where a quota ends
-    inside a document, that copy holds only the words drawn."""
+    """The mix, shard by shard and shuffled in each: a document is repeated for every pass
+    that draws it; where a quota or a shard's block ends inside a document, that copy holds
+    only the words dealt there."""
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select("doc_id", "source", "text", F.struct(*others).alias("_rest"))
     mixed = copies(*mix_sources(packed, carry=["text", "_rest"]), ["text", "_rest"])

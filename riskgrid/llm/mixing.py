@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.operators.ordered import prefix_sums
 
-from .common import WORD, attach, materialise
+from .common import GAP, WORD, attach, materialise
 
 BLOCK_WORDS = 16_384
 
@@ -98,18 +98,34 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0)
 
 
 def words_taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``documents`` with ``taken``: the words that the pieces hold of each, repeats counted."""
-    taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("row")
+    """``documents`` with ``taken``, the words that the pieces hold of each, repeats counted,
+    and ``shard_words``, the same by shard: (shard, words) in the order of the shards."""
+    by_shard = pieces.groupBy("row", "shard").agg(F.sum("n_words").alias("words"))
+    taken = by_shard.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shard_words"))
+    none = F.expr("cast(array() as array<struct<shard: int, words: bigint>>)")
+    return documents.join(taken, "row", "left").withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "shard_words": F.coalesce("shard_words", none)}).drop("row")
+
+
+#: Pieces of one document, pass and shard that follow each other, as one.
+_RUNS = """aggregate(sort_array(collect_list(struct(first_word, n_words, order_key))), cast(array() as array<struct<first_word: bigint, n_words: bigint, order_key: bigint>>),
+    (runs, p) -> case when size(runs) > 0 and try_element_at(runs, -1).first_word + try_element_at(runs, -1).n_words = p.first_word
+        then concat(slice(runs, 1, size(runs) - 1), array(named_struct('first_word', try_element_at(runs, -1).first_word, 'n_words', try_element_at(runs, -1).n_words + p.n_words, 'order_key', try_element_at(runs, -1).order_key)))
+        else concat(runs, array(p)) end)"""
 
 
 def copies(documents: DataFrame, pieces: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of ``documents``, one row for each pass that draws the document. A pass
-    ends inside at most one document of a source; that copy is cut after its last drawn
-    word, its words joined by one space."""
-    passes = pieces.groupBy("row", "pass").agg(F.sum("n_words").alias("_drawn")).drop("pass")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_drawn").cast("int")), " ")
-    whole = F.col("_drawn") == F.col("size")
-    text = F.when(whole, F.col(text_col)).otherwise(cut).alias(text_col)
-    return documents.join(passes, "row").select(*[text if c == text_col else F.col(c) for c in columns])
+    """``columns`` of ``documents`` (or ``shard``, ``order_key``), one row for each pass that
+    draws the document and each shard that its words are dealt to, in the order of the
+    shards and in a shard of ``order_key``, in ranges of any number for one shard. A document
+    whose blocks go to several shards, or that a pass ends in, is cut between words; words
+    that follow each other in a shard stay together with the white space between them."""
+    runs = pieces.groupBy("row", "pass", "shard").agg(F.expr(_RUNS).alias("_runs")).select("row", F.col("shard").alias("_shard"), F.explode("_runs").alias("_run"))
+    units = F.regexp_extract_all(F.col(text_col), F.lit(f"((?:{GAP})?{WORD})"), F.lit(1))
+    part = F.array_join(F.slice(units, F.col("_run.first_word").cast("int") + 1, F.col("_run.n_words").cast("int")), "")
+    whole = F.col("_run.n_words") == F.col("size")
+    text = F.when(whole, F.col(text_col)).otherwise(F.regexp_replace(part, f"^{GAP}", "")).alias(text_col)
+    own = {"shard": F.col("_shard"), "order_key": F.col("_run.order_key")}
+    wanted = [text if c == text_col else own[c].alias(c) if c in own and c not in documents.columns else F.col(c) for c in columns]
+    order = ["_shard", "_order"]
+    rows = documents.join(runs, "row").withColumn("_order", F.col("_run.order_key"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*wanted)

@@ -71,7 +71,7 @@ def op7_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mix_sources(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    return words_taken(documents, pieces).select("doc_id", "size", "source_size", "target", "taken")
+    return words_taken(documents, pieces).select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", F.transform("shard_words", lambda w: F.concat_ws(":", w.shard, w.words))).alias("shard_words"))
 
 
 @query

@@ -458,6 +458,24 @@ def test_mixing_meets_targets(spark, odd, empty):
     assert whole.text.map(lambda t: len(t.encode().split())).sum() == words_taken(*mix_sources(odd, carry=["doc_id"])).agg(F.sum("taken")).first()[0]
 
 
+def test_mixing_deals_shards(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"{i}.{k}" for k in range(i % 40 * 40)), f"s{i % 3}") for i in range(150)], "doc_id long, text string, source string")
+    documents, pieces = mix_sources(docs, carry=["doc_id", "text"], block=500)
+    taken = words_taken(documents, pieces).drop("text").toPandas()
+    assert (taken.shard_words.map(lambda x: sum(w.words for w in x)) == taken.taken).all()
+    assert {w.shard for x in taken.shard_words for w in x} == set(range(8))
+    rows = copies(documents, pieces, ["doc_id", "text", "shard", "order_key"]).collect()
+    assert [(r.shard, r.order_key) for r in rows] == sorted((r.shard, r.order_key) for r in rows)
+    words = {(r.doc_id, w.shard): w.words for r in taken.itertuples() for w in r.shard_words}
+    got = {}
+    for r in rows:
+        got[r.doc_id, r.shard] = got.get((r.doc_id, r.shard), 0) + len(r.text.split())
+        first, n = int(r.text.split()[0].split(".")[1]), len(r.text.split())
+        assert r.text == "\n".join(f"{r.doc_id}.{k}" for k in range(first, first + n))
+    assert got == words
+    assert "shard_words" in queries.QUERIES["op9_source_mixing"](spark, SF).columns
+
+
 # 10 Chat
 
 def test_chat_round_trip(spark):
