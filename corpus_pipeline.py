@@ -30,9 +30,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, Jaccard 0.8): the
-    one with the smallest id. Documents without words have no copies and stay."""
-    return without(docs, near_duplicates(docs).where(~F.col("kept")), ["doc_id"]).select(docs.columns)
+    """One document of each group of near copies (5-word shingles, Jaccard 0.8): the one
+    with the smallest id, nulls last, equal ids by the hash of id and text. A row is judged
+    by that hash, so texts that share an id are judged apart, and of equal rows one stays.
+    Documents without words have no copies and stay."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    judged = materialise(near_duplicates(keyed, id_col="_row").where("n_shingles > 0").groupBy("_row", "component_id").agg(F.count("*").alias("n")))
+    members = judged.join(keyed.select("_row", "doc_id").distinct(), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    left = without(keyed, judged.join(first.select("first._row"), "_row", "left_anti"), ["_row"])
+    again = materialise(judged.where("n > 1").select("_row"))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    equal = left.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(again, "_row", "left_anti").select(docs.columns).unionByName(equal)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

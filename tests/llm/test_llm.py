@@ -520,6 +520,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert os.path.isdir(SF01)
 
 
+def test_pipeline_near_dedup_repeated_ids(spark):
+    def text(k):
+        return " ".join(f"{k}{i}" for i in range(60))
+
+    rows = [(1, text("a"), "s"), (2, text("a"), "s"), (2, text("b"), "s"), (3, text("c"), "s"), (3, text("c"), "s"), (None, text("d"), "s"), (None, text("d") + " more", "s"), (None, text("e"), "s"),
+            (4, text("f"), "s"), (4, text("g"), "s"), (5, text("g"), "t"), (None, text("a"), "s"), (6, "", "s"), (6, "", "s"), (None, None, "s")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    kept = [(r.doc_id, (r.text or "")[:1]) for r in got]
+    want = [(1, "a"), (2, "b"), (3, "c"), (None, "d"), (None, "e"), (4, "f"), (4, "g"), (6, ""), (6, ""), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_odd(spark, odd):
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
