@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .chat import expand_targets, read_back
 from .common import read
+from .exact_dedup import exact_duplicates
+from .filter_audit import audit, mask_cells
 from .host_rules import host_rules
 from .hyperminhash import near_duplicates
 from .mixing import mix_sources, words_taken
@@ -173,3 +175,42 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
 
     return out.select("doc_id", *map(count, KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(mask_cells(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+ORACLES["op11_filter_audit"] = r"""
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+f as (select doc_id, part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) as c,
+    regexp_matches(t, '[#$%&*|]') as d, min(doc_id) over (partition by t) < doc_id as e from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * coalesce(e, false)::int as mask, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from f left join l using (doc_id)),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, bits) as (select letter, [bit] from letters union all select filter_order || letter, list_append(bits, bit) from orders, letters where not list_contains(bits, bit)),
+steps as (select filter_order, s as step, substr(filter_order, s, 1) as letter, bits[s] as bit, coalesce(list_sum(bits[1:s - 1]), 0)::int as before
+    from (select filter_order, bits, unnest([1, 2, 3, 4, 5]) as s from orders where len(bits) = 5)),
+r as (select part, filter_order, step, letter,
+    sum(case when mask & (bit | before) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & bit <> 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & bit <> 0 and mask & before <> 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & bit <> 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+    sum(case when mask & bit <> 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost
+    from cells, steps group by part, filter_order, step, letter)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from r
+"""
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+ORACLES["op12_exact_dedup"] = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))
+"""
