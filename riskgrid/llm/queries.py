@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import expand_targets, read_back
+from .collocations import collocations
 from .common import read
 from .exact_dedup import exact_duplicates
 from .filter_audit import audit, mask_cells
@@ -214,3 +215,24 @@ ORACLES["op12_exact_dedup"] = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, (select unnest([1, 2, 3, 4, 5]) as k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*) as a, string_split(phrase, ' ') as ws from g group by lang, k, phrase having count(*) >= 100),
+t as (select lang, sum(len(w))::hugeint as n from w group by lang),
+c as (select f.lang, f.phrase, f.k, f.a, l.a as l, r.a as r, t.n, x.j, (1000::hugeint * f.a * t.n) // (l.a::hugeint * r.a) as score
+    from f join (select unnest([1, 2, 3, 4]) as j) x on x.j < f.k
+    join f l on l.lang = f.lang and l.phrase = array_to_string(f.ws[1:x.j], ' ') join f r on r.lang = f.lang and r.phrase = array_to_string(f.ws[x.j + 1:f.k], ' ') join t on t.lang = f.lang),
+b as (select * from c qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+s as (select * from b where not exists (select 1 from f where f.lang = b.lang and f.k > b.k and f.a >= b.a and contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' '))),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score::bigint as score from s)
+select * from o where rank <= 2000
+"""
