@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgrid.session import ensure_checkpoint_dir
+from riskgrid.session import ensure_checkpoint_dir, spread
 
 from .common import BROADCAST_ROWS, SALTS, attach, materialise, mix
 
@@ -215,7 +215,7 @@ def frequent_phrases(docs: DataFrame, *, threshold: int = 100, longest: int = 5,
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    texts.where("text is not null").write.partitionBy("shard").parquet(folder)
+    spread(texts.where("text is not null")).write.partitionBy("shard").parquet(folder)
     dealt = spark.read.schema("lang string, text string, shard int").parquet(folder)
     counts = spark.createDataFrame([], COUNTS)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
