@@ -5,8 +5,10 @@ of one Arrow batch, compared byte by byte, into one row: digest, stable identifi
 content locator (file and row of the text) and number of documents. So a text that a
 third of all rows share reaches its key as one narrow row per batch. The keyed state
 (RocksDB on the executors' disks, changes in the shared checkpoint folder, no expiry)
-retains for each digest the identifier, the locator and the count. A row whose digest
-is held already is a hit: it goes out with the locator it met.
+retains for each digest the identifier, the locator and the count. Its keys are slots
+of about ``SLOT`` digests, because a state call costs far more than a digest in it; the
+number of slots is fixed when the stream begins. A row whose digest is held already is
+a hit: it goes out with the locator it met.
 
 Hits are checked on full bytes: the texts behind the locators of a digest's hits are
 fetched and their smallest and largest compared. Documents of a digest whose texts
@@ -28,7 +30,6 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -40,18 +41,25 @@ from riskgrid.session import ensure_checkpoint_dir
 
 from .common import BROADCAST_ROWS, materialise
 
-#: Settings of the stream's state, read when it starts: on disk, with bounded native memory.
+#: Settings of the stream's state, read when it starts: on disk, with bounded native memory,
+#: and without the 4 MB of log space that each of many small stores would reserve.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 HELD = "known boolean, id long, file string, row long, n long"
+#: Digests that share a state entry.
+SLOT = 256
 #: A group of more than this share of all rows is hot; there are at most its inverse of them.
 HOT_SHARE = 1e-5
 
 
+STATE = pa.schema([("digest", pa.string()), ("known", pa.bool_()), ("id", pa.int64()), ("file", pa.string()), ("row", pa.int64()), ("n", pa.int64())])
+
+
 @contextmanager
 def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in conf}
@@ -99,30 +107,37 @@ def folded(rows: DataFrame, digits: int) -> DataFrame:
 
 
 def meet(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold arriving rows into the state; hits, and what they met, go out with the count so far."""
-    held: tuple[Any, ...] | None = tuple(state.get) if state.exists else None
+    """Fold arriving rows into their slot; hits, and what they met, go out with the count so far."""
+    held: dict[str, tuple] = {}
+    if state.exists:
+        with pa.ipc.open_stream(state.get[0]) as stored:
+            held = {d: tuple(rest) for d, *rest in zip(*stored.read_all().to_pydict().values(), strict=True)}
     out = []
     for frame in frames:
-        for known, ident, file, row, n in zip(*(frame[c].tolist() for c in ("known", "id", "file", "row", "n")), strict=True):
-            if held is None:
-                held = (known, ident, file, row, n)
+        for digest, *row, n in zip(*(frame[c].tolist() for c in STATE.names), strict=True):
+            if digest not in held:
+                held[digest] = (*row, n)
                 if n > 1:
-                    out.append(held)
+                    out.append((digest, *row, n))
                 continue
-            total = held[4] + n
-            out += [(*held[:4], total), (known, ident, file, row, total)]
-            held = (*max(held[:4], (known, ident, file, row)), total)
-    state.update(held)
+            *best, so_far = held[digest]
+            held[digest] = (*max(best, row), so_far + n)
+            out += [(digest, *best, so_far + n), (digest, *row, so_far + n)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STATE) as stored:
+        columns = zip(*((d, *rest) for d, rest in held.items()), strict=True)
+        stored.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, STATE, strict=True)], schema=STATE))
+    state.update((sink.getvalue().to_pybytes(),))
     if out:
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["digest", "known", "id", "file", "row", "n"])
+        yield pd.DataFrame(out, columns=STATE.names)
 
 
-def stream_hits(spark: SparkSession, path: str, schema, *, id_col: str, text_col: str, digits: int, folder: str, batch_bytes: int, batch_files: int | None) -> None:
+def stream_hits(spark: SparkSession, path: str, schema, *, id_col: str, text_col: str, digits: int, slots: int, folder: str, batch_bytes: int, batch_files: int | None) -> None:
     """Run the stream over the files not seen before; hits are appended to ``folder``/hits."""
     # A pattern that matches the path itself: a stream reads single files only through patterns.
     reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes) if batch_files is None else spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files)
     arriving = folded(located(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col), digits)
-    hits = arriving.groupBy("digest").applyInPandasWithState(meet, f"digest string, {HELD}", HELD, "append", GroupStateTimeout.NoTimeout)
+    hits = arriving.withColumn("slot", F.pmod(F.xxhash64("digest"), F.lit(slots))).groupBy("slot").applyInPandasWithState(meet, f"digest string, {HELD}", "held binary", "append", GroupStateTimeout.NoTimeout)
     with settings(spark, STATE_CONF):
         run = hits.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/stream").option("path", f"{folder}/hits").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -157,17 +172,20 @@ def exact_duplicates(spark: SparkSession, path: str, *, id_col: str = "doc_id",
     doc_id = F.when(F.col("known"), F.col("id")).alias("doc_id")
     if docs.isEmpty():
         return rows.select(doc_id, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
-    stream_hits(spark, path, docs.schema, id_col=id_col, text_col=text_col, digits=digits, folder=folder, batch_bytes=batch_bytes, batch_files=batch_files)
+    total = docs.count()
+    spark.range(1).select(F.lit(total // SLOT + 1).alias("slots")).write.mode("ignore").parquet(f"{folder}/slots")
+    slots = spark.read.schema("slots long").parquet(f"{folder}/slots").first().slots
+    stream_hits(spark, path, docs.schema, id_col=id_col, text_col=text_col, digits=digits, slots=slots, folder=folder, batch_bytes=batch_bytes, batch_files=batch_files)
     hits = spark.read.schema(f"digest string, {HELD}").parquet(f"{folder}/hits")
     groups = materialise(hits.groupBy("digest").agg(F.max(best).alias("best"), F.max("n").alias("size")))
     differ = materialise(colliding(hits, rows, digits))
     keyed = rows.withColumn("sha", F.sha2("text", 256)).withColumn("digest", F.substring("sha", 1, digits))
     if differ.isEmpty():
-        judged = with_groups(keyed.drop("text"), groups, docs.count())
+        judged = with_groups(keyed.drop("text"), groups, total)
     else:
         apart = keyed.join(differ, "digest", "left_semi")
         by_text = apart.groupBy("digest", "text").agg(F.max(best).alias("best"), F.count("*").alias("size"))
-        same = with_groups(keyed.join(differ, "digest", "left_anti").drop("text"), groups.join(differ, "digest", "left_anti"), docs.count())
+        same = with_groups(keyed.join(differ, "digest", "left_anti").drop("text"), groups.join(differ, "digest", "left_anti"), total)
         judged = same.unionByName(apart.join(by_text, ["digest", "text"]).drop("text"))
     keep = F.coalesce("best", best)
     return judged.select(doc_id, F.when(keep.known, keep.id).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
