@@ -8,6 +8,14 @@ until it completes one full cycle from its activation: its count is then exact.
 latest a subphrase reaches the threshold when its own cycle ends, so no frequent phrase
 is missed.
 
+Before the scans two passes shrink what is scanned. The first merges count-min sketches
+of the words and of the word pairs of all texts (cells stop at 255), and adds up the
+words of each language. The second deals the texts to the shards, without what the
+sketches rule out: words, and pairs of neighbours, whose estimate falls short of the
+threshold. Estimates are never too small, so no frequent phrase is cut; words outside
+every likely pair are kept in a column of their own, which only the scans that count
+single words read. A sketch that fills up rules out less and changes no result.
+
 Tasks learn when phrases reached the threshold from a max-cell sketch (two rows of at
 most 2**24 bytes, sized by a count of the phrases): a cell holds the latest scan of
 its phrases, and the smaller of a phrase's two cells is at least its own, so a window
@@ -47,6 +55,9 @@ BREAK = b"\xff"
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
 CHUNK = 1 << 22
 ROWS, LEAST_BITS, MOST_BITS = 2, 12, 24
+#: Cells of the count-min sketch: from 2**22 to 2**26 in two rows, about one for 200 bytes of text.
+PAIR_BITS = (22, 26)
+FULL = 255
 COUNTS = "lang string, phrase string, k int, n long, start int, reached int"
 
 
@@ -82,10 +93,11 @@ class Windows:
         self.ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
         code = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
         self.langs, self.vocabulary = list(code), vocabulary
-        self.lang = np.repeat(np.array([code[x] for x in langs], np.int64), np.diff([0, *ends]))
+        length = np.diff([0, *ends])
+        self.lang, self.doc = np.repeat(np.array([code[x] for x in langs], np.int64), length), np.repeat(np.arange(len(texts)), length)
         # A split at single spaces leaves empty words where spaces meet.
         full = self.ids != vocabulary.get(b"", -1)
-        self.ids, self.lang = self.ids[full], self.lang[full]
+        self.ids, self.lang, self.doc = self.ids[full], self.lang[full], self.doc[full]
         salt = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
         self.hashes = vocabulary.hash_of(self.ids)
         self.salts = salt[self.lang]
@@ -117,7 +129,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
             langs.append(lang)
-            texts.append(text.as_py())
+            texts.append(text.as_py() or b"")
             held += len(texts[-1]) + 1
             if held >= CHUNK:
                 yield Windows(vocabulary, langs, texts)
@@ -132,6 +144,87 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys, 100 + row) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def pack(planes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The used parts of some bytes, compressed."""
+    cut = planes.reshape(parts, -1)
+    used = [i for i in range(parts) if cut[i].any()]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(cut[i].tobytes(), 1) for i in used], pa.binary())], ["part", "cells"])
+
+
+def pair_estimates(texts: DataFrame, bits: int) -> tuple[bytes, DataFrame]:
+    """Merged count-min sketch of words (a quarter of the cells) and of pairs, compressed;
+    lang, total of words."""
+    sizes = (2**(bits - 2), 2**bits)
+    parts = ROWS * 5 * 4
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plane = [np.zeros((ROWS, n), np.uint16) for n in sizes]
+        totals: dict[str, int] = {}
+        for w in chunks(batches):
+            at, keys = w.first_keys()
+            for lang, n in zip(w.langs, np.bincount(w.lang[at], minlength=len(w.langs)).tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + n
+            both = np.nonzero(at[1:] == at[:-1] + 1)[0]
+            for k, found in ((1, keys), (2, w.longer_keys(at[both], keys[both], 2))):
+                found, n = np.unique(found, return_counts=True)
+                for r in range(ROWS):
+                    cell = cells(found, r, bits - 2 if k == 1 else bits)
+                    np.add.at(plane[k - 1][r], cell, np.minimum(n, FULL).astype(np.uint16))
+                    plane[k - 1][r, cell] = np.minimum(plane[k - 1][r, cell], FULL)
+        packed = pack(np.concatenate([p.ravel() for p in plane]).astype(np.uint8), parts)
+        names, sums = list(totals), list(totals.values())
+        yield pa.RecordBatch.from_arrays([packed.column(0), packed.column(1), pa.nulls(packed.num_rows, pa.string()), pa.nulls(packed.num_rows, pa.int64())], ["part", "cells", "lang", "total"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.binary()), pa.array(names, pa.string()), pa.array(sums, pa.int64())], ["part", "cells", "lang", "total"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                new = np.frombuffer(zlib.decompress(packed.as_py()), np.uint8)
+                sums[i] = np.minimum(sums[i].astype(np.uint16) + new, FULL).astype(np.uint8) if i in sums else new
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["part", "cells"])
+
+    found = materialise(texts.mapInArrow(fill, "part int, cells binary, lang string, total long"))
+    plane = np.zeros((parts, ROWS * sum(sizes) // parts), np.uint8)
+    for r in found.where("part is not null").select("part", "cells").repartition(parts, "part").mapInArrow(merge, "part int, cells binary").collect():
+        plane[r.part] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
+    totals = materialise(found.where("lang is not null").groupBy("lang").agg(F.sum("total").alias("total")))
+    return zlib.compress(plane.tobytes(), 1), totals
+
+
+def shrunk(texts: DataFrame, plane: bytes, bits: int, least: int, shards: int) -> DataFrame:
+    """lang, runs, singles, shard: the words that may be frequent, in runs of likely pairs
+    or alone; a point ends a run."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(plane), np.uint8)
+        ones, pairs = (x.reshape(ROWS, -1) for x in np.split(table, [ROWS * 2**(bits - 2)]))
+
+        def likely(t: np.ndarray, keys: np.ndarray, b: int) -> np.ndarray:
+            return np.minimum(*(t[r, cells(keys, r, b)] for r in range(ROWS))) >= least
+
+        for w in chunks(batches):
+            at, keys = w.first_keys()
+            good = likely(ones, keys, bits - 2)
+            at, keys = at[good], keys[good]
+            both = np.nonzero(at[1:] == at[:-1] + 1)[0]
+            both = both[likely(pairs, w.longer_keys(at[both], keys[both], 2), bits)]
+            goes_on = np.zeros(len(at), bool)
+            goes_on[both] = True
+            inside = goes_on.copy()
+            inside[both + 1] = True
+            own = (w.lang * shards + w.doc % shards)[at]
+            out = []
+            for code in np.unique(own).tolist():
+                row = [w.langs[code // shards]]
+                for some in (inside & (own == code), ~inside & (own == code)):
+                    names = map(w.vocabulary.words.__getitem__, w.ids[at[some]].tolist())
+                    row.append(b" ".join([n if more else n + b"." for n, more in zip(names, goes_on[some].tolist(), strict=True)]))
+                out.append((*row, code % shards))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t).cast(c) for i, (t, c) in enumerate(((pa.string(), pa.string()), (pa.binary(), pa.string()), (pa.binary(), pa.string()), (pa.int32(), pa.int32())))], ["lang", "runs", "singles", "shard"])
+
+    return texts.mapInArrow(run, "lang string, runs string, singles string, shard int")
+
+
 def sketch(reached: DataFrame, bits: int) -> bytes:
     """Max-cell sketch of lang, phrase, k, reached; cell values are the scan after it.
     At most ``ROWS * 2**MOST_BITS`` bytes, compressed, reach the driver and the tasks."""
@@ -147,9 +240,7 @@ def sketch(reached: DataFrame, bits: int) -> bytes:
                 keys[longer] = w.longer_keys(at[longer], keys[longer], length)
             for r in range(ROWS):
                 np.maximum.at(plane[r], cells(keys, r, bits), value.astype(np.uint8))
-        parts = plane.reshape(ROWS * 16, -1)
-        used = [i for i in range(len(parts)) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], ["part", "cells"])
+        yield pack(plane, ROWS * 16)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -214,18 +305,21 @@ def frequent_phrases(docs: DataFrame, *, threshold: int = 100, longest: int = 5,
     """(lang, phrase, k, n of all phrases that occur ``threshold`` times; lang, total of words)."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    spread(texts.where("text is not null")).write.partitionBy("shard").parquet(folder)
-    dealt = spark.read.schema("lang string, text string, shard int").parquet(folder)
+    texts = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    pair_bits = min(max((size // 200).bit_length(), PAIR_BITS[0]), PAIR_BITS[1])
+    estimates, totals = pair_estimates(texts, pair_bits)
+    shrunk(texts, estimates, pair_bits, min(threshold, FULL), shards).write.partitionBy("shard").parquet(folder)
+    dealt = spark.read.schema("lang string, runs string, singles string, shard int").parquet(folder)
     counts = spark.createDataFrame([], COUNTS)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     scan, known, last = 0, 0, None
     # Phrases that the last newcomers activate complete their cycle ``shards`` scans after them.
     while scan < shards or (last is not None and scan <= last + shards):
         shorter = counts.where(f"reached is not null and k < {longest}")
         bits = min(max((16 * known).bit_length(), LEAST_BITS), MOST_BITS)
         plane = sketch(shorter, bits) if known else zlib.compress(bytes(ROWS * 2**bits))
-        seen = scanned(dealt.where(F.col("shard") == scan % shards).select("lang", "text"), plane, bits, scan, shards, longest)
+        words = F.concat_ws(" ", "runs", "singles") if scan < shards else F.col("runs")
+        seen = scanned(dealt.where(F.col("shard") == scan % shards).select("lang", words.alias("text")), plane, bits, scan, shards, longest)
         held = counts.where(f"reached is not null or start + {shards} > {scan}")
         none = F.lit(None).cast("int")
         both = held.select("*", F.lit(0).cast("long").alias("add")).unionByName(seen.select("lang", "phrase", "k", F.lit(0).cast("long").alias("n"), none.alias("start"), none.alias("reached"), F.col("n").alias("add")))
@@ -239,8 +333,6 @@ def frequent_phrases(docs: DataFrame, *, threshold: int = 100, longest: int = 5,
         together = old.unionByName(words).unionByName(phrases).withColumn("n", n)
         reached = F.coalesce("reached", F.when(F.col("n") >= threshold, F.lit(scan)))
         counts = materialise(together.select("lang", "phrase", "k", "n", "start", reached.alias("reached")))
-        if scan == shards - 1:
-            totals = materialise(counts.where("k = 1").groupBy("lang").agg(F.sum("n").alias("total")))
         known, last = counts.where(f"reached is not null and k < {longest}").agg(F.count("*"), F.max("reached")).first()
         scan += 1
     return counts.where("reached is not null").select("lang", "phrase", "k", "n"), totals
