@@ -3,17 +3,15 @@
 Every document gets its rule statistics. Failures are counted by domain; a beta
 prior fitted to the domains' failure rates (method of moments) shrinks each
 domain's rate, so a domain of three documents isn't judged on three documents.
-A domain whose shrunk rate reaches ``strict_rate`` is strict. Documents that
-fail a hard rule go everywhere; documents that fail only a soft rule go where
+A domain is strict if its shrunk rate lies ``SURE`` of its posterior standard
+deviations above the corpus mean, or reaches ``strict_rate``: its rate is above the
+mean with a posterior probability of 0.8. A domain whose true rate is the mean is
+strict with a probability of at most 0.2; domains of equal failure rates never are.
+Documents that fail a hard rule go everywhere, as do soft failures over ``GROSS``
+times a limit (symbols, repeated lines; word lengths are never gross, as scripts
+without spaces have long words). Documents that fail a soft rule by less go where
 the domain is strict. A document that fails no rule is always kept.
 
-With ``fitted``, a domain is judged against the other domains as well: by how many
-of its own standard deviations its shrunk rate lies above the corpus mean, its
-documents' soft failures are tolerated from ``GROSS`` times the rule's limit (at the
-mean or below) down to the limit itself (``STRICT_SD`` above the mean, or strict).
-So gross symbols and repeated lines go in every domain. Word lengths are never
-gross: scripts without spaces have long words.
-
 The statistics of one document are computed inside its row, so text is never
 shuffled and a domain of any size is only ever partially aggregated.
 
@@ -29,12 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD, attach, materialise
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "gross_failed"]
 
 #: Symbols or repeated lines over so many times the soft limit go in every domain.
-GROSS = 2.0
-#: Standard deviations above the corpus mean at which a soft failure counts at its limit.
-STRICT_SD = 1.0
+GROSS = 2
+#: Posterior standard deviations above the corpus mean from which a domain is strict
+#: (the 80 % point of the normal distribution).
+SURE = 0.8416
 
 #: Words in 3-word windows found twice or more: hash the windows, sort the hashes
 #: with their positions, keep positions whose neighbour has the same hash, and add
@@ -48,8 +47,7 @@ _COVERED = "aggregate(zip_with(slice(_again, 2, size(_again)), slice(_again, 1,
 
 
 def with_statistics(docs: DataFrame, text: Column, carry: list[str]) -> DataFrame:
-    """``carry`` columns plus STATS for each row, and _times: by how much the worst soft
-    limit is exceeded. Hard rules: under 50 words, or over
+    """``carry`` columns plus STATS for each row. Hard rules: under 50 words, or over
     half the words in repeated windows. Soft rules: over 10 % symbols, over 30 % of
     lines repeated, or a mean word length outside 2 to 20 characters."""
     out = docs.select(*carry, F.coalesce(text, F.lit("")).alias("_text"))
@@ -67,14 +65,12 @@ def with_statistics(docs: DataFrame, text: Column, carry: list[str]) -> DataFram
                      F.expr(f"cast(case when _again is null then 0 else {_COVERED} end as bigint)").alias("n_repeat_words"))
     hard = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     soft = F.expr("10 * n_symbols > word_chars or 10 * n_dup_lines > 3 * _n_lines or word_chars < 2 * n_words or word_chars > 20 * n_words")
-    times = F.expr(f"""greatest(10D * n_symbols / greatest(word_chars, 1), 10D * n_dup_lines / greatest(3 * _n_lines, 1),
-        least({GROSS}D, greatest(2D * n_words / greatest(word_chars, 1), word_chars / greatest(20D * n_words, 1D))))""")
-    return out.select(*carry, *STATS[:5], hard.alias("base_failed"), soft.alias("soft_failed"), times.alias("_times"))
+    gross = F.expr(f"10 * n_symbols > {GROSS} * word_chars or 10 * n_dup_lines > {GROSS} * 3 * _n_lines")
+    return out.select(*carry, *STATS[:5], hard.alias("base_failed"), soft.alias("soft_failed"), gross.alias("gross_failed"))
 
 
 def domain_verdicts(stats: DataFrame, strict_rate: float) -> DataFrame:
-    """_domain, n_docs, n_failed, rate (shrunk), strict, tolerance (in soft limits). One row of
-    moments reaches the driver."""
+    """_domain, n_docs, n_failed, rate (shrunk), strict. One row of moments reaches the driver."""
     failed = F.col("base_failed") | F.col("soft_failed")
     domains = materialise(stats.groupBy("_domain").agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -83,18 +79,17 @@ def domain_verdicts(stats: DataFrame, strict_rate: float) -> DataFrame:
     strength = min(max(mean * (1 - mean) / var - 1, 2.0), 1e6)
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
     deviation = F.sqrt(shrunk * (1 - shrunk) / (F.col("n_docs") + strength + 1))
-    above = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (shrunk - mean) / (STRICT_SD * deviation)))
-    tolerance = F.when(shrunk >= strict_rate, 1.0).otherwise(GROSS - (GROSS - 1) * above)
-    return domains.select("*", shrunk.alias("rate"), (shrunk >= strict_rate).alias("strict"), tolerance.alias("tolerance"))
+    strict = (shrunk >= strict_rate) | (shrunk - mean >= SURE * deviation)
+    return domains.select("*", shrunk.alias("rate"), strict.alias("strict"))
 
 
-def host_rules(docs: DataFrame, *, domain: str = "source", text_col: str = "text", carry: list[str] | None = None, strict_rate: float = 0.5, fitted: bool = False) -> DataFrame:
+def host_rules(docs: DataFrame, *, domain: str = "source", text_col: str = "text", carry: list[str] | None = None, strict_rate: float = 0.5) -> DataFrame:
     """``carry`` columns (default: all), STATS, domain_rate and kept for every row."""
     carry = [c for c in (docs.columns if carry is None else carry) if c not in {*STATS, "kept", "domain_rate"}]
     named = docs.select("*", F.col(domain).alias("_domain"))
     stats = materialise(with_statistics(named, F.col(text_col), [*carry, "_domain"]))
-    verdicts = domain_verdicts(stats, strict_rate).select("_domain", F.col("rate").alias("_rate"), F.col("strict").alias("_strict"), F.col("tolerance").alias("_tolerance"))
+    verdicts = domain_verdicts(stats, strict_rate).select("_domain", F.col("rate").alias("_rate"), F.col("strict").alias("_strict"))
     joined = attach(stats, verdicts, "_domain")
-    counts = F.col("_times") > F.col("_tolerance") if fitted else F.col("_strict")
-    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & F.coalesce(counts, F.lit(False)))
+    rejected = F.col("base_failed") | F.col("gross_failed") | (F.col("soft_failed") & F.col("_strict"))
+    kept = ~F.coalesce(rejected, F.lit(False))
     return joined.select(*carry, *STATS, F.col("_rate").alias("domain_rate"), kept.alias("kept"))

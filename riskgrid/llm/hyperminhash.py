@@ -11,9 +11,10 @@ Documents with equal shingle sets are one class and enter as its smallest id.
 Each bucket compares its members with two hubs (stars), its smallest and largest id:
 buckets of one group share their hubs, so most pairs repeat and fall together.
 What the stars leave apart is settled exactly: in buckets that still hold
-several components, the members outside the largest component are compared
-with all members, in cells of about ``cell`` by ``cell`` rows, and only
-confirmed links leave a task.
+several components (one bucket of those with the same members), the members outside
+the largest component are compared with all members on their full sets, in cells of
+about ``cell`` by ``cell`` rows. Only links that join two components leave a task, so
+its output grows with its rows, however many pairs are alike.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and is linked with nothing; a text with fewer than ``shingle`` words is one
@@ -119,7 +120,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     ra, rb = (reps.select(F.col("id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    return pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(ra, "a").join(rb, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -160,75 +161,89 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def unsettled(buckets: DataFrame, comps: DataFrame, cell: int) -> DataFrame:
-    """Rows (key, id, comp, block, mi, pi, probe) of the cells of every bucket with
-    several components. A block is a part of a component of about ``cell`` ids."""
+    """Rows (key, id, comp, mi, pi, probe) of the cells of every bucket with several
+    components; buckets with the same members are compared once."""
     labelled = buckets.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (3, 4)]
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), *marks)
+    mixed = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), *(F.bit_xor(x).alias(x) for x in ("x3", "x4")))
+    mixed = mixed.where("k > 1").groupBy("m", "x3", "x4").agg(F.min("key").alias("key"), F.min_by("top", "key").alias("top"))
     mixed = mixed.select("key", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("p"))
     rows = materialise(labelled.join(mixed, "key"))
-    sizes = rows.select("id", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    rows = rows.join(sizes, "comp").withColumn("block", F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / cell))))
     cm, cp = F.ceil(F.col("m") / cell), F.ceil(F.col("p") / cell)
     mine = rows.withColumn("mi", F.pmod(F.xxhash64("id", F.lit(1)), cm)).withColumn("pi", F.explode(F.sequence(F.lit(0).cast("long"), cp - 1))).withColumn("probe", F.lit(False))
     other = rows.where("comp <> main").withColumn("pi", F.pmod(F.xxhash64("id", F.lit(2)), cp)).withColumn("mi", F.explode(F.sequence(F.lit(0).cast("long"), cm - 1))).withColumn("probe", F.lit(True))
-    keep = ["key", "id", "comp", "block", "mi", "pi", "probe"]
+    keep = ["key", "id", "comp", "mi", "pi", "probe"]
     return mine.select(keep).unionByName(other.select(keep))
 
 
-def remainder_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, comps: DataFrame, percent: int, least: float, cell: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Links that the stars missed: at least one for each linked (document, block)."""
-    cells = unsettled(buckets, comps, cell)
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All cells of one bin, one after the other."""
-        pdf = pdf.sort_values(["key", "mi", "pi", "probe"], kind="stable")
-        regs, probe = np.frombuffer(b"".join(pdf.regs), "<u2").reshape(len(pdf), -1), pdf.probe.to_numpy()
-        n, comp, block, ids = (pdf[c].to_numpy() for c in ("n", "comp", "block", "id"))
-        cell_of = pdf[["key", "mi", "pi"]].to_numpy()
-        edge = np.concatenate([[0], np.nonzero((cell_of[1:] != cell_of[:-1]).any(axis=1))[0] + 1, [len(pdf)]])
-        out = set()
-        for start, end in zip(edge[:-1], edge[1:], strict=True):
-            mid = start + int(np.searchsorted(probe[start:end], True))
-            for i in range(mid, end):
-                # A corrected estimate is at most the match rate, so the rate goes first.
-                at = np.arange(start, mid)[(comp[start:mid] != comp[i]) & (100 * np.minimum(n[start:mid], n[i]) >= percent * np.maximum(n[start:mid], n[i]))]
-                at = at[(regs[at] == regs[i]).mean(axis=1) >= least]
-                if len(at):
-                    good = at[estimate(regs[at], regs[i][None, :], n[at], np.full(len(at), n[i])) >= least]
-                    out.update((x, ids[i]) for x in np.unique(block[good]))
-        return pd.DataFrame(sorted(out), columns=["block", "id"]).astype("int64")
-
-    # Many small cells share a bin of about eight large cells' rows: one call for each bin.
-    cells = materialise(cells)
-    bins = max(1, cells.count() // (8 * cell))
-    rows = cells.join(reps.select("id", "regs", "n"), "id").withColumn("bin", F.pmod(F.xxhash64("key", "mi", "pi"), F.lit(bins)))
-    probes = materialise(rows.groupBy("bin").applyInPandas(near, "block long, id long").distinct())
-    blocks = probes.groupBy("block").agg(F.ceil(F.count("*") / cell).alias("parts"))
-    members = cells.where(~F.col("probe")).select("block", "id").distinct().join(blocks, "block")
-    members = materialise(members)
-    sets = shingle_sets(docs, probes.select("id").unionByName(members.select("id")).distinct(), shingle, id_col, text_col)
-    left = members.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("block", "part", "id", F.lit(False).alias("probe"))
-    right = probes.join(blocks, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", F.lit(True).alias("probe"))
+class Forest:
+    """Disjoint sets of component ids."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (above := self.up.get(x, x)) != x:
+            path.append(x)
+            x = above
+        for y in path:
+            self.up[y] = x
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def cell_links(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links on full sets between components of the cells' rows, one for each joining:
+    every probe counts what it shares with all members through their sorted shingles."""
+    forest, out = Forest(), []
+    pdf = pdf.sort_values(["key", "mi", "pi", "probe"], kind="stable")
+    cell_of = pdf[["key", "mi", "pi"]].to_numpy()
+    edge = np.concatenate([[0], np.nonzero((cell_of[1:] != cell_of[:-1]).any(axis=1))[0] + 1, [len(pdf)]])
+    probe, comp, ids, sets = (pdf[c].to_numpy() for c in ("probe", "comp", "id", "shingles"))
+    for start, end in zip(edge[:-1], edge[1:], strict=True):
+        mid = start + int(np.searchsorted(probe[start:end], True))
+        if mid in (start, end):
+            continue
+        n = np.array([len(s) for s in sets[start:mid]])
+        tokens = np.concatenate(list(sets[start:mid]))
+        order = np.argsort(tokens, kind="stable")
+        owner, tokens = np.repeat(np.arange(len(n)), n)[order], tokens[order]
+        for i in range(mid, end):
+            own = sets[i]
+            lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            c = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            both = np.bincount(owner[at], minlength=len(n))
+            good = np.nonzero((100 * both >= percent * (n + len(own) - both)) & (comp[start:mid] != comp[i]))[0]
+            out += [(ids[i], ids[start + j]) for j in good.tolist() if forest.join(int(comp[i]), int(comp[start + j]))]
+    return out
+
+
+#: Shingles of the rows that one task call compares, about 32 MB.
+BIN_SHINGLES = 4_000_000
+
+
+def remainder_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, comps: DataFrame, percent: int, cell: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Links that the stars missed: they join all components that a link joins."""
+    cells = materialise(unsettled(buckets, comps, cell))
+    load = cells.join(reps.select("id", "n"), "id").agg(F.sum("n")).first()[0] or 0
+    # Many small cells share a bin: one call for each bin.
+    bins = max(1, load // BIN_SHINGLES)
+    sets = shingle_sets(docs, cells.select("id").distinct(), shingle, id_col, text_col)
+    rows = cells.join(sets, "id").withColumn("bin", F.pmod(F.xxhash64("key", "mi", "pi"), F.lit(bins)))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        members, out = pdf[~pdf.probe], []
-        if len(members):
-            n = members.shingles.map(len).to_numpy()
-            tokens, start = np.concatenate(members.shingles.to_list()), np.concatenate([[0], np.cumsum(n)[:-1]])
-            order = np.argsort(tokens, kind="stable")
-            owner, ordered, ids = np.repeat(np.arange(len(n)), n)[order], tokens[order], members.id.to_numpy()
-            for r in pdf[pdf.probe].itertuples():
-                lo, hi = np.searchsorted(ordered, r.shingles, "left"), np.searchsorted(ordered, r.shingles, "right")
-                c = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-                both = np.bincount(owner[at], minlength=len(n))
-                good = np.nonzero((100 * both >= percent * (n + len(r.shingles) - both)) & (ids != r.id))[0]
-                if len(good):
-                    out.append((r.id, ids[good].min()))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return left.unionByName(right).join(sets, "id").groupBy("block", "part").applyInPandas(settle, "a long, b long")
+        return pd.DataFrame(cell_links(pdf, percent), columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("bin").applyInPandas(settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = 51, rows: int = 5, cell: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     all_rows = materialise(sketches(docs, shingle, k, id_col, text_col))
     classes = all_rows.where("n > 0 and id is not null").groupBy("lo", "hi", "n").agg(F.min("id").alias("rep"))
     classes = materialise(classes)
-    reps = materialise(all_rows.where("n > 0").join(classes, ["lo", "hi", "n"]).where("id = rep").select("id", "n", "regs").dropDuplicates(["id", "n"]))
+    reps = materialise(all_rows.where("n > 0").join(classes, ["lo", "hi", "n"]).where("id = rep").dropDuplicates(["id", "lo", "hi", "n"]).select("id", "n", "regs"))
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * width + 1, F.lit(width))))
     buckets = reps.select("id", F.explode(keys).alias("key")).distinct()
@@ -253,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle, id_col, text_col)
     links = materialise(confirmed(pairs, sets, percent))
     comps = materialise(components(links))
-    rest = materialise(remainder_links(docs, reps, buckets.select("key", "id"), comps, percent, least, cell, shingle, id_col, text_col))
+    rest = materialise(remainder_links(docs, reps, buckets.select("key", "id"), comps, percent, cell, shingle, id_col, text_col))
     if not rest.isEmpty():
         comps = materialise(components(links.unionByName(rest)))
     by_class = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component"))

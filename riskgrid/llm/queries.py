@@ -50,12 +50,13 @@ s as (select d.doc_id, source, len(w)::bigint as n_words, coalesce(list_sum(list
     coalesce(rep.n, 0)::bigint as n_repeat_words
     from d left join rep using (doc_id)),
 r as (select *, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s),
-f as (select *, 10 * n_symbols > word_chars or 10 * n_dup_lines > 3 * len(lines) or word_chars < 2 * n_words or word_chars > 20 * n_words as soft_failed from r),
+f as (select *, 10 * n_symbols > word_chars or 10 * n_dup_lines > 3 * len(lines) or word_chars < 2 * n_words or word_chars > 20 * n_words as soft_failed, 10 * n_symbols > 2 * word_chars or 10 * n_dup_lines > 6 * len(lines) as gross_failed from r),
 h as (select source, count(*) as n, sum((base_failed or soft_failed)::int) as bad from f group by source),
 m as (select least(greatest(sum(bad) / sum(n), 1e-6), 1 - 1e-6) as mean, greatest(coalesce(var_samp(bad / n), 0), 1e-9) as var from h),
 b as (select mean, least(greatest(mean * (1 - mean) / var - 1, 2.0), 1e6) as k from m),
-v as (select source, (bad + mean * k) / (n + k) >= 0.5 as strict from h, b)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and strict) as kept
+q as (select source, mean, (bad + mean * k) / (n + k) as rate, n + k + 1 as weight from h, b),
+v as (select source, rate >= 0.5 or rate - mean >= 0.8416 * sqrt(rate * (1 - rate) / weight) as strict from q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not gross_failed and not (soft_failed and strict) as kept
 from f join v on f.source is not distinct from v.source
 """
 
