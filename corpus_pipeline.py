@@ -22,10 +22,10 @@ KEYS = ["doc_id", "source", "_copy"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules; those the rules reject go, soft failures by what their
-    domain's verdict against the other domains tolerates."""
+    """Documents that pass the rules; those the rules reject go, soft failures by the
+    verdict on their domain."""
     keyed = docs.withColumn("_copy", F.xxhash64("text"))
-    judged = host_rules(keyed, carry=KEYS, fitted=True)
+    judged = host_rules(keyed, carry=KEYS)
     return without(keyed, judged.where(~F.col("kept")), KEYS).select(docs.columns)
 
 
