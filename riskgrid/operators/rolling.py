@@ -2,9 +2,10 @@
 
 Two physical forms with the same results:
 
-* ``rolling_to_grid`` — for regular grids (the feature build): bounded explode
-  onto grid indices, then one ``groupBy(keys, grid_k)``; all windows of a call
-  share one explode of the widest window.
+* ``rolling_to_grid`` — for regular grids (the feature build): rows are reduced to
+  mergeable pane states (``panes.py``), and the states are merged into windows.
+  All windows of a call share one set of panes. Distinct counts and entropy merge
+  counts per category, everything else merges in one ``groupBy(keys, grid_k)``.
 * ``rolling_over_timeline`` — for arbitrary left timestamps: union-window with
   a RANGE frame, partitioned by ``(keys, time bucket)``; source rows near a
   bucket's start are copied into it, so a hot key is split into buckets and no
@@ -27,48 +28,82 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions.predicates import nan_to_null
 from riskgrid.functions.time import US, floor_div, us_col
-from riskgrid.operators.grid import K, explode_to_grid
+from riskgrid.operators.grid import K, LAST_K
 from riskgrid.operators.ordered import auto_bucket_seconds
+from riskgrid.operators.panes import PANE, SEG, Panes
 
 ZERO_DEFAULT = {"count": 0, "distinct": 0, "concat": "", "text": "", "entropy": 0.0}
+NUMERIC = ("sum", "mean", "max", "min", "std")
+CATEGORY = ("distinct", "entropy")
+
+
+def _pane_states(kinds: set[str], i: int) -> dict[str, Column]:
+    """States of one value column: what its aggregate kinds need, each mergeable."""
+    v = nan_to_null(F.col(f"_v_{i}")) if kinds & set(NUMERIC) else F.col(f"_v_{i}")
+    out = {}
+    if kinds & {"sum", "mean", "std"}:
+        out |= {f"_n_{i}": F.count(v), f"_sum_{i}": F.sum(v.cast("double"))}
+    if "std" in kinds:
+        out |= {f"_avg_{i}": F.avg(v.cast("double")), f"_var_{i}": F.var_pop(v.cast("double"))}
+    if "max" in kinds:
+        out[f"_max_{i}"] = F.max(v)
+    if "min" in kinds:
+        out[f"_min_{i}"] = F.min(v)
+    if kinds & {"concat", "text"}:
+        item = F.struct(F.col("_e").alias("e"), F.col("_tb").alias("tb"), F.coalesce(v.cast("string"), F.lit("")).alias("v"))
+        out[f"_items_{i}"] = F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"])
+    return out
+
+
+def _merged(kind: str, inside: Column, i: int | None) -> Column:
+    """The aggregate of a window from the states of its panes."""
+    def of(state: str) -> Column:
+        return F.when(inside, F.col(f"_{state}_{i}"))
 
-
-def _ordered_text(items: Column, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(items), lambda s: F.coalesce(s["v"], F.lit(""))), sep)
-
-
-def _agg_expr(kind: str, in_w: Column, v: Column | None, tb: Column) -> Column:
-    if kind in ("sum", "mean", "max", "min", "std"):
-        v = nan_to_null(v)
     if kind == "count":
-        return F.count(F.when(in_w, F.lit(1)))
+        return F.coalesce(F.sum(F.when(inside, F.col("_rows"))), F.lit(0).cast("long"))
     if kind == "sum":
-        return F.when(F.count(F.when(in_w, F.lit(1))) > 0,
-                      F.coalesce(F.sum(F.when(in_w, v)), F.lit(0.0)).cast("double"))
+        return F.when(F.count(F.when(inside, F.lit(1))) > 0, F.coalesce(F.sum(of("sum")), F.lit(0.0)))
     if kind == "mean":
-        return F.avg(F.when(in_w, v))
-    if kind == "max":
-        return F.max(F.when(in_w, v))
-    if kind == "min":
-        return F.min(F.when(in_w, v))
+        n = F.sum(of("n"))
+        return F.when(n > 0, F.sum(of("sum")) / n)
+    if kind in ("max", "min"):
+        return (F.max if kind == "max" else F.min)(of(kind))
     if kind == "std":
-        return F.stddev_pop(F.when(in_w, v))
-    if kind == "distinct":
-        return F.size(F.collect_set(F.when(in_w, F.coalesce(v.cast("string"), F.lit(""))))).cast("long")
-    if kind == "entropy":
-        cats = F.collect_list(F.when(in_w, F.coalesce(v.cast("string"), F.lit(""))))
-        n = F.size(cats).cast("double")
-
-        def term(acc, c):
-            p = F.size(F.filter(cats, lambda x: x == c)).cast("double") / n
-            return acc - p * F.log2(p)
-        return F.aggregate(F.array_distinct(cats), F.lit(0.0), term) + F.lit(0.0)
+        # Spread inside the panes plus spread of the panes' means about the window's mean.
+        parts = F.collect_list(F.when(inside & (F.col(f"_n_{i}") > 0), F.struct(F.col(f"_n_{i}").cast("double").alias("n"), F.col(f"_avg_{i}").alias("m"), F.col(f"_var_{i}").alias("v"))))
+
+        def total(f):
+            return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + f(x))
+        n = total(lambda x: x["n"])
+        mean = total(lambda x: x["n"] * x["m"]) / n
+        return F.when(F.size(parts) > 0, F.sqrt(total(lambda x: x["n"] * (x["v"] + (x["m"] - mean) * (x["m"] - mean))) / n))
     if kind in ("concat", "text"):
-        item = F.when(in_w, F.struct(F.col("_e").alias("e"), tb.alias("tb"), v.cast("string").alias("v")))
-        return _ordered_text(F.collect_list(item), " | " if kind == "concat" else " ")
+        # Panes follow each other in time, later segments of a pane come first.
+        parts = F.array_sort(F.collect_list(F.when(inside, F.struct(F.col(PANE).alias("p"), (-F.col(SEG)).alias("s"), F.col(f"_items_{i}").alias("items")))))
+        return F.array_join(F.flatten(F.transform(parts, lambda x: x["items"])), " | " if kind == "concat" else " ")
     raise ValueError(f"unknown aggregate {kind!r}")
 
 
+def _category_windows(placed: DataFrame, panes: Panes, keys: Sequence[str], category: Column,
+                      wanted: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """Distinct counts and entropies of one column: categories are counted per pane,
+    the counts summed per window, so a dense window costs its distinct categories."""
+    per_pane = placed.withColumn("_c", F.coalesce(category.cast("string"), F.lit(""))).groupBy(*keys, LAST_K, PANE, SEG, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    windows = sorted({w for _, _, w in wanted})
+    spread = panes.spread(per_pane, windows[-1])
+    counts = spread.groupBy(*keys, K, "_c").agg(*[F.sum(F.when(panes.inside(w), F.col("_n"))).alias(f"_n_{w}") for w in windows])
+
+    def aggregate(kind: str, w: int) -> Column:
+        n = F.col(f"_n_{w}")
+        if kind == "distinct":
+            return F.count(n)
+        # −Σ p·log2 p with p = n / N
+        total = F.sum(n)
+        return F.when(total > 0, F.log2(total.cast("double")) - F.sum(n * F.log2(n.cast("double"))) / total) + F.lit(0.0)
+    return counts.groupBy(*keys, K).agg(*[aggregate(kind, w).alias(name) for name, kind, w in wanted])
+
+
 def rolling_to_grid(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: Sequence[str],
                     ts_col: str, interval_seconds: int,
                     aggs: Sequence[tuple[str, str, str | None, int]],
@@ -77,21 +112,33 @@ def rolling_to_grid(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: S
     keys = list(keys)
     if not aggs:
         return grid
-    wmax = max(a[3] for a in aggs) * US
+    for _, kind, _, _ in aggs:
+        if kind not in {"count", "concat", "text", *NUMERIC, *CATEGORY}:
+            raise ValueError(f"unknown aggregate {kind!r}")
+    windows = [a[3] for a in aggs]
+    panes = Panes(interval_seconds, windows)
     values = sorted({a[2] for a in aggs if a[2] is not None})
     tb = F.col(tiebreak) if tiebreak else F.lit(0)
     rows = events.select(*keys, us_col(events, ts_col).alias("_e"), tb.alias("_tb"),
                          *[F.col(v).alias(f"_v_{i}") for i, v in enumerate(values)]).where(F.col("_e").isNotNull())
-    x = explode_to_grid(rows, spec, keys, "_e", interval_seconds, 0, wmax - 1)
-    exprs = []
-    for name, kind, value, w in aggs:
-        in_w = (F.col("grid_us") - F.col("_e")) < F.lit(w * US)
-        v = F.col(f"_v_{values.index(value)}") if value is not None else None
-        exprs.append(_agg_expr(kind, in_w, v, F.col("_tb")).alias(name))
-    agg = x.groupBy(*keys, K).agg(*exprs)
-    out = grid.join(agg, keys + [K], "left")
+    placed = panes.place(rows, spec, keys, "_e", max(windows))
+    out = grid
+    plain = [a for a in aggs if a[1] not in CATEGORY]
+    if plain:
+        states: dict[str, Column] = {"_rows": F.count(F.lit(1))}
+        for i, v in enumerate(values):
+            states |= _pane_states({a[1] for a in plain if a[2] == v}, i)
+        per_pane = placed.groupBy(*keys, LAST_K, PANE, SEG).agg(*[c.alias(n) for n, c in states.items()])
+        spread = panes.spread(per_pane, max(a[3] for a in plain))
+        merged = spread.groupBy(*keys, K).agg(*[_merged(kind, panes.inside(w), None if v is None else values.index(v)).alias(name) for name, kind, v, w in plain])
+        out = out.join(merged, keys + [K], "left")
+    for i, v in enumerate(values):
+        wanted = [(name, kind, w) for name, kind, of, w in aggs if of == v and kind in CATEGORY]
+        if wanted:
+            out = out.join(_category_windows(placed, panes, keys, F.col(f"_v_{i}"), wanted), keys + [K], "left")
     fills = {name: ZERO_DEFAULT[kind] for name, kind, _, _ in aggs if kind in ZERO_DEFAULT}
-    return out.fillna(fills) if fills else out
+    out = out.fillna(fills) if fills else out
+    return out.select(*grid.columns, *[a[0] for a in aggs])
 
 
 def entropy_to_grid(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: Sequence[str],
@@ -100,22 +147,10 @@ def entropy_to_grid(grid: DataFrame, spec: DataFrame, events: DataFrame, keys: S
     """Shannon entropy (base 2) of the categories in the window and,
     optionally, their distinct count. NULL category counts as ``''``; an empty
     window gives 0.0 / 0."""
-    keys = list(keys)
-    w = window_seconds * US
-    rows = events.select(*keys, us_col(events, ts_col).alias("_e"),
-                         F.coalesce(F.col(category_col).cast("string"), F.lit("")).alias("_c")).where(F.col("_e").isNotNull())
-    x = explode_to_grid(rows, spec, keys, "_e", interval_seconds, 0, w - 1)
-    per_cat = x.groupBy(*keys, K, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    n_tot = F.sum("_n").over(Window.partitionBy(*keys, K))
-    p = per_cat.withColumn("_p", F.col("_n") / n_tot)
-    exprs = [(-F.sum(F.col("_p") * F.log2("_p")) + F.lit(0.0)).alias(entropy_name)]
-    if unique_name:
-        exprs.append(F.count(F.lit(1)).alias(unique_name))
-    agg = p.groupBy(*keys, K).agg(*exprs)
-    fills = {entropy_name: 0.0}
+    aggs = [(entropy_name, "entropy", category_col, window_seconds)]
     if unique_name:
-        fills[unique_name] = 0
-    return grid.join(agg, keys + [K], "left").fillna(fills)
+        aggs.append((unique_name, "distinct", category_col, window_seconds))
+    return rolling_to_grid(grid, spec, events, keys, ts_col, interval_seconds, aggs)
 
 
 def rolling_over_timeline(timeline: DataFrame, events: DataFrame, keys: Sequence[str], ts_col: str,

@@ -584,10 +584,10 @@ def q_gbt_scores(spark, d):
 @register("svd_components", None)
 def q_svd_components(spark, d):
     docs = D.table(spark, d, "documents")
-    tm = MD.fit_text(docs, "doc_id", "text")
-    w = MD.text_weights(docs, "doc_id", "text", tm).checkpoint()
-    v = MD.fit_svd(w, "doc_id", tm.size, 100)
-    return MD.svd_project(w, "doc_id", v.checkpoint(), 100, rows=docs)
+    tm, w = MD.fit_text_weights(docs, "doc_id", "text")
+    rows = w.checkpoint()
+    v = MD.fit_svd(rows, "doc_id", tm.size, 100)
+    return MD.svd_project(rows, "doc_id", v, 100, rows=docs)
 
 
 @register("model_evaluation", None)
@@ -644,13 +644,27 @@ def q_class_weights(spark, d):
 def q_svd_orthonormal(spark, d):
     """M2: VᵀV of a ten-column basis of the documents' text vectors, by pair of columns."""
     docs = D.table(spark, d, "documents")
-    tm = MD.fit_text(docs, "doc_id", "text")
-    v = MD.fit_svd(MD.text_weights(docs, "doc_id", "text", tm).checkpoint(), "doc_id", tm.size, 10)
+    tm, w = MD.fit_text_weights(docs, "doc_id", "text")
+    v = MD.fit_svd(w, "doc_id", tm.size, 10)
     x = v.select("index", F.posexplode(MD.vector_to_array("vec")).alias("i", "a")).checkpoint()
     pair = x.join(x.select("index", F.col("i").alias("j"), F.col("a").alias("b")), "index")
     return pair.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
 
 
+@register("svd_moments", O.SVD_MOMENTS, ("value",))
+def q_svd_moments(spark, d):
+    """M2: power sums of the squared singular values (over the documents) of the text vectors
+    of 40 terms, from all their right vectors: sign-free and equal to traces of (XᵀX)ᵖ."""
+    docs = D.table(spark, d, "documents")
+    tm, w = MD.fit_text_weights(docs, "doc_id", "text", 40)
+    rows = w.checkpoint()
+    projected = MD.svd_project(rows, "doc_id", MD.fit_svd(rows, "doc_id", tm.size, 40), 40)
+    squares = projected.select(F.posexplode(MD.vector_to_array("svd")).alias("i", "y")).groupBy("i").agg(F.sum(F.col("y") * F.col("y")).alias("s"))
+    share = squares.select((F.col("s") / F.lit(float(docs.count()))).alias("s"))
+    powers = share.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.pow("s", F.lit(p)).alias("x")) for p in (1, 2, 3)])).alias("m"))
+    return powers.groupBy("m.p").agg(F.sum("m.x").alias("value"))
+
+
 @register("risk_series", O.RISK_SERIES)
 def q_risk_series(spark, d):
     return R.risk_series(scored(spark, d))

@@ -616,3 +616,12 @@ FROM os JOIN k ON os.y = k.y WHERE split <> 'test'"""
 
 SVD_ORTHONORMAL = """SELECT CAST(a.range AS INTEGER) AS i, CAST(b.range AS INTEGER) AS j,
        CASE WHEN a.range = b.range THEN 1.0 ELSE 0.0 END::DOUBLE AS dot FROM range(10) a, range(10) b"""
+
+SVD_MOMENTS = f"""WITH {_TOK.replace('LIMIT 5000', 'LIMIT 40')},
+x AS (SELECT w.doc_id, w.term, w.w / nrm.nrm AS x FROM w JOIN nrm USING (doc_id)),
+g AS (SELECT a.term AS i, b.term AS j, sum(a.x * b.x) / (SELECT count(*) FROM documents) AS g
+      FROM x a JOIN x b USING (doc_id) GROUP BY a.term, b.term),
+gg AS (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM g a JOIN g b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT 1 AS p, sum(g) AS value FROM g WHERE i = j
+UNION ALL SELECT 2, sum(g) FROM gg WHERE i = j
+UNION ALL SELECT 3, sum(gg.g * g.g) FROM gg JOIN g ON gg.j = g.i AND gg.i = g.j"""
