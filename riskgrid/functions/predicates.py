@@ -46,6 +46,30 @@ def scrub(c) -> Column:
     return F.when(~(F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), c)
 
 
+def round_scaled(c, digits: int) -> Column:
+    """P25 for columns of a frame: the nearest whole number of the scaled value, ties to even."""
+    s = float(10**digits)
+    return F.rint(col_of(c).cast("double") * F.lit(s)) / F.lit(s)
+
+
+def round_exact(c, digits: int) -> Column:
+    """P25 for single numbers: the binary value is rounded as it is, so only an exact tie
+    goes to even. The product with the power of ten is taken with its rounding error
+    (Dekker), which decides when the rounded product ends in a half."""
+    x, s = col_of(c).cast("double"), float(10**digits)
+    cut = 134217729.0  # 2**27 + 1
+    s_hi = cut * s - (cut * s - s)
+    s_lo = s - s_hi
+    p = x * F.lit(s)
+    x_hi = x * F.lit(cut) - (x * F.lit(cut) - x)
+    x_lo = x - x_hi
+    error = ((x_hi * F.lit(s_hi) - p) + x_hi * F.lit(s_lo) + x_lo * F.lit(s_hi)) + x_lo * F.lit(s_lo)
+    low = F.floor(p).cast("double")
+    half = (p - low) == F.lit(0.5)
+    whole = F.when(half & (error > 0), low + 1).when(half & (error < 0), low).otherwise(F.rint(p))
+    return F.when(F.abs(p) < F.lit(float(2**52)), whole / F.lit(s)).otherwise(x)
+
+
 def rainfall_double(c) -> Column:
     """true/false/number → DOUBLE, NULL → 0.0."""
     s = F.lower(F.trim(col_of(c).cast("string")))

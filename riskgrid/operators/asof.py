@@ -19,7 +19,8 @@ with ``r ≥ t``; nearest = the closer of the two, ties go backward; tolerance
 is inclusive and applied per direction. The match is row-level: a matched
 row with a NULL cell yields NULL. Ties among right rows at the same instant
 are decided by ``tiebreak`` (largest wins backward, smallest forward).
-Right columns that also exist on the left (other than keys) are dropped.
+Right columns that also exist on the left (other than keys) are dropped. NULL
+keys match each other, whatever the bucket width.
 """
 from __future__ import annotations
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from riskgrid.functions.time import US, floor_div, us_col
 from riskgrid.operators.grid import K, grid_index_of
-from riskgrid.operators.ordered import auto_bucket_seconds
+from riskgrid.operators.ordered import auto_bucket_seconds, join_null_safe
 
 _TS_TYPES = (T.TimestampType, T.TimestampNTZType)
 
@@ -70,10 +71,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequ
     lstruct = F.struct(*[F.col(c) for c in left.columns])
     rfields = [F.col(c) for c in payload] + [us_col(right, right_on).alias("_ru")]
     rstruct_t = right.select(F.struct(*rfields).alias("_r")).schema["_r"].dataType
-    tb = F.col(tiebreak).cast("double") if tiebreak else F.lit(0.0)
+    tb = F.col(tiebreak) if tiebreak else F.lit(0)
+    tb_t = right.schema[tiebreak].dataType if tiebreak else "int"
 
     L = left.select(*by, lstruct.alias("_l"), us_col(left, on).alias("_u"), F.lit(1).alias("_side"),
-                    F.lit(None).cast(rstruct_t).alias("_r"), F.lit(0.0).alias("_tb"))
+                    F.lit(None).cast(rstruct_t).alias("_r"), F.lit(None).cast(tb_t).alias("_tb"))
     R = right.select(*by, F.lit(None).cast(L.schema["_l"].dataType).alias("_l"),
                      us_col(right, right_on).alias("_u"), F.lit(right_side).alias("_side"),
                      F.struct(*rfields).alias("_r"), tb.alias("_tb")).where(F.col("_u").isNotNull())
@@ -102,14 +104,16 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "timestamp", by: Sequ
     if "forward" in dirs:
         lasts.append(F.min_by("_r", F.struct("_u", "_tb")).alias("_bl_forward"))
     blast = R.groupBy(*by, "_b").agg(*lasts)
-    kt = keys_b.join(blast, by + ["_b"], "full")
+    ends = [f"_bl_{d}" for d in dirs]
+    kt = keys_b.select(*by, "_b", *[F.lit(None).cast(rstruct_t).alias(c) for c in ends]).unionByName(blast)
+    kt = kt.groupBy(*by, "_b").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ends])
     carry = []
     for d in dirs:
         o = F.col("_b").asc() if d == "backward" else F.col("_b").desc()
         cw = Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
         carry.append(F.last(f"_bl_{d}", ignorenulls=True).over(cw).alias(f"_c_{d}"))
     kt = kt.select(*by, "_b", *carry)
-    res = res.join(kt, by + ["_b"], "left")
+    res = join_null_safe(res, kt, by + ["_b"])
 
     tol = None if tolerance_seconds is None else int(round(tolerance_seconds * US))
     chosen = {}
@@ -141,7 +145,7 @@ def asof_to_grid(grid: DataFrame, spec: DataFrame, right: DataFrame, keys: Seque
     before (after) it, within the tolerance. Adds ``payload`` columns."""
     keys = list(keys)
     payload = list(payload)
-    tb = F.col(tiebreak).cast("double") if tiebreak else F.lit(0.0)
+    tb = F.col(tiebreak) if tiebreak else F.lit(0)
     rows = right.select(*keys, us_col(right, ts_col).alias("_e"), tb.alias("_tb"),
                         *[F.col(c) for c in payload]).where(F.col("_e").isNotNull())
     rstruct = F.struct(*[F.col(c) for c in payload], F.col("_e"))

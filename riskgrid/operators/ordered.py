@@ -47,6 +47,13 @@ def _bucketed(df: DataFrame, u_col: str, bucket_seconds: int) -> DataFrame:
     return df.withColumn("_b", floor_div(F.col(u_col), F.lit(int(bucket_seconds * US))))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join on ``names`` in which NULL keys match, as they do in groups and windows."""
+    keyed = right.select(*[F.col(c).alias(f"_same_{i}") for i, c in enumerate(names)], *[c for c in right.columns if c not in names])
+    same = [F.col(c).eqNullSafe(F.col(f"_same_{i}")) for i, c in enumerate(names)]
+    return left.join(keyed, same, "left").drop(*[f"_same_{i}" for i in range(len(names))])
+
+
 def previous_row(df: DataFrame, by: Sequence[str], u_col: str, tb_col: str | None,
                  payload: Sequence[str], out: str = "_prev", bucket_seconds: int = 86400) -> DataFrame:
     """Adds struct ``out`` = (payload…, ``u_col``) of the previous row of the
@@ -61,7 +68,7 @@ def previous_row(df: DataFrame, by: Sequence[str], u_col: str, tb_col: str | Non
     last = d.groupBy(*by, "_b").agg(F.max_by(s, F.struct(u_col, "_tbo")).alias("_bl"))
     cw = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*by, "_b", F.last("_bl", ignorenulls=True).over(cw).alias("_carry"))
-    d = d.join(carry, by + ["_b"], "left")
+    d = join_null_safe(d, carry, by + ["_b"])
     return d.withColumn(out, F.coalesce("_lag", "_carry")).drop("_lag", "_carry", "_b", "_tbo")
 
 
@@ -81,7 +88,7 @@ def running_last(df: DataFrame, by: Sequence[str], u_col: str, tb_col: str | Non
         F.max_by("_val", F.when(F.col("_val").isNotNull(), F.struct(u_col, "_tbo"))).alias("_bl"))
     cw = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*by, "_b", F.last("_bl", ignorenulls=True).over(cw).alias("_carry"))
-    d = d.join(carry, by + ["_b"], "left")
+    d = join_null_safe(d, carry, by + ["_b"])
     return d.withColumn(out, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_b", "_tbo", "_val")
 
 
@@ -106,7 +113,7 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Colum
     if partition_cols:
         base = d.groupBy(*partition_cols).agg(
             *[F.min(F.col(k) - F.col(f"_s_{k}")).alias(f"_base_{k}") for k in names])
-        d = d.join(base, list(partition_cols))
+        d = join_null_safe(d, base, list(partition_cols))
         for k in names:
             d = d.withColumn(k, F.col(k) - F.col(f"_base_{k}")).drop(f"_base_{k}")
     return d.drop("_pid", *[f"_s_{k}" for k in names], *[f"_o_{k}" for k in names])
@@ -122,7 +129,7 @@ def exact_median(df: DataFrame, group_cols: Sequence[str], value_col: str, out:
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*g, value_col).agg(n_values.alias("_c"))
     ps = prefix_sums(counts, [F.col(c) for c in g] + [F.col(value_col)], {"_cum": F.col("_c")}, partition_cols=g)
     n = ps.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    ps = ps.join(n, g)
+    ps = join_null_safe(ps, n, g)
     m1 = floor_div(F.col("_n") + 1, F.lit(2))
     m2 = floor_div(F.col("_n"), F.lit(2)) + 1
     res = ps.groupBy(*g).agg(F.min(F.when(F.col("_cum") >= m1, F.col(value_col))).alias("_v1"),

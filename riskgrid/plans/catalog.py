@@ -678,3 +678,47 @@ def q_positive_windows(spark, d):
 @register("first_sessions", O.FIRST_SESSIONS)
 def q_first_sessions(spark, d):
     return BZ.first_sessions(D.sessions(spark, d), 10).select("session_key", "date_start")
+
+
+# ---------------------------------------------------------------- ingestion job
+import uuid  # noqa: E402
+
+from riskgrid.session import ensure_checkpoint_dir  # noqa: E402
+from riskgrid.sources import ingest as IN  # noqa: E402
+from riskgrid.sources import session_catalogue as SC  # noqa: E402
+
+INGESTED = ("race_control", "weather", "intervals")
+
+
+def _ingested(spark, d) -> str:
+    """Events landed as JSON lines, some cut short, some without time or with a session that
+    does not exist, no ``intervals`` at all; ingested twice. The folder of the bronze tables."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    when = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    landed = {"race_control": (D.messages(spark, d).withColumn("v", F.col("value")), ["category", "message", "flag"]),
+              "weather": (D.weather(spark, d).withColumn("v", F.col("track_temperature")).withColumn("rainfall", F.col("rainfall").cast("string")), ["rainfall", "air_temperature", "track_temperature"])}
+    for table, (rows, columns) in landed.items():
+        key = F.when(F.col("v") >= 400, F.lit(7)).otherwise(F.col("session_key"))
+        record = F.to_json(F.struct(key.alias("session_key"), F.when(F.col("v") < 20, "").otherwise(when).alias("date"), *columns))
+        line = F.when(F.col("v").between(100, 130), F.substring(record, F.lit(1), F.length(record) - 3)).otherwise(record)
+        rows.select(line.alias("value")).write.text(f"{folder}/landed/{table}")
+    sessions = D.sessions(spark, d).checkpoint()
+    for _ in range(2):
+        IN.ingest(spark, f"{folder}/landed", f"{folder}/bronze", sessions, INGESTED)
+    return f"{folder}/bronze"
+
+
+@register("ingest_log", O.INGEST_LOG)
+def q_ingest_log(spark, d):
+    return IN.ingest_log(spark, _ingested(spark, d)).select("table_name", "session_key", "status", "written", "rejected")
+
+
+@register("rejected_records", O.REJECTED_RECORDS)
+def q_rejected_records(spark, d):
+    rows = IN.rejected_records(spark, _ingested(spark, d))
+    return rows.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("session_key").alias("sessions"))
+
+
+@register("session_catalogue", O.SESSION_CATALOGUE)
+def q_session_catalogue(spark, d):
+    return SC.catalogue(spark, _ingested(spark, d), "race_control")

@@ -625,3 +625,29 @@ gg AS (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM g a JOIN g b ON a.j = b.i GROUP
 SELECT 1 AS p, sum(g) AS value FROM g WHERE i = j
 UNION ALL SELECT 2, sum(g) FROM gg WHERE i = j
 UNION ALL SELECT 3, sum(gg.g * g.g) FROM gg JOIN g ON gg.j = g.i AND gg.i = g.j"""
+
+# ---------------------------------------------------------------- ingestion job
+_LANDED = f"""{EV}, {SESS},
+landed AS (SELECT 'race_control' AS table_name, session_key, ts, value FROM ev
+           UNION ALL SELECT 'weather', session_key, ts, value FROM ev WHERE event_type = 'view'),
+judged AS (SELECT table_name, ts, CASE WHEN value BETWEEN 100 AND 130 THEN 'malformed' WHEN value >= 400 THEN 'unknown session'
+                  WHEN value < 20 THEN 'no time' END AS reason,
+                  CASE WHEN value >= 400 THEN -1 ELSE session_key END AS session_key FROM landed)"""
+
+INGEST_LOG = f"""WITH {_LANDED},
+keys AS (SELECT session_key FROM sess UNION ALL SELECT -1),
+c AS (SELECT table_name, session_key, count(*) FILTER (reason IS NULL) AS written, count(reason) AS rejected
+      FROM judged GROUP BY table_name, session_key)
+SELECT t.table_name, k.session_key, CASE WHEN t.table_name = 'intervals' THEN 'failed' ELSE 'written' END AS status,
+       coalesce(c.written, 0) AS written, coalesce(c.rejected, 0) AS rejected
+FROM keys k CROSS JOIN (VALUES ('race_control'), ('weather'), ('intervals')) t(table_name)
+LEFT JOIN c ON c.table_name = t.table_name AND c.session_key = k.session_key"""
+
+REJECTED_RECORDS = f"""WITH {_LANDED}
+SELECT table_name, reason, count(*) AS n, count(DISTINCT session_key) AS sessions
+FROM judged WHERE reason IS NOT NULL GROUP BY table_name, reason"""
+
+SESSION_CATALOGUE = f"""WITH {_LANDED}
+SELECT j.session_key, s.meeting_key, s.year, s.meeting_name, count(*) AS n_rows
+FROM judged j JOIN sess s USING (session_key) WHERE table_name = 'race_control' AND reason IS NULL
+GROUP BY j.session_key, s.meeting_key, s.year, s.meeting_name"""

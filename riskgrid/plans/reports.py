@@ -1,7 +1,8 @@
 """Read-only reports over the gold timeline.
 
 All are plain aggregates or per-session windows over grid-sized data; the
-rounding is half-even (``bround``) like the reference's.
+rounding is half-even on binary doubles like the reference's: ``round_scaled`` for
+columns of a frame, ``round_exact`` for single numbers.
 """
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskgrid.functions.predicates import round_exact, round_scaled
 from riskgrid.functions.time import US, us_col
 from riskgrid.operators.events import edge_flags
 
@@ -28,7 +30,7 @@ def overview(gold: DataFrame, y_col: str = "y_sc_5m") -> DataFrame:
     years = F.array_sort(F.collect_set("year"))
     return gold.agg(F.count_distinct("session_key").alias("total_sessions"),
                     F.count(F.lit(1)).alias("total_grid_points"),
-                    F.bround(F.avg(y_col) * 100, 2).alias("positive_rate_pct"),
+                    round_exact(F.avg(y_col) * 100, 2).alias("positive_rate_pct"),
                     F.sum(y_col).cast("long").alias("sc_event_windows"),
                     F.array_join(years.cast("array<string>"), ",").alias("years_covered"),
                     F.size(years).cast("long").alias("years_count"))
@@ -40,7 +42,7 @@ def rate_by(df: DataFrame, group_col: str, session_col: str = "session_key", y_c
     g = d.groupBy(group_col).agg(F.count_distinct(session_col).alias("sessions"),
                                  F.sum(y_col).cast("long").alias("sc_windows"),
                                  F.count(y_col).alias("total_windows"))
-    return g.withColumn("sc_rate_pct", F.bround(F.col("sc_windows") / F.col("total_windows") * 100, 2))
+    return g.withColumn("sc_rate_pct", round_scaled(F.col("sc_windows") / F.col("total_windows") * 100, 2))
 
 
 def rate_top(df: DataFrame, group_col: str, n: int = 30, **kw) -> DataFrame:
@@ -51,7 +53,7 @@ def rate_top(df: DataFrame, group_col: str, n: int = 30, **kw) -> DataFrame:
 def means_by(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
     """A5: per-group means of the columns present, rounded to 2; rows without group are left out."""
     present = [c for c in cols if c in df.columns]
-    return df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(*[F.bround(F.avg(c), 2).alias(c) for c in present])
+    return df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(*[round_scaled(F.avg(c), 2).alias(c) for c in present])
 
 
 def session_risk(scored: DataFrame, score_col: str = "risk_score", y_col: str = "y_sc_5m",
@@ -116,7 +118,7 @@ def replay_cut(df: DataFrame, ts_col: str, at_us: Column) -> DataFrame:
 def report_header(test: DataFrame, y_col: str = "y_sc_5m", meeting_col: str = "meeting_key") -> DataFrame:
     """S28 header row: test rows, distinct meetings, positive %."""
     return test.agg(F.count(F.lit(1)).alias("test_rows"), F.count_distinct(meeting_col).alias("test_meetings"),
-                    F.bround(F.avg(y_col) * 100, 2).alias("positive_pct"))
+                    round_exact(F.avg(y_col) * 100, 2).alias("positive_pct"))
 
 
 def positive_windows(df: DataFrame, y_col: str = "y_sc_5m") -> DataFrame:
@@ -127,4 +129,4 @@ def positive_windows(df: DataFrame, y_col: str = "y_sc_5m") -> DataFrame:
 def risk_series(scored: DataFrame, score_col: str = "risk_score", y_col: str = "y_sc_5m",
                 ts_col: str = "timestamp") -> DataFrame:
     """A6 series: per grid point the score rounded half-even to 4 digits."""
-    return scored.select("session_key", ts_col, F.bround(score_col, 4).alias(score_col), y_col)
+    return scored.select("session_key", ts_col, round_scaled(score_col, 4).alias(score_col), y_col)

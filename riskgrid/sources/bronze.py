@@ -83,10 +83,12 @@ def offset_to_ts(offset_us_col: str, start: str = "_session_start_us"):
 
 
 def _with_start(df: DataFrame, sessions: DataFrame) -> DataFrame:
-    s = sessions.select("session_key", parse_us("date_start").alias("_session_start_us"))
+    # one row per session: a repeated session row must not repeat its readings
+    s = sessions.groupBy("session_key").agg(F.min(parse_us("date_start")).alias("_session_start_us"))
     return df.join(s, "session_key", "left")
 
 
+# FIXED VALUES (do not edit): column names of the landed tables and of bronze.
 RC_RENAMES = {"Time": "date", "Message": "message", "Category": "category", "Flag": "flag", "Scope": "scope",
               "Sector": "sector", "RacingNumber": "driver_number"}
 WEATHER_RENAMES = {"Time": "date", "AirTemp": "air_temperature", "TrackTemp": "track_temperature",
