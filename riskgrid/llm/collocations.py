@@ -8,6 +8,10 @@ until it completes one full cycle from its activation: its count is then exact.
 latest a subphrase reaches the threshold when its own cycle ends, so no frequent phrase
 is missed.
 
+Texts are read as words once: every word becomes a 64-bit code, and what follows works
+on arrays of codes. The words of the phrases found are looked up in the texts at the
+end; should one code stand for two words, everything is done again with other codes.
+
 Before the scans two passes shrink what is scanned. The first merges count-min sketches
 of the words and of the word pairs of all texts (cells stop at 255), and adds up the
 words of each language. The second deals the texts to the shards, without what the
@@ -21,8 +25,8 @@ most 2**24 bytes, sized by a count of the phrases): a cell holds the latest scan
 its phrases, and the smaller of a phrase's two cells is at least its own, so a window
 is passed on whenever it may be active. Which of the windows passed on are active is
 decided exactly when they meet the table of counts, by the phrases themselves; a full
-sketch costs time and changes nothing. A task numbers the words of a few MB of text and
-counts windows by their word numbers; the sums by phrase combine on the map side.
+sketch costs time and changes nothing. A task counts the windows of about a million
+words at a time; the sums by phrase combine on the map side.
 
 Then each candidate is cut at every place; parts of a frequent phrase are frequent, so
 their counts are at hand. The lowest score (exact decimals) counts. A candidate of equal
@@ -39,6 +43,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,91 +58,117 @@ from .common import BROADCAST_ROWS, SALTS, attach, materialise, mix
 BREAK = b"\xff"
 #: Lower case, tabs as spaces, and the characters that end a piece as a byte that no UTF-8 text holds.
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
-CHUNK = 1 << 22
+CHUNK_WORDS = 1 << 20
 ROWS, LEAST_BITS, MOST_BITS = 2, 12, 24
-#: Cells of the count-min sketch: from 2**22 to 2**26 in two rows, about one for 200 bytes of text.
+#: Cells of the count-min sketch: from 2**22 to 2**26 in two rows, about one for 32 words.
 PAIR_BITS = (22, 26)
 FULL = 255
-COUNTS = "lang string, phrase string, k int, n long, start int, reached int"
+#: A phrase is the codes of its words, eight bytes each.
+COUNTS = "lang string, phrase binary, k int, n long, start int, reached int"
+
 
+class Codes(dict):
+    """Codes of words; 0 ends a piece, 1 is the empty word between two spaces."""
 
-class Vocabulary(dict):
-    """Numbers of a task's words in the order met; 0 is the end of a piece."""
+    LIMIT = 500_000
 
-    def __init__(self):
-        super().__init__({BREAK: 0})
-        self.words, self.hashes = [BREAK], np.zeros(1, np.uint64)
+    def __init__(self, salt: int):
+        super().__init__()
+        self.salt = salt
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        self.update({BREAK: 0, b"": 1})
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.words)
-        self.words.append(word)
-        return number
+        code = self[word] = max(xxhash.xxh3_64_intdigest(word, self.salt), 2)
+        return code
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """The words of a text, empty ones among them, with BREAK where a piece ends."""
+    return text.translate(CLEAN).replace(BREAK, b" \xff ").split(b" ")
+
+
+def encoded(texts: DataFrame, salt: int) -> DataFrame:
+    """lang, codes of every text; 0 ends each piece and each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Codes(salt)
+        for batch in batches:
+            arrays, held, first = [], 0, 0
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                words = pieces(text.as_py())
+                x = np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
+                arrays.append(np.append(x[x != 1], np.uint64(0)))
+                held += len(words)
+                if len(code) > Codes.LIMIT:
+                    code.begin()
+                if held > CHUNK_WORDS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(arrays)), lists(np.concatenate(arrays), [len(x) for x in arrays])], ["lang", "codes"])
+                    arrays, held, first = [], 0, i + 1
+
+    return texts.mapInArrow(run, "lang string, codes array<long>")
 
-    def hash_of(self, numbers: np.ndarray) -> np.ndarray:
-        if len(self.hashes) < len(self.words):
-            new = [xxhash.xxh3_64_intdigest(w) for w in self.words[len(self.hashes):]]
-            self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
-        return self.hashes[numbers]
+
+def lists(flat: np.ndarray, lengths) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
 class Windows:
-    """The words of some texts as numbers, and the hash keys of their windows."""
-
-    def __init__(self, vocabulary: Vocabulary, langs: list[str], texts: list[bytes]):
-        words: list[bytes] = []
-        ends = []
-        for text in texts:
-            words += text.translate(CLEAN).replace(BREAK, b" \xff ").split(b" ")
-            words.append(BREAK)
-            ends.append(len(words))
-        self.ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-        code = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
-        self.langs, self.vocabulary = list(code), vocabulary
-        length = np.diff([0, *ends])
-        self.lang, self.doc = np.repeat(np.array([code[x] for x in langs], np.int64), length), np.repeat(np.arange(len(texts)), length)
-        # A split at single spaces leaves empty words where spaces meet.
-        full = self.ids != vocabulary.get(b"", -1)
-        self.ids, self.lang, self.doc = self.ids[full], self.lang[full], self.doc[full]
-        salt = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
-        self.hashes = vocabulary.hash_of(self.ids)
-        self.salts = salt[self.lang]
+    """The codes of some texts, one after the other, and the hash keys of their windows."""
+
+    def __init__(self, langs: pa.Array, codes: np.ndarray, lengths: np.ndarray):
+        of = langs.dictionary_encode()
+        self.langs, self.rows = of.dictionary.to_pylist(), len(lengths)
+        self.codes, self.row = codes, np.repeat(np.arange(len(lengths)), lengths)
+        self.lang = of.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
+        self.salts = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
 
     def first_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.nonzero(self.ids)[0]
-        return at, mix(self.hashes[at] ^ self.salts[at], 1)
+        at = np.nonzero(self.codes)[0]
+        return at, mix(self.codes[at] ^ self.salts[self.lang[at]], 1)
 
     def longer_keys(self, at: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
         """Keys of the windows of ``k`` words from those of one word less."""
-        return mix(keys * np.uint64(0x9E3779B97F4A7C15) + self.hashes[at + k - 1], k)
+        return mix(keys * np.uint64(0x9E3779B97F4A7C15) + self.codes[at + k - 1], k)
 
-    def counts(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, at: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """One place of each different phrase of ``k`` words and its number of windows."""
+        _, first, same, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        place = at[first]
+        equal = self.lang[at] == self.lang[place][same]
+        for j in range(k):
+            equal &= self.codes[at + j] == self.codes[place + j][same]
+        if equal.all():
+            return place, n
+        # Two phrases with one key: number them word by word.
         ident = self.lang[at]
         for j in range(k):
-            _, first, ident, n = np.unique(ident << 32 | self.ids[at + j], return_index=True, return_inverse=True, return_counts=True)
+            word = np.unique(self.codes[at + j], return_inverse=True)[1]
+            _, first, ident, n = np.unique(ident << 32 | word, return_index=True, return_inverse=True, return_counts=True)
         return at[first], n
 
-    def phrase(self, at: int, k: int) -> bytes:
-        return b" ".join([self.vocabulary.words[i] for i in self.ids[at:at + k]])
+    def batch(self, place: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
+        """lang, phrase, k, n."""
+        spans = self.codes[place[:, None] + np.arange(k)].astype(">u8").tobytes()
+        phrase = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.array(np.arange(len(place) + 1) * 8 * k, pa.int32()).buffers()[1], pa.py_buffer(spans)])
+        lang = pa.DictionaryArray.from_arrays(pa.array(self.lang[place], pa.int32()), pa.array(self.langs, pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(place), k), pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "k", "n"])
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
-    vocabulary = Vocabulary()
-    langs: list[str] = []
-    texts: list[bytes] = []
-    held = 0
+    """About CHUNK_WORDS codes at a time from batches of lang, codes."""
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            langs.append(lang)
-            texts.append(text.as_py() or b"")
-            held += len(texts[-1]) + 1
-            if held >= CHUNK:
-                yield Windows(vocabulary, langs, texts)
-                langs, texts, held = [], [], 0
-                if len(vocabulary) > 500_000:
-                    vocabulary = Vocabulary()
-    if texts:
-        yield Windows(vocabulary, langs, texts)
+        column = batch.column(1)
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_WORDS, "right")) - 1)
+            end = min(end, batch.num_rows)
+            yield Windows(batch.column(0).slice(start, end - start), flat[ends[start]:ends[end]], np.diff(ends[start:end + 1]))
+            start = end
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -151,7 +182,7 @@ def pack(planes: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(cut[i].tobytes(), 1) for i in used], pa.binary())], ["part", "cells"])
 
 
-def pair_estimates(texts: DataFrame, bits: int) -> tuple[bytes, DataFrame]:
+def pair_estimates(coded: DataFrame, bits: int) -> tuple[bytes, DataFrame]:
     """Merged count-min sketch of words (a quarter of the cells) and of pairs, compressed;
     lang, total of words."""
     sizes = (2**(bits - 2), 2**bits)
@@ -184,7 +215,7 @@ def pair_estimates(texts: DataFrame, bits: int) -> tuple[bytes, DataFrame]:
                 sums[i] = np.minimum(sums[i].astype(np.uint16) + new, FULL).astype(np.uint8) if i in sums else new
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["part", "cells"])
 
-    found = materialise(texts.mapInArrow(fill, "part int, cells binary, lang string, total long"))
+    found = materialise(coded.mapInArrow(fill, "part int, cells binary, lang string, total long"))
     plane = np.zeros((parts, ROWS * sum(sizes) // parts), np.uint8)
     for r in found.where("part is not null").select("part", "cells").repartition(parts, "part").mapInArrow(merge, "part int, cells binary").collect():
         plane[r.part] = np.frombuffer(zlib.decompress(r.cells), np.uint8)
@@ -192,9 +223,9 @@ def pair_estimates(texts: DataFrame, bits: int) -> tuple[bytes, DataFrame]:
     return zlib.compress(plane.tobytes(), 1), totals
 
 
-def shrunk(texts: DataFrame, plane: bytes, bits: int, least: int, shards: int) -> DataFrame:
+def shrunk(coded: DataFrame, plane: bytes, bits: int, least: int, shards: int) -> DataFrame:
     """lang, runs, singles, shard: the words that may be frequent, in runs of likely pairs
-    or alone; a point ends a run."""
+    or alone; a 0 ends a run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(plane), np.uint8)
         ones, pairs = (x.reshape(ROWS, -1) for x in np.split(table, [ROWS * 2**(bits - 2)]))
@@ -202,27 +233,28 @@ def shrunk(texts: DataFrame, plane: bytes, bits: int, least: int, shards: int) -
         def likely(t: np.ndarray, keys: np.ndarray, b: int) -> np.ndarray:
             return np.minimum(*(t[r, cells(keys, r, b)] for r in range(ROWS))) >= least
 
+        def some(w: Windows, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+            length = 1 + ends
+            flat = np.zeros(length.sum(), np.uint64)
+            flat[np.cumsum(length) - length] = w.codes[at]
+            return lists(flat, np.bincount(w.row[at], weights=length, minlength=w.rows).astype(np.int64))
+
+        seen = 0
         for w in chunks(batches):
             at, keys = w.first_keys()
             good = likely(ones, keys, bits - 2)
             at, keys = at[good], keys[good]
             both = np.nonzero(at[1:] == at[:-1] + 1)[0]
             both = both[likely(pairs, w.longer_keys(at[both], keys[both], 2), bits)]
-            goes_on = np.zeros(len(at), bool)
-            goes_on[both] = True
-            inside = goes_on.copy()
-            inside[both + 1] = True
-            own = (w.lang * shards + w.doc % shards)[at]
-            out = []
-            for code in np.unique(own).tolist():
-                row = [w.langs[code // shards]]
-                for some in (inside & (own == code), ~inside & (own == code)):
-                    names = map(w.vocabulary.words.__getitem__, w.ids[at[some]].tolist())
-                    row.append(b" ".join([n if more else n + b"." for n, more in zip(names, goes_on[some].tolist(), strict=True)]))
-                out.append((*row, code % shards))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t).cast(c) for i, (t, c) in enumerate(((pa.string(), pa.string()), (pa.binary(), pa.string()), (pa.binary(), pa.string()), (pa.int32(), pa.int32())))], ["lang", "runs", "singles", "shard"])
-
-    return texts.mapInArrow(run, "lang string, runs string, singles string, shard int")
+            goes_on, inside = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            goes_on[both] = inside[both] = inside[both + 1] = True
+            alone = at[~inside]
+            runs, singles = some(w, at[inside], (~goes_on[inside]).astype(np.int64)), some(w, alone, np.ones(len(alone), np.int64))
+            lang = pa.DictionaryArray.from_arrays(pa.array(w.lang[np.searchsorted(w.row, np.arange(w.rows))], pa.int32()), pa.array(w.langs, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lang, runs, singles, pa.array((np.arange(w.rows) + seen) % shards, pa.int32())], ["lang", "runs", "singles", "shard"])
+            seen += w.rows
+
+    return coded.mapInArrow(run, "lang string, runs array<long>, singles array<long>, shard int")
 
 
 def sketch(reached: DataFrame, bits: int) -> bytes:
@@ -231,10 +263,10 @@ def sketch(reached: DataFrame, bits: int) -> bytes:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = np.zeros((ROWS, 2**bits), np.uint8)
         for batch in batches:
-            w = Windows(Vocabulary(), batch.column(0).to_pylist(), [p.as_py() for p in batch.column(1).cast(pa.binary())])
             k, value = batch.column(2).to_numpy(), batch.column(3).to_numpy() + 1
-            at = np.concatenate([[0], np.nonzero(w.ids == 0)[0] + 1])[:len(k)]
-            keys = mix(w.hashes[at] ^ w.salts[at], 1)
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64)
+            w, at = Windows(batch.column(0), codes, k), np.cumsum(k) - k
+            keys = mix(w.codes[at] ^ w.salts[w.lang[at]], 1)
             for length in range(2, int(k.max(initial=1)) + 1):
                 longer = k >= length
                 keys[longer] = w.longer_keys(at[longer], keys[longer], length)
@@ -268,49 +300,42 @@ def scanned(shard: DataFrame, plane: bytes, bits: int, scan: int, shards: int, l
 
         for w in chunks(batches):
             at, keys = w.first_keys()
-            out = [(1, *w.counts(at, 1))] if scan < shards and len(at) else []
+            if scan < shards and len(at):
+                yield w.batch(*w.phrases(at, keys, 1), 1)
             for k in range(2, longest + 1):
                 known = begins(keys)
                 at, keys, known = at[known > 0], keys[known > 0], known[known > 0]
                 # Both subphrases known: neighbours among the windows of k - 1 words.
-                both = np.nonzero(at[1:] == at[:-1] + 1)[0]
+                both = np.nonzero((at[1:] == at[:-1] + 1) & (w.codes[at[:-1] + k - 1] != 0))[0]
                 begin = np.maximum(known[both], known[both + 1])
                 at, keys = at[both], w.longer_keys(at[both], keys[both], k)
-                active = at[begin > scan - shards]
-                if len(active):
-                    out.append((k, *w.counts(active, k)))
+                active = begin > scan - shards
+                if active.any():
+                    yield w.batch(*w.phrases(at[active], keys[active], k), k)
                 if not len(at):
                     break
-            places = np.concatenate([p for _, p, _ in out] or [np.zeros(0, np.int64)])
-            lengths = np.concatenate([np.full(len(p), k) for k, p, _ in out] or [np.zeros(0, np.int64)])
-            lang = pa.DictionaryArray.from_arrays(pa.array(w.lang[places], pa.int32()), pa.array(w.langs, pa.string())).cast(pa.string())
-            text = pa.array([w.phrase(p, k) for p, k in zip(places.tolist(), lengths.tolist(), strict=True)], pa.binary()).cast(pa.string())
-            n = np.concatenate([n for _, _, n in out] or [np.zeros(0, np.int64)])
-            for i in range(0, len(places), 50_000):
-                yield pa.RecordBatch.from_arrays([lang[i:i + 50_000], text[i:i + 50_000], pa.array(lengths[i:i + 50_000], pa.int32()), pa.array(n[i:i + 50_000], pa.int64())], ["lang", "phrase", "k", "n"])
 
-    return shard.mapInArrow(run, "lang string, phrase string, k int, n long")
+    return shard.mapInArrow(run, "lang string, phrase binary, k int, n long")
 
 
 #: All words of a phrase but the last, and all but the first.
-HEAD = "substring_index(phrase, ' ', k - 1)"
-TAIL = "substring_index(phrase, ' ', 1 - k)"
+HEAD = "substring(phrase, 1, 8 * (k - 1))"
+TAIL = "substring(phrase, 9, 8 * (k - 1))"
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def frequent_phrases(docs: DataFrame, *, threshold: int = 100, longest: int = 5, shards: int = 4, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(coded: DataFrame, *, threshold: int = 100, longest: int = 5, shards: int = 4) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, n of all phrases that occur ``threshold`` times; lang, total of words)."""
-    spark = docs.sparkSession
+    spark = coded.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    texts = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    pair_bits = min(max((size // 200).bit_length(), PAIR_BITS[0]), PAIR_BITS[1])
-    estimates, totals = pair_estimates(texts, pair_bits)
-    shrunk(texts, estimates, pair_bits, min(threshold, FULL), shards).write.partitionBy("shard").parquet(folder)
-    dealt = spark.read.schema("lang string, runs string, singles string, shard int").parquet(folder)
+    size = coded.agg(F.sum(F.size("codes").cast("long"))).first()[0] or 0
+    pair_bits = min(max((size // 32).bit_length(), PAIR_BITS[0]), PAIR_BITS[1])
+    estimates, totals = pair_estimates(coded, pair_bits)
+    shrunk(coded, estimates, pair_bits, min(threshold, FULL), shards).write.partitionBy("shard").parquet(folder)
+    dealt = spark.read.schema("lang string, runs array<long>, singles array<long>, shard int").parquet(folder)
     counts = spark.createDataFrame([], COUNTS)
     scan, known, last = 0, 0, None
     # Phrases that the last newcomers activate complete their cycle ``shards`` scans after them.
@@ -318,8 +343,8 @@ def frequent_phrases(docs: DataFrame, *, threshold: int = 100, longest: int = 5,
         shorter = counts.where(f"reached is not null and k < {longest}")
         bits = min(max((16 * known).bit_length(), LEAST_BITS), MOST_BITS)
         plane = sketch(shorter, bits) if known else zlib.compress(bytes(ROWS * 2**bits))
-        words = F.concat_ws(" ", "runs", "singles") if scan < shards else F.col("runs")
-        seen = scanned(dealt.where(F.col("shard") == scan % shards).select("lang", words.alias("text")), plane, bits, scan, shards, longest)
+        codes = F.concat("runs", "singles") if scan < shards else F.col("runs")
+        seen = scanned(dealt.where(F.col("shard") == scan % shards).select("lang", codes.alias("codes")), plane, bits, scan, shards, longest)
         held = counts.where(f"reached is not null or start + {shards} > {scan}")
         none = F.lit(None).cast("int")
         both = held.select("*", F.lit(0).cast("long").alias("add")).unionByName(seen.select("lang", "phrase", "k", F.lit(0).cast("long").alias("n"), none.alias("start"), none.alias("reached"), F.col("n").alias("add")))
@@ -338,15 +363,13 @@ def frequent_phrases(docs: DataFrame, *, threshold: int = 100, longest: int = 5,
     return counts.where("reached is not null").select("lang", "phrase", "k", "n"), totals
 
 
-def collocations(docs: DataFrame, *, threshold: int = 100, longest: int = 5, shards: int = 4, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``top`` candidates of each language."""
-    phrases, totals = frequent_phrases(docs, threshold=threshold, longest=longest, shards=shards, text_col=text_col, lang_col=lang_col)
-    phrases = materialise(phrases)
+def scored_candidates(phrases: DataFrame, totals: DataFrame) -> DataFrame:
+    """lang, phrase, a, l, r, n, score of the candidates that stay."""
     rows = phrases.count()
     longer = phrases.where("k > 2")
     inside = longer.selectExpr("lang", f"{HEAD} as phrase", "n").unionByName(longer.selectExpr("lang", f"{TAIL} as phrase", "n")).distinct()
     cut = phrases.where("k > 1").select("lang", "phrase", "k", "n", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
-    cut = cut.selectExpr("*", "substring_index(phrase, ' ', cut) as left", "substring_index(phrase, ' ', cut - k) as right")
+    cut = cut.selectExpr("*", "substring(phrase, 1, 8 * cut) as left", "substring(phrase, 8 * cut + 1, 8 * (k - cut)) as right")
     for part, name in (("left", "l"), ("right", "r")):
         cut = cut.join(sized(phrases.select("lang", F.col("phrase").alias(part), F.col("n").alias(name)), rows), ["lang", part])
     cut = attach(cut, totals, "lang")
@@ -354,7 +377,53 @@ def collocations(docs: DataFrame, *, threshold: int = 100, longest: int = 5, sha
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * exact["n"] * exact["total"], exact["l"] * exact["r"])
     lowest = F.min(F.struct(score.alias("score"), "cut", "l", "r", "total")).alias("low")
     scored = cut.groupBy("lang", "phrase", "n").agg(lowest).join(inside, ["lang", "phrase", "n"], "left_anti")
-    scored = scored.select("lang", "phrase", F.col("n").alias("a"), "low.l", "low.r", F.col("low.total").alias("n"), "low.score")
+    return scored.select("lang", "phrase", F.col("n").alias("a"), "low.l", "low.r", F.col("low.total").alias("n"), "low.score")
+
+
+def words_of(texts: DataFrame, phrases: DataFrame, salt: int) -> DataFrame:
+    """code, word, other: the words behind the codes of the phrases; ``other`` differs from
+    ``word`` if a code stands for several. A sketch of the frequent words finds them."""
+    once = phrases.where("k = 1")
+    bits = min(max((16 * once.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    plane = sketch(once.withColumn("reached", F.lit(0)), bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zlib.decompress(plane), np.uint8).reshape(ROWS, -1)
+        for batch in batches:
+            by_lang: dict[str, set[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                by_lang.setdefault(lang, set()).update(text.as_py().translate(CLEAN).replace(BREAK, b" ").split(b" "))
+            for lang, found in by_lang.items():
+                words = sorted(found - {b""})
+                codes = np.fromiter((max(xxhash.xxh3_64_intdigest(w, salt), 2) for w in words), np.uint64, len(words))
+                keys = mix(codes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())), 1)
+                good = np.nonzero(np.minimum(*(table[r, cells(keys, r, bits)] for r in range(ROWS))))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(codes[good].view(np.int64)), pa.array([words[i] for i in good.tolist()], pa.binary()).cast(pa.string())], ["code", "word"])
+
+    found = texts.mapInArrow(run, "code long, word string").groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    needed = with_codes(phrases.where("k > 1")).select("code").distinct()
+    return materialise(found.join(needed, "code", "left_semi"))
+
+
+def with_codes(phrases: DataFrame) -> DataFrame:
+    """One row for each word of a phrase: place, code."""
+    places = phrases.withColumn("place", F.explode(F.sequence(F.lit(0), (F.length("phrase") / 8).cast("int") - 1)))
+    return places.withColumn("code", F.conv(F.hex(F.expr("substring(phrase, 8 * place + 1, 8)")), 16, -10).cast("long"))
+
+
+def collocations(docs: DataFrame, *, threshold: int = 100, longest: int = 5, shards: int = 4, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first ``top`` candidates of each language."""
+    texts = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null"))
+    for salt in count():
+        phrases, totals = frequent_phrases(materialise(encoded(texts, salt)), threshold=threshold, longest=longest, shards=shards)
+        phrases = materialise(phrases)
+        words = words_of(texts, phrases, salt)
+        if words.where("word <> other").isEmpty():
+            break
+    scored = materialise(scored_candidates(phrases, totals))
+    spelled = with_codes(scored.select("lang", "phrase")).join(sized(words.select("code", "word"), words.count()), "code")
+    spelled = spelled.groupBy("lang", "phrase").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    scored = scored.join(spelled, ["lang", "phrase"]).withColumn("phrase", F.array_join("w.word", " ")).drop("w")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)

@@ -157,9 +157,24 @@ def test_collocations_of_nothing(spark):
     assert C.collocations(spark.createDataFrame([(1, None, None, *odd_rows()[0][3:])], SCHEMA)).count() == 0
 
 
-def test_products_pass_64_bits(spark, monkeypatch):
+def test_products_pass_64_bits(spark):
     big = 3_000_000_000_000
-    counts = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big - 1), ("en", "a b", 2, big - 7)], "lang string, phrase string, k int, n long")
-    monkeypatch.setattr(C, "frequent_phrases", lambda *_, **__: (counts, spark.createDataFrame([("en", 9 * big)], "lang string, total long")))
-    r = C.collocations(counts).first()
+    a, b = bytes(range(8)), bytes(range(8, 16))
+    counts = spark.createDataFrame([("en", a, 1, big), ("en", b, 1, big - 1), ("en", a + b, 2, big - 7)], "lang string, phrase binary, k int, n long")
+    r = C.scored_candidates(counts, spark.createDataFrame([("en", 9 * big)], "lang string, total long")).first()
     assert r.score == 1000 * (big - 7) * 9 * big // (big * (big - 1))
+
+
+def test_codes_that_collide_are_replaced(spark, monkeypatch):
+    """With the first salt all words of a length share a code."""
+    digest = C.xxhash.xxh3_64_intdigest
+    texts = ["ab cd " * 9, "cd ef " * 9, "ef ab " * 9]
+
+    class Weak:
+        @staticmethod
+        def xxh3_64_intdigest(data, seed=None):
+            return digest(data) if seed is None else digest(data, seed) if seed else 100 + len(data)
+    monkeypatch.setattr(C, "xxhash", Weak)
+    rows = [(i, t, "en", None, 0, True, 0, "", 0, "") for i, t in enumerate(texts)]
+    got = C.collocations(spark.createDataFrame(rows, SCHEMA), threshold=5)
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, 5, 2000)
