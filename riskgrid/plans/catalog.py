@@ -560,6 +560,7 @@ def q_parse_timestamps(spark, d):
 
 # ---------------------------------------------------------------- models (rows-only checks)
 from riskgrid.operators import models as MD  # noqa: E402
+from riskgrid.plans import scoring as SR  # noqa: E402
 from riskgrid.plans import training as TR  # noqa: E402
 
 
@@ -670,6 +671,14 @@ def q_risk_series(spark, d):
     return R.risk_series(scored(spark, d))
 
 
+@register("session_report", O.SESSION_REPORT, ("peak_risk",))
+def q_session_report(spark, d):
+    """A6 without a model: every session's risk from its labels, with its event starts."""
+    out = SR.session_report(SR.with_risk(_labels(spark, d), None))
+    starts = F.transform("sc_event_starts", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+    return out.withColumn("sc_event_starts", F.array_join(starts, ","))
+
+
 @register("positive_windows", O.POSITIVE_WINDOWS)
 def q_positive_windows(spark, d):
     return R.positive_windows(scored(spark, d)).select("session_key", K, "timestamp")

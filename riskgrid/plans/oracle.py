@@ -651,3 +651,9 @@ SESSION_CATALOGUE = f"""WITH {_LANDED}
 SELECT j.session_key, s.meeting_key, s.year, s.meeting_name, count(*) AS n_rows
 FROM judged j JOIN sess s USING (session_key) WHERE table_name = 'race_control' AND reason IS NULL
 GROUP BY j.session_key, s.meeting_key, s.year, s.meeting_name"""
+
+SESSION_REPORT = f"""WITH RECURSIVE {BASE}, {_MERGE}, {_LAB},
+e AS (SELECT *, lag(y_sc_5m, 1, 0) OVER (PARTITION BY session_key ORDER BY grid_k) AS py FROM lab)
+SELECT session_key, CAST(max(y_sc_5m) AS DOUBLE) AS peak_risk, CAST(sum(y_sc_5m) AS BIGINT) AS sc_windows, count(*) AS grid_points,
+       coalesce(string_agg(strftime(timestamp, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY grid_k) FILTER (y_sc_5m = 1 AND py = 0), '') AS sc_event_starts
+FROM e GROUP BY session_key"""
