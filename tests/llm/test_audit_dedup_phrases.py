@@ -38,7 +38,7 @@ def brute_audit(docs, labels):
     for doc_id, text, *_ in docs:
         if doc_id is not None:
             first[text or ""] = min(first.get(text or "", doc_id), doc_id)
-    good, toxic = ({i for i, *said in labels if said[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *said in labels if i is not None and said[k] == 1} for k in (0, 1))
     facts = []
     for doc_id, text, _, source, *_ in docs:
         t = text or ""
