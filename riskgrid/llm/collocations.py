@@ -25,7 +25,7 @@ most 2**24 bytes, sized by a count of the phrases): a cell holds the latest scan
 its phrases, and the smaller of a phrase's two cells is at least its own, so a window
 is passed on whenever it may be active. Which of the windows passed on are active is
 decided exactly when they meet the table of counts, by the phrases themselves; a full
-sketch costs time and changes nothing. A task counts the windows of about a million
+sketch costs time and changes nothing. A task counts the windows of about 260 thousand
 words at a time; the sums by phrase combine on the map side.
 
 Then each candidate is cut at every place; parts of a frequent phrase are frequent, so
@@ -58,7 +58,7 @@ from .common import BROADCAST_ROWS, SALTS, attach, materialise, mix
 BREAK = b"\xff"
 #: Lower case, tabs as spaces, and the characters that end a piece as a byte that no UTF-8 text holds.
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10)
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 ROWS, LEAST_BITS, MOST_BITS = 2, 12, 24
 #: Cells of the count-min sketch: from 2**22 to 2**26 in two rows, about one for 32 words.
 PAIR_BITS = (22, 26)
@@ -70,7 +70,7 @@ COUNTS = "lang string, phrase binary, k int, n long, start int, reached int"
 class Codes(dict):
     """Codes of words; 0 ends a piece, 1 is the empty word between two spaces."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, salt: int):
         super().__init__()
