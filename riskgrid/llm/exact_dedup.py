@@ -42,11 +42,13 @@ from riskgrid.session import ensure_checkpoint_dir
 from .common import BROADCAST_ROWS, materialise
 
 #: Settings of the stream's state, read when it starts: on disk, with bounded native memory,
-#: and without the 4 MB of log space that each of many small stores would reserve.
+#: without the 4 MB of log space that each of many small stores would reserve, and a store open
+#: only while its task runs.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
