@@ -8,8 +8,8 @@ until it completes one full cycle from its activation: its count is then exact.
 latest a subphrase reaches the threshold when its own cycle ends, so no frequent phrase
 is missed.
 
-Texts are read as words once: every word becomes a 64-bit code, and what follows works
-on arrays of codes. The words of the phrases found are looked up in the texts at the
+Texts are read as words once, about a megabyte at a time: every word becomes a 64-bit
+code, and what follows works on arrays of codes, stored as bytes. The words of the phrases found are looked up in the texts at the
 end; should one code stand for two words, everything is done again with other codes.
 
 Before the scans two passes shrink what is scanned. The first merges count-min sketches
@@ -47,6 +47,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,52 +68,110 @@ FULL = 255
 COUNTS = "lang string, phrase binary, k int, n long, start int, reached int"
 
 
-class Codes(dict):
-    """Codes of words; 0 ends a piece, 1 is the empty word between two spaces."""
-
-    LIMIT = 200_000
-
-    def __init__(self, salt: int):
-        super().__init__()
-        self.salt = salt
-        self.begin()
-
-    def begin(self) -> None:
-        self.clear()
-        self.update({BREAK: 0, b"": 1})
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = max(xxhash.xxh3_64_intdigest(word, self.salt), 2)
-        return code
-
-
-def pieces(text: bytes) -> list[bytes]:
-    """The words of a text, empty ones among them, with BREAK where a piece ends."""
-    return text.translate(CLEAN).replace(BREAK, b" \xff ").split(b" ")
+#: Words over this many bytes are hashed one by one.
+LONG = 64
+CHUNK_BYTES = 1 << 20
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+CELL_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class Words:
+    """The words of some texts: cleaned bytes, and row, start and end of each word."""
+
+    def __init__(self, texts: pa.Array):
+        texts, self.rows = texts.cast(pa.binary()), len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + self.rows + 1].astype(np.int64)
+        raw = memoryview(texts.buffers()[2] or b"")[offsets[0]:offsets[-1]]
+        offsets -= offsets[0]
+        self.data = np.frombuffer(bytes(raw).translate(CLEAN) + bytes(8), np.uint8)
+        text = self.data[:-8]
+        word = (text != 32) & (text != BREAK[0])
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        heads, tails = offsets[:-1][offsets[:-1] < len(text)], offsets[1:][offsets[1:] > 0] - 1
+        first[heads], last[tails] = word[heads], word[tails]
+        self.starts, self.ends = np.nonzero(first)[0], np.nonzero(last)[0] + 1
+        self.row = np.searchsorted(offsets, self.starts, "right") - 1
+
+    def ends_piece(self) -> np.ndarray:
+        """Whether a piece or a text ends after the word."""
+        before = np.searchsorted(np.nonzero(self.data == BREAK[0])[0], self.starts)
+        after = np.ones(len(self.starts), bool)
+        after[:-1] = (before[1:] != before[:-1]) | (self.row[1:] != self.row[:-1])
+        return after
+
+    def eights(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from each place as one number."""
+        every = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
+        return every[at] & MASKS[np.minimum(length, 8)]
+
+    def spelled(self, i: int) -> bytes:
+        return self.data[self.starts[i]:self.ends[i]].tobytes()
+
+    def different(self, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Of the words ``of`` one for each code, and every word that differs from that one."""
+        of = of[np.argsort(codes[of])]
+        new = np.ones(len(of), bool)
+        new[1:] = codes[of[1:]] != codes[of[:-1]]
+        lead = of[np.nonzero(new)[0]][np.cumsum(new) - 1]
+        length = (self.ends - self.starts)[of]
+        other = length != (self.ends - self.starts)[lead]
+        for at in range(0, min(int(length.max(initial=0)), LONG), 8):
+            i = np.nonzero(~other & ~new & (length > at))[0]
+            other[i] = self.eights(self.starts[of[i]] + at, length[i] - at) != self.eights(self.starts[lead[i]] + at, length[i] - at)
+        for i in np.nonzero(~other & ~new & (length > LONG))[0].tolist():
+            other[i] = self.spelled(of[i]) != self.spelled(lead[i])
+        return of[new | other]
+
+
+def word_codes(words: Words, salt: int) -> np.ndarray:
+    """64-bit codes of words, by eight bytes at a time; 0 and 1 stand for no word."""
+    out = [np.zeros(0, np.uint64)]
+    for low in range(0, len(words.starts), CHUNK_WORDS):
+        starts = words.starts[low:low + CHUNK_WORDS]
+        length = words.ends[low:low + CHUNK_WORDS] - starts
+        code = mix(length.astype(np.uint64), 2 * salt + 1)
+        for at in range(0, min(int(length.max()), LONG), 8):
+            i = np.nonzero(length > at)[0] if at else slice(None)
+            code[i] = mix(code[i] ^ words.eights(starts[i] + at, length[i] - at), 2 * salt + 2)
+        for i in np.nonzero(length > LONG)[0].tolist():
+            code[i] = xxhash.xxh3_64_intdigest(words.spelled(low + i), salt)
+        out.append(np.maximum(code, np.uint64(2)))
+    return np.concatenate(out)
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """lang, text of about CHUNK_BYTES at a time."""
+    for batch in batches:
+        length = pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        ends, low = np.cumsum(length), 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_BYTES, "right")))
+            yield batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low)
+            low = high
 
 
 def encoded(texts: DataFrame, salt: int) -> DataFrame:
     """lang, codes of every text; 0 ends each piece and each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Codes(salt)
-        for batch in batches:
-            arrays, held, first = [], 0, 0
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                words = pieces(text.as_py())
-                x = np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
-                arrays.append(np.append(x[x != 1], np.uint64(0)))
-                held += len(words)
-                if len(code) > Codes.LIMIT:
-                    code.begin()
-                if held > CHUNK_WORDS or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(arrays)), lists(np.concatenate(arrays), [len(x) for x in arrays])], ["lang", "codes"])
-                    arrays, held, first = [], 0, i + 1
+        for langs, part in portions(batches):
+            words = Words(part)
+            size = 1 + words.ends_piece()
+            lengths = np.bincount(words.row, weights=size, minlength=words.rows).astype(np.int64)
+            # A text without words is a single 0.
+            empty = lengths == 0
+            flat = np.zeros(int(lengths.sum() + empty.sum()), np.uint64)
+            flat[np.cumsum(size) - size + np.cumsum(empty)[words.row]] = word_codes(words, salt)
+            yield pa.RecordBatch.from_arrays([langs, blobs(flat, lengths + empty)], ["lang", "codes"])
 
-    return texts.mapInArrow(run, "lang string, codes array<long>")
+    return texts.mapInArrow(run, "lang string, codes binary")
 
 
-def lists(flat: np.ndarray, lengths) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat.view(np.int64)))
+def blobs(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Arrays of codes as bytes: Spark then writes and reads them whole, not code by code."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]) * 8, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())])
 
 
 class Windows:
@@ -135,11 +194,16 @@ class Windows:
 
     def phrases(self, at: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """One place of each different phrase of ``k`` words and its number of windows."""
-        _, first, same, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        place = at[first]
-        equal = self.lang[at] == self.lang[place][same]
+        order = np.argsort(keys)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order[1:]] != keys[order[:-1]]
+        first = np.nonzero(new)[0]
+        n = np.diff(np.append(first, len(keys)))
+        place = at[order[first]]
+        rest, lead = at[order[~new]], np.repeat(place, n - 1)
+        equal = self.lang[rest] == self.lang[lead]
         for j in range(k):
-            equal &= self.codes[at + j] == self.codes[place + j][same]
+            equal &= self.codes[rest + j] == self.codes[lead + j]
         if equal.all():
             return place, n
         # Two phrases with one key: number them word by word.
@@ -160,9 +224,11 @@ class Windows:
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
     """About CHUNK_WORDS codes at a time from batches of lang, codes."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         column = batch.column(1)
-        ends = column.offsets.to_numpy()
-        flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + batch.num_rows + 1] // 8
+        flat = np.frombuffer(column.buffers()[2], np.uint64, int(ends[-1])) if ends[-1] else np.zeros(0, np.uint64)
         start = 0
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_WORDS, "right")) - 1)
@@ -172,7 +238,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(keys, 100 + row) >> np.uint64(64 - bits)).astype(np.int64)
+    """Cells of keys, which are mixed already: the high bits of a product."""
+    return (keys * CELL_FACTORS[row] >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def pack(planes: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -237,7 +304,7 @@ def shrunk(coded: DataFrame, plane: bytes, bits: int, least: int, shards: int) -
             length = 1 + ends
             flat = np.zeros(length.sum(), np.uint64)
             flat[np.cumsum(length) - length] = w.codes[at]
-            return lists(flat, np.bincount(w.row[at], weights=length, minlength=w.rows).astype(np.int64))
+            return blobs(flat, np.bincount(w.row[at], weights=length, minlength=w.rows).astype(np.int64))
 
         seen = 0
         for w in chunks(batches):
@@ -254,7 +321,7 @@ def shrunk(coded: DataFrame, plane: bytes, bits: int, least: int, shards: int) -
             yield pa.RecordBatch.from_arrays([lang, runs, singles, pa.array((np.arange(w.rows) + seen) % shards, pa.int32())], ["lang", "runs", "singles", "shard"])
             seen += w.rows
 
-    return coded.mapInArrow(run, "lang string, runs array<long>, singles array<long>, shard int")
+    return coded.mapInArrow(run, "lang string, runs binary, singles binary, shard int")
 
 
 def sketch(reached: DataFrame, bits: int) -> bytes:
@@ -331,11 +398,11 @@ def frequent_phrases(coded: DataFrame, *, threshold: int = 100, longest: int = 5
     """(lang, phrase, k, n of all phrases that occur ``threshold`` times; lang, total of words)."""
     spark = coded.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    size = coded.agg(F.sum(F.size("codes").cast("long"))).first()[0] or 0
+    size = (coded.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0) // 8
     pair_bits = min(max((size // 32).bit_length(), PAIR_BITS[0]), PAIR_BITS[1])
     estimates, totals = pair_estimates(coded, pair_bits)
     shrunk(coded, estimates, pair_bits, min(threshold, FULL), shards).write.partitionBy("shard").parquet(folder)
-    dealt = spark.read.schema("lang string, runs array<long>, singles array<long>, shard int").parquet(folder)
+    dealt = spark.read.schema("lang string, runs binary, singles binary, shard int").parquet(folder)
     counts = spark.createDataFrame([], COUNTS)
     scan, known, last = 0, 0, None
     # Phrases that the last newcomers activate complete their cycle ``shards`` scans after them.
@@ -389,16 +456,15 @@ def words_of(texts: DataFrame, phrases: DataFrame, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(plane), np.uint8).reshape(ROWS, -1)
-        for batch in batches:
-            by_lang: dict[str, set[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                by_lang.setdefault(lang, set()).update(text.as_py().translate(CLEAN).replace(BREAK, b" ").split(b" "))
-            for lang, found in by_lang.items():
-                words = sorted(found - {b""})
-                codes = np.fromiter((max(xxhash.xxh3_64_intdigest(w, salt), 2) for w in words), np.uint64, len(words))
-                keys = mix(codes ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())), 1)
-                good = np.nonzero(np.minimum(*(table[r, cells(keys, r, bits)] for r in range(ROWS))))[0]
-                yield pa.RecordBatch.from_arrays([pa.array(codes[good].view(np.int64)), pa.array([words[i] for i in good.tolist()], pa.binary()).cast(pa.string())], ["code", "word"])
+        for langs, part in portions(batches):
+            words = Words(part)
+            codes = word_codes(words, salt)
+            of = langs.dictionary_encode()
+            salts = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in of.dictionary.to_pylist()], np.uint64)
+            keys = mix(codes ^ salts[of.indices.to_numpy(zero_copy_only=False)[words.row]], 1)
+            good = np.nonzero(np.minimum(*(table[r, cells(keys, r, bits)] for r in range(ROWS))))[0]
+            good = words.different(codes, good)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[good].view(np.int64)), pa.array([words.spelled(i) for i in good.tolist()], pa.binary()).cast(pa.string())], ["code", "word"])
 
     found = texts.mapInArrow(run, "code long, word string").groupBy("code").agg(F.min("word").alias("word"), F.max("word").alias("other"))
     needed = with_codes(phrases.where("k > 1")).select("code").distinct()

@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskgrid.llm import collocations as C
@@ -167,14 +169,35 @@ def test_products_pass_64_bits(spark):
 
 def test_codes_that_collide_are_replaced(spark, monkeypatch):
     """With the first salt all words of a length share a code."""
-    digest = C.xxhash.xxh3_64_intdigest
+    strong = C.word_codes
     texts = ["ab cd " * 9, "cd ef " * 9, "ef ab " * 9]
 
-    class Weak:
-        @staticmethod
-        def xxh3_64_intdigest(data, seed=None):
-            return digest(data) if seed is None else digest(data, seed) if seed else 100 + len(data)
-    monkeypatch.setattr(C, "xxhash", Weak)
+    def weak(words, salt):
+        return strong(words, salt) if salt else (100 + words.ends - words.starts).astype("uint64")
+    monkeypatch.setattr(C, "word_codes", weak)
     rows = [(i, t, "en", None, 0, True, 0, "", 0, "") for i, t in enumerate(texts)]
     got = C.collocations(spark.createDataFrame(rows, SCHEMA), threshold=5)
     assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, 5, 2000)
+
+
+def test_words_of_any_length_and_their_codes():
+    rng = random.Random(3)
+    texts = ["", " ", "a", "é b.c", ".", "x" * 200, "x" * 199 + "y z", "abcdefgh abcdefghi ABCDEFGH", "a\x00 a \x00", "long " * 3, *("".join(rng.choice("ab é.\t") for _ in range(rng.randint(0, 300))) for _ in range(50))]
+    column = pa.array(["skipped", *texts]).slice(1)
+    words = C.Words(column)
+    codes = C.word_codes(words, 7)
+    spelled = [words.spelled(i) for i in range(len(codes))]
+    assert len(set(zip(spelled, codes.tolist()))) == len(set(spelled)) == len(set(codes.tolist()))
+    expected, ends = [], []
+    for row, text in enumerate(texts):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            found = re.findall(r"[^\x20\x09]+", piece)
+            expected += [(row, w.encode()) for w in found]
+            ends += [i == len(found) - 1 for i in range(len(found))]
+    assert list(zip(words.row.tolist(), spelled)) == expected
+    assert words.ends_piece().tolist() == ends
+    # All words under one code: each that differs from the first is found.
+    one = words.different(np.full(len(codes), 5, np.uint64), np.arange(len(codes)))
+    assert {spelled[i] for i in one} == set(spelled)
+    few = words.different(codes, np.arange(len(codes)))
+    assert sorted(spelled[i] for i in few) == sorted(set(spelled))
