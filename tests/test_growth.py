@@ -1,4 +1,6 @@
 """Steps that grew faster than their input: what they write, and that nothing is lost."""
+import datetime as dt
+import math
 import os
 import random
 from collections import Counter
@@ -6,7 +8,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from riskgrid.operators import panes
 from riskgrid.operators import text_vectors as TV
+from riskgrid.operators.dynamics import position_features
+from riskgrid.operators.rolling import rolling_to_grid
 from riskgrid.session import ensure_checkpoint_dir
 
 
@@ -54,3 +59,45 @@ def test_only_kept_terms_are_stored(spark, prose):
     norms = weights.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("s"), F.count("*").alias("n")).collect()
     assert all(r.s == pytest.approx(1.0) for r in norms)
     assert {r.doc_id: r.n for r in norms} == {i: len(set(c) & set(df)) for i, c in by_doc.items() if set(c) & set(df)}
+
+
+@pytest.fixture
+def busy(spark):
+    """One session of a 30 s grid of 40 points; five drivers with rows before, on and between its points."""
+    from riskgrid.operators.grid import build_grid, grid_spec
+    start = dt.datetime(2024, 3, 2, 15)
+    s = spark.createDataFrame([(1, start, start + dt.timedelta(seconds=30 * 39))], "session_key long, date_start timestamp_ntz, date_end timestamp_ntz")
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(-200, 1300), i, rng.randrange(5), rng.randrange(6)) for i in range(250))
+    ev = spark.createDataFrame([(1, i, start + dt.timedelta(seconds=t), str(d), float(p)) for t, i, d, p in rows], "session_key long, event_id long, date timestamp_ntz, driver_number string, position double")
+    spec = grid_spec(s, ["session_key"], 30)
+    return rows, spec, build_grid(spec, ["session_key"], 30), ev
+
+
+def test_copies_of_a_task_are_bounded(busy, monkeypatch):
+    """Before, a task copied as many states as it had read; now more copies are more tasks,
+    and small blocks of grid points change no result."""
+    rows, spec, grid, ev = busy
+    monkeypatch.setattr(panes, "COPIES", 50)
+    monkeypatch.setattr(panes, "BLOCK_POINTS", 4)
+    seen = []
+    spread_by = panes.Panes.spread_by
+    monkeypatch.setattr(panes.Panes, "spread_by", lambda *a, **k: seen.append(spread_by(*a, **k)) or seen[-1])
+    aggs = [("d", "distinct", "driver_number", 120), ("d2", "distinct", "driver_number", 100), ("e", "entropy", "driver_number", 100)]
+    got = {r.grid_k: r for r in rolling_to_grid(grid, spec, ev, ["session_key"], "date", 30, aggs).collect()}
+    moved = {r.grid_k: r for r in position_features(grid, spec, ev, ["session_key"], 30, 100, 120, tiebreak="event_id").collect()}
+    assert len(got) == len(moved) == 40
+    for k in range(40):
+        inside = lambda w: [r for r in rows if 30 * k - w < r[0] <= 30 * k]
+        count = Counter(r[2] for r in inside(100))
+        n = sum(count.values())
+        assert (got[k].d, got[k].d2) == (len({r[2] for r in inside(120)}), len(count))
+        assert got[k].e == pytest.approx(-sum(c / n * math.log2(c / n) for c in count.values()), abs=1e-9)
+        steps = {w: {d: [abs(b[3] - a[3]) for a, b in zip(x, x[1:])] for d in range(5) if (x := [r for r in inside(w) if r[2] == d])} for w in (100, 120)}
+        assert moved[k].position_changes_100s == sum(m > 0 for x in steps[100].values() for m in x)
+        means = [sum(x) / len(x) for x in steps[120].values() if x]
+        want = sum(means) / len(means) if means else None if steps[120] else 0.0
+        assert moved[k].driver_position_volatility_120s == (None if want is None else pytest.approx(want))
+    for x in seen:
+        most = x.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert x.rdd.getNumPartitions() >= x.count() / 50 and most < x.count() / 2
