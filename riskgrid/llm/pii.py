@@ -13,9 +13,10 @@ trees have not seen, so that ``recall`` of them would be selected, and is a half
 most; kinds with too few such base spans add nothing. Of overlapping selected
 candidates the likelier one stays. Base spans always stay.
 
-Training reads the candidates of at most ``sample`` documents, at most ``4 * sample``
-of them (by hash); finding reads whole texts. Patterns run in linear time on any
-text: emails are found from their at-sign, digit runs only from their first digit.
+Training and finding read whole texts of all rows. Candidates to learn from are written
+once, equal ones as one row with a count; the trees are grown and the thresholds are
+found by Spark from all of them. Patterns run in linear time on any text: emails are
+found from their at-sign, digit runs only from their first digit.
 
 Defined results: null and empty texts have no spans; repeated rows are searched
 one by one; an empty table gives an empty table.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import ddl
+from .common import ddl, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -171,42 +172,86 @@ class Model:
     thresholds: dict[str, float]
 
 
-def threshold_of(good: np.ndarray, bad: np.ndarray, recall: float, leak: float, floor: float) -> float:
+def ranked(values: np.ndarray, n: np.ndarray, q: float) -> tuple[float, float, float]:
+    """Of values that occur ``n`` times the two next to the quantile ``q``, and the place
+    of the quantile between them."""
+    order = np.argsort(values)
+    until = np.cumsum(n[order])
+    at = (until[-1] - 1) * q
+    low, high = (float(values[order[np.searchsorted(until, r, "right")]]) for r in (np.floor(at), np.ceil(at)))
+    return low, high, at - np.floor(at)
+
+
+def threshold_of(good: np.ndarray, bad: np.ndarray, recall: float, leak: float, floor: float, n_good: np.ndarray | None = None, n_bad: np.ndarray | None = None) -> float:
     """From this score on candidates are selected: the ``1 - recall`` quantile of unseen
     personal data, raised until at most ``leak`` of the unseen refuted candidates pass.
-    A kind that then finds less than ``floor`` of its data adds nothing."""
-    at = min(0.5, float(np.quantile(good, 1 - recall)))
+    A kind that then finds less than ``floor`` of its data adds nothing. Scores count
+    once, or as often as said."""
+    n_good, n_bad = (np.ones(len(s), np.int64) if n is None else n for s, n in ((good, n_good), (bad, n_bad)))
+    low, high, between = ranked(good, n_good, 1 - recall)
+    at = min(0.5, low + (high - low) * between)
     if len(bad):
-        at = max(at, float(np.nextafter(np.quantile(bad, 1 - leak, method="higher"), 2.0)))
-    return at if (good >= at).mean() >= floor else np.inf
+        at = max(at, float(np.nextafter(ranked(bad, n_bad, 1 - leak)[1], 2.0)))
+    return at if n_good[good >= at].sum() / n_good.sum() >= floor else np.inf
+
+
+#: Scores are first counted in so many cells of equal width.
+CELLS = 1 << 16
+
+
+def thresholds_of(scored: DataFrame, recall: float, leak: float, floor: float) -> dict[str, float]:
+    """``threshold_of`` each kind from the table of kind, good, score and n. The driver gets
+    counts by cell, and single scores of the cells that hold the quantiles only: whatever
+    the other scores are, they lie below or above."""
+    cell = F.least(F.floor(F.col("score") * CELLS), F.lit(CELLS - 1)).cast("int").alias("cell")
+    scored = materialise(scored.groupBy("kind", "good", "score").agg(F.sum("n").alias("n")).select("*", cell))
+    counts = scored.groupBy("kind", "good", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = {key: (of.cell.to_numpy(dtype=float), of.n.to_numpy()) for key, of in counts.groupby(["kind", "good"])}
+    near = {(kind, int(c)) for (kind, good), (values, n) in cells.items() for c in ranked(values, n, 1 - recall if good else 1 - leak)[:2]}
+    table = scored.sparkSession.createDataFrame(sorted(near), "kind string, cell int")
+    single = scored.join(F.broadcast(table), ["kind", "cell"]).select("kind", "good", "score", "n").toPandas()
+    out = {}
+    for kind in KINDS:
+        score, n = {}, {}
+        for good in (True, False):
+            values, count = cells.get((kind, good), (np.zeros(0), np.zeros(0, np.int64)))
+            other = np.array([(kind, int(c)) not in near for c in values], bool)
+            exact = single[(single.kind == kind) & (single.good == good)]
+            score[good] = np.concatenate([values[other] / CELLS, exact.score.to_numpy(dtype=float)])
+            n[good] = np.concatenate([count[other], exact.n.to_numpy(dtype=np.int64)])
+        out[kind] = threshold_of(score[True], score[False], recall, leak, floor, n[True], n[False]) if len(score[True]) else np.inf
+    return out
+
+
+EXAMPLE = "kind string, base boolean, seen boolean, found boolean, y double, x array<double>"
 
 
-def fit_pii(docs: DataFrame, *, sample: int = 20_000, recall: float = 0.98, leak: float = 0.05, floor: float = 0.8, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trees on the candidates of half of the sampled texts, thresholds on the other half.
+def fit_pii(docs: DataFrame, *, recall: float = 0.98, leak: float = 0.05, floor: float = 0.8, least: int = 20, text_col: str = "text") -> Model:
+    """Trees on the candidates of half of the texts, thresholds on the other half.
     Copies of a text are in the same half."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for kind, span, a, b, base, label in examples(text or ""):
-                    out.append({"kind": kind, "base": base, "seen": seen, "found": span == text[a:b], "label": label, "x": features(kind, span, text[max(a - 32, 0):a], text[b:b + 32])})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("kind", pa.string()), ("base", pa.bool_()), ("seen", pa.bool_()), ("found", pa.bool_()), ("label", pa.float64()), ("x", pa.list_(pa.float64()))]))
-
-    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(F.broadcast(chosen), "_id", "left_semi")
-    found = rows.select(text_col, (F.pmod(F.xxhash64(text_col), F.lit(2)) == 0).alias("seen")).mapInArrow(run, "kind string, base boolean, seen boolean, found boolean, label double, x array<double>")
-    table = found.orderBy(F.xxhash64("kind", "x"), "kind", "x", "label", "seen", "base", "found").limit(4 * sample).toPandas()
-    x, y = np.array(table.x.to_list()).reshape(len(table), N_FEATURES), table.label.to_numpy(dtype=float)
-    base, seen, as_found = (table[c].to_numpy(dtype=bool) for c in ("base", "seen", "found"))
-    forest = gbt.fit(x[seen], y[seen])
-    scores, thresholds = forest.probability(x), {}
-    for kind in KINDS:
-        unseen = ~seen & (table.kind == kind).to_numpy(dtype=bool)
-        # Base spans stay whatever they score, so other forms set the bar; a kind without any adds nothing.
-        good = scores[unseen & (y == 1) & ~base]
-        enough = (unseen & base).sum() >= least and len(good)
-        thresholds[kind] = threshold_of(good, scores[unseen & (y == 0) & as_found], recall, leak, floor) if enough else np.inf
-    return Model(forest, thresholds)
+                    out.append({"kind": kind, "base": base, "seen": seen, "found": span == text[a:b], "y": label, "x": features(kind, span, text[max(a - 32, 0):a], text[b:b + 32])})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("kind", pa.string()), ("base", pa.bool_()), ("seen", pa.bool_()), ("found", pa.bool_()), ("y", pa.float64()), ("x", pa.list_(pa.float64()))]))
+
+    found = docs.select(text_col, (F.pmod(F.xxhash64(text_col), F.lit(2)) == 0).alias("seen")).mapInArrow(run, EXAMPLE)
+    table = materialise(found.groupBy("kind", "base", "seen", "found", "y", "x").agg(F.count(F.lit(1)).alias("n")))
+    forest = gbt.fit_table(table.where("seen"), N_FEATURES)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(forest.probability(x), pa.float64())], ["kind", "good", "n", "score"])
+
+    unseen = table.where("not seen")
+    # Base spans stay whatever they score, so other forms set the bar; a kind without any adds nothing.
+    judged = unseen.where("y = 1 and not base or y = 0 and found").select("kind", (F.col("y") == 1).alias("good"), "n", "x")
+    thresholds = thresholds_of(judged.mapInArrow(score, "kind string, good boolean, n long, score double"), recall, leak, floor)
+    bases = {r.kind: r.n for r in unseen.where("base").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    return Model(forest, {kind: thresholds[kind] if bases.get(kind, 0) >= least else np.inf for kind in KINDS})
 
 
 def select_spans(found: list[tuple[str, int, int, bool]], scores: np.ndarray, thresholds: dict[str, float]) -> list[tuple[str, int, int, bool]]:
