@@ -38,6 +38,8 @@ CHAINS = 20_000
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 STOPS = (b".", b"!", b"?")
+#: ASCII characters that are no letters.
+MARGIN = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
 
 
 def form(word: bytes) -> str:
@@ -89,30 +91,50 @@ class Field:
     trans: np.ndarray
 
 
-class Emissions(dict):
-    """Row of each word in a table of its own emission, what it adds to the next and to
-    the previous token, and whether it ends a sentence."""
+def forms(words: pa.Array) -> pa.Array:
+    """``form`` of every word; words of ASCII only are trimmed by Arrow, others one by one."""
+    out = pc.ascii_trim(pc.ascii_lower(words), characters=MARGIN)
+    other = pc.invert(pc.string_is_ascii(words))
+    if pc.any(other).as_py():
+        out = pc.replace_with_mask(out, other, pa.array([form(w.encode()) for w in words.filter(other).to_pylist()], pa.string()))
+    return out
+
 
-    LIMIT = 500_000
+class Emissions:
+    """What each different word of some texts adds to its own token, to the next and to the
+    previous one. Weights are looked up in tables by kind of feature, all forms at once."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.rows = weights, []
-
-    def __missing__(self, word: bytes) -> int:
-        token, w = form(word), self.weights.get
-        own = w("=" + token, 0.0) + w("^" + token[:4], 0.0) + w("^" + token[:5], 0.0) + w("^" + token[:6], 0.0) + w("^" + token[:7], 0.0) + w("$" + token[-4:], 0.0)
-        self.rows.append((own, w("<" + token, 0.0), w(">" + token, 0.0), word.endswith(STOPS)))
-        value = self[word] = len(self.rows) - 1
-        return value
-
-    def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(emissions, chain starts) of the words of several texts, one after the other."""
-        if len(self) >= self.LIMIT:
-            self.clear()
-            self.rows = []
-        codes = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
-        table = np.array(self.rows).reshape(-1, 4)[np.concatenate([*codes, np.zeros(0, np.int64)])]
-        size = np.array([len(c) for c in codes], np.int64)
+        self.tables = {}
+        for kind in "=^$<>":
+            names = [f for f in weights if f[0] == kind]
+            self.tables[kind] = pa.array([f[1:] for f in names], pa.string()), np.array([weights[f] for f in names] + [0.0])
+
+    def weight(self, kind: str, tokens: pa.Array) -> np.ndarray:
+        names, weights = self.tables[kind]
+        return weights[pc.fill_null(pc.index_in(tokens, value_set=names), len(names)).to_numpy(zero_copy_only=False)]
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Own emission, what is added to the next and to the previous token, ends a sentence."""
+        of = forms(words).dictionary_encode()
+        token = of.dictionary
+        own = self.weight("=", token)
+        for n in (4, 5, 6, 7):
+            own = own + self.weight("^", pc.utf8_slice_codeunits(token, 0, n))
+        own = own + self.weight("$", pc.utf8_slice_codeunits(token, -4))
+        table = np.column_stack([own, self.weight("<", token), self.weight(">", token)])[of.indices.to_numpy()]
+        ends = np.any([pc.ends_with(words, stop.decode()).to_numpy(zero_copy_only=False) for stop in STOPS], axis=0)
+        return np.column_stack([table, ends])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(emissions, chain starts, words of each text) of several texts, one after the other."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = lists.flatten()
+        kept = pc.greater(pc.binary_length(flat), 0)
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[kept.to_numpy(zero_copy_only=False)]
+        size = np.bincount(row, minlength=len(texts))
+        words = flat.filter(kept).dictionary_encode()
+        table = self.rows(words.dictionary)[words.indices.to_numpy()]
         first = np.concatenate([[0], np.cumsum(size)[:-1]])[size > 0] if len(size) else size
         ends = table[:, 3] > 0
         ends[first[1:] - 1] = True
@@ -122,7 +144,7 @@ class Emissions(dict):
         after = np.nonzero(inside)[0]
         e[after] += table[after - 1, 1]
         e[after - 1] += table[after, 2]
-        return e, start
+        return e, start, size
 
 
 def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 40, rate: float = 0.3, l2: float = 1e-3) -> Field:
@@ -165,12 +187,11 @@ def fit_field(chains: list[list[str]], tags: list[list[int]], *, rounds: int = 4
     return Field({f: float(weights[i]) for f, i in index.items() if abs(weights[i]) > 1e-3}, trans)
 
 
-def token_marginals(texts: list[str | None], emissions: Emissions, trans: np.ndarray) -> list[np.ndarray]:
+def token_marginals(texts: pa.Array, emissions: Emissions, trans: np.ndarray) -> list[np.ndarray]:
     """Toxic probability of every word of every text; all chains of a batch run together."""
-    words = [(t or "").encode().split() for t in texts]
-    e, start = emissions.of(words)
+    e, start, size = emissions.of(texts)
     odds = marginals(e, start, trans)[0]
-    return np.split(1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.cumsum([len(w) for w in words])[:-1]) if words else []
+    return np.split(1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.cumsum(size)[:-1]) if len(size) else []
 
 
 def portions(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -285,9 +306,10 @@ def with_marginals(docs: DataFrame, field: Field, carry: list[str], text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(weights)
         for batch in (part for b in batches for part in portions(b)):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(batch.num_columns - 1)
             p = token_marginals(texts, emissions, trans)
-            found = [toxic_spans(t, x, least) for t, x in zip(texts, p, strict=True)] if spans else [[] for _ in texts]
+            # Only texts with a likely word are turned into Python strings.
+            found = [toxic_spans(texts[i].as_py(), x, least) if spans and len(x) and x.max() >= least else [] for i, x in enumerate(p)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([summary(x) for x in p], pa.list_(pa.float64())), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*carry, "summary", "spans"])
 
     return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, f"{ddl(docs, carry)}, summary array<double>, spans array<struct<start: long, end: long>>")
