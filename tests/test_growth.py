@@ -101,3 +101,22 @@ def test_copies_of_a_task_are_bounded(busy, monkeypatch):
     for x in seen:
         most = x.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
         assert x.rdd.getNumPartitions() >= x.count() / 50 and most < x.count() / 2
+
+
+def test_texts_of_a_task_are_bounded(busy, monkeypatch):
+    """Before, texts were copied to the widest window of any aggregate, by as many tasks as a
+    shuffle has; now longer texts are more tasks, and only windows of texts are filled."""
+    rows, spec, grid, ev = busy
+    ev = ev.withColumn("message", F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("m" * 90), F.col("event_id").cast("string"))))
+    monkeypatch.setattr(panes, "COPIES", 100)
+    seen, spread_by = [], panes.Panes.spread_by
+    monkeypatch.setattr(panes.Panes, "spread_by", lambda *a, **k: seen.append((a[2], spread_by(*a, **k))) or seen[-1][1])
+    aggs = [("n", "count", None, 600), ("c", "concat", "message", 100), ("t", "text", "message", 70)]
+    got = {r.grid_k: r for r in rolling_to_grid(grid, spec, ev, ["session_key"], "date", 30, aggs, tiebreak="event_id").collect()}
+    assert len(got) == 40
+    for k in range(40):
+        said = {w: ["m" * 90 + str(r[1]) if r[1] % 7 else "" for r in rows if 30 * k - w < r[0] <= 30 * k] for w in (600, 100, 70)}
+        assert (got[k].n, got[k].c, got[k].t) == (len(said[600]), " | ".join(said[100]), " ".join(said[70]))
+    (window, copies), = seen
+    size = sum(len(r.x) for r in copies.select(F.explode("_items_0").alias("x")).collect())
+    assert window == 100 and copies.rdd.getNumPartitions() >= size / 100 / 100
