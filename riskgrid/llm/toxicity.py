@@ -269,6 +269,8 @@ def tagged_chains(rows: DataFrame, marks: dict[str, float], text_col: str) -> li
             out = []
             for text, label in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 words = (text or "").encode().split()
+                if not words:
+                    continue
                 start = chains_of(np.fromiter((w.endswith(STOPS) for w in words), bool, len(words)))
                 bounds = list(zip(start, np.append(start[1:], len(words)), strict=True))
                 if not label:

@@ -67,3 +67,11 @@ def test_emissions_are_looked_up_together(monkeypatch):
     assert e == pytest.approx(np.array(want)) and start.tolist() == starts
     assert size.tolist() == [len((t or "").encode().split()) for t in texts]
     assert alone and not any(w.isascii() for w in alone)
+
+
+def test_field_is_learned_beside_texts_without_words(spark):
+    rows = [(i, None if i % 5 == 0 else "" if i % 5 == 1 else f"vile{i % 3} stuff. and more" if i % 2 else "plain stuff. and more") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True)), carry=["doc_id"]).collect()}
+    assert len(got) == 40 and got[0] == got[1] and got[3] > got[2]
