@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskgrid.llm import gbt, pii, toxicity
+from riskgrid.llm import collocations, gbt, pii, toxicity
 
 
 def test_table_trees_are_those_of_the_rows(spark):
@@ -75,3 +75,42 @@ def test_field_is_learned_beside_texts_without_words(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True)), carry=["doc_id"]).collect()}
     assert len(got) == 40 and got[0] == got[1] and got[3] > got[2]
+
+
+def test_collocation_scans_run_once_and_count_few_triples(spark, monkeypatch):
+    """Pairs are frequent, triples are not: those are not counted, and a scan is in its plan once."""
+    rows = [("en", f"a{i % 12} mid b{i // 12 % 12}. the same four words") for i in range(288)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    plain, triples, scans, rows_at_once = collocations.materialise, [], [], set()
+
+    def seen(df):
+        rows_at_once.add(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if "reached" in df.columns and "MapInArrow" in (plan := df._jdf.queryExecution().optimizedPlan().toString()):
+            scans.append(plan.count("MapInArrow"))
+            triples.append((out := plain(df)).where("k = 3").count())
+            return out
+        return plain(df)
+    monkeypatch.setattr(collocations, "materialise", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.phrase: r.a for r in collocations.collocations(docs, threshold=20).collect()}
+    assert got["the same four words"] == 288 and got["a3 mid"] == 24 and "a3 mid b4" not in got
+    assert scans and set(scans) == {1}
+    assert max(triples) == 2
+    assert "1000" in rows_at_once and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_codes_are_read_in_few_tasks(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, 10 * cores)
+    assert collocations.in_tasks(many, 1000).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(collocations, "TASK_BYTES", 8)
+    assert collocations.in_tasks(many, 2 * cores + 1).rdd.getNumPartitions() == 3 * cores
+    assert collocations.in_tasks(many, 10**9).rdd.getNumPartitions() == 10 * cores
+
+
+def test_only_words_of_phrases_are_looked_up(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", f"left right. {' . '.join(f'w{i}' for i in range(300))}")] * 9, "lang string, text string")
+    filled, plain = [], collocations.sketch
+    monkeypatch.setattr(collocations, "sketch", lambda df, bits: (filled.append(df.count()), plain(df, bits))[1])
+    assert [r.phrase for r in collocations.collocations(docs, threshold=5).collect()] == ["left right"]
+    assert filled[-1] == 2
