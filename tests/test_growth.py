@@ -120,3 +120,22 @@ def test_texts_of_a_task_are_bounded(busy, monkeypatch):
     (window, copies), = seen
     size = sum(len(r.x) for r in copies.select(F.explode("_items_0").alias("x")).collect())
     assert window == 100 and copies.rdd.getNumPartitions() >= size / 100 / 100
+
+
+def test_a_file_of_texts_fills_a_batch_of_bounded_size(busy, monkeypatch):
+    """Before, 32 grid points were one block however long their texts: its file, which a
+    Parquet reader takes in one batch, grew with the density of the messages. Sizes were added
+    up by reading every text."""
+    from riskgrid.operators import rolling
+    rows, spec, grid, ev = busy
+    long = ev.where("event_id < 40").withColumn("message", F.concat(F.repeat(F.lit("m"), 4000), F.col("event_id").cast("string")))
+    monkeypatch.setattr(panes, "COPIES", 10_000)  # 160 kB
+    kept, written = [], rolling.written
+    monkeypatch.setattr(rolling, "written", lambda df: kept.append(written(df)) or kept[-1])
+    got = rolling_to_grid(grid, spec, long, ["session_key"], "date", 30, [("c", "concat", "message", 600)], tiebreak="event_id").collect()
+    want = {k: [r[1] for r in rows if r[1] < 40 and 30 * k - 600 < r[0] <= 30 * k] for k in range(40)}
+    assert {r.grid_k: r.c for r in got} == {k: " | ".join("m" * 4000 + str(i) for i in x) for k, x in want.items()}
+    texts, = [df for df in kept if "c" in df.columns]
+    files = texts.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("c")).alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(f.n for f in files) > 1e6 and all(f.n < 4 * 160_000 or f.rows == 1 for f in files)
+    assert texts.agg(F.sum("_bytes")).first()[0] == sum(f.n for f in files)
