@@ -139,3 +139,45 @@ def test_a_file_of_texts_fills_a_batch_of_bounded_size(busy, monkeypatch):
     files = texts.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("c")).alias("n"), F.count("*").alias("rows")).collect()
     assert sum(f.n for f in files) > 1e6 and all(f.n < 4 * 160_000 or f.rows == 1 for f in files)
     assert texts.agg(F.sum("_bytes")).first()[0] == sum(f.n for f in files)
+
+
+def _coded_docs(spark):
+    rng = random.Random(12)
+    words = [f"w{min(rng.randrange(1, 40), rng.randrange(1, 40))}" for _ in range(900)]
+    rows = [(i // 2 if i < 20 else i, " ".join(words[15 * i:15 * i + rng.randrange(40)])) for i in range(58)]
+    return spark.createDataFrame([*rows, (None, "w1 w2 w3 w1 w2"), (None, "w1 w2 \u00c9t\u00e9"), (90, None), (91, "a ! b")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("size", [5, 60, 5000])
+def test_terms_by_word_codes(spark, size, monkeypatch):
+    """Same terms and weights as counting strings, with pieces shorter than texts, ids that repeat
+    or are null, and more terms than there are; no n-gram is made a string row on the way (before, all were)."""
+    docs = _coded_docs(spark)
+
+    def found():
+        weights, vocab = TV.tfidf(docs, "doc_id", "text", max_features=size)
+        return {(r.doc_id, r.term): r.weight for r in weights.collect()}, {r.term: (r.df, r.cf, r.idf) for r in vocab.collect()}, weights.count()
+
+    with monkeypatch.context() as m:
+        m.setattr(TV.CT, "term_rows", lambda *a, **k: None)
+        w0, v0, n0 = found()
+    monkeypatch.setattr(TV.CT, "PIECE", 4)
+    monkeypatch.setattr(TV, "occurrences", None)
+    w1, v1, n1 = found()
+    assert n0 == n1 == len(w1) and w1 == pytest.approx(w0) and (None, "w1") in w1
+    assert v1.keys() == v0.keys() and all(v1[t] == pytest.approx(v0[t]) for t in v0) and len(v1) == min(size, len(v0))
+
+
+def test_too_many_frequent_words_are_counted_as_strings(spark, monkeypatch):
+    docs = _coded_docs(spark)
+    assert TV.CT.term_rows(docs, "doc_id", "text", TV.tokens("_text"), 20, (1, 3), words_at_most=3) is None
+    rows, terms = TV.CT.term_rows(docs, "doc_id", "text", TV.tokens("_text"), 20, (1, 1))
+    assert len(terms) == 20 and all(" " not in t for t, _ in terms) and terms == sorted(terms)
+    assert sum(sum(r.tf) for r in rows.collect()) == sum(n for _, n in terms)
+
+
+def test_pieces_are_handled_a_few_at_once():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([[1, 2], [3], [], [4, 5, 6, 7]], pa.list_(pa.int32()))], ["doc_id", "codes"])
+    got = [(i.to_pylist(), n.tolist(), c.tolist()) for i, n, c in TV.CT._pieces(iter([batch.slice(1), batch]), 3)]
+    assert got == [([2, 3], [1, 0], [3]), ([4], [4], [4, 5, 6, 7]), ([1, 2, 3], [2, 1, 0], [1, 2, 3]), ([4], [4], [4, 5, 6, 7])]
